@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import quality
+from harvestry.llm import mixing, quality, sharding
 from harvestry.session import ship, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents, how often and in what order, bring the sources to their weights."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with host verdicts over all documents."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}

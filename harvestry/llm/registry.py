@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import language, mixing, quality, sharding
+from harvestry.llm import language, mixing, packing, quality, sharding
 from harvestry.session import ship, table
 
 
@@ -25,13 +25,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces placed in sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with host verdicts over all documents."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op3_language_id": op3_language_id, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 

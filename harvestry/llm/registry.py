@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import language, mixing, packing, quality, sharding
+from harvestry.llm import jaccard, language, mixing, packing, quality, sharding
 from harvestry.session import ship, table
 
 
@@ -20,6 +20,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by text, declared language and host."""
     return language.identify(table(spark, sf_dir, "documents"))
@@ -36,7 +41,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import jaccard, language, mixing, packing, quality, sharding
+from harvestry.llm import jaccard, language, mixing, nearest, packing, quality, sharding
 from harvestry.session import ship, table
 
 
@@ -15,6 +15,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others for every fiftieth vector."""
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents, how often and in what order, bring the sources to their weights."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -41,9 +46,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op8_exact_topk": nearest.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import jaccard, language, mixing, nearest, packing, quality, sharding
+from harvestry.llm import extract, jaccard, language, mixing, nearest, packing, quality, sharding
 from harvestry.session import ship, table
 
 
@@ -40,13 +40,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules with host verdicts over all documents."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op6_html_extraction": op6_html_extraction, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import extract, jaccard, language, mixing, nearest, packing, quality, sharding
+from harvestry.llm import extract, jaccard, language, mixing, nearest, packing, quality, sharding, toxicity
 from harvestry.session import ship, table
 
 
@@ -50,8 +50,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op6_html_extraction": op6_html_extraction, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules}
+    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op6_html_extraction": op6_html_extraction, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules, "op10_toxicity": op10_toxicity}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import extract, jaccard, language, mixing, nearest, packing, quality, sharding, toxicity
+from harvestry.llm import extract, jaccard, language, lmscore, mixing, nearest, packing, quality, sharding, toxicity
 from harvestry.session import ship, table
 
 
@@ -35,6 +35,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document by a model of those that are not held out."""
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces placed in sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op6_html_extraction": op6_html_extraction, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules, "op10_toxicity": op10_toxicity}
+    own = {"op1_sharding": op1_sharding, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_language_id": op3_language_id, "op4_lm_scoring": op4_lm_scoring, "op5_packing": op5_packing, "op8_exact_topk": op8_exact_topk, "op6_html_extraction": op6_html_extraction, "op9_mixing": op9_mixing, "op7_quality_rules": op7_quality_rules, "op10_toxicity": op10_toxicity}
     return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in own.items()}
 
 

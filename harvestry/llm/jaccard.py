@@ -45,7 +45,7 @@ BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
 #: Groups' members up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST = 500_000
 #: Words whose hashes a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 120_000
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -110,7 +110,7 @@ def _preparer(width: int, percent: int):
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for b in pieces(batches):
+        for b in pieces(batches, 1 << 20):
             sets = [shingles(t) for t in as_bytes(b.column(1))]
             names = [digest(s) if len(s) else None for s in sets]
             rows_ = [buckets(s) if len(s) else None for s in sets]
@@ -124,7 +124,7 @@ def _reader(width: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for b in pieces(batches):
+        for b in pieces(batches, 1 << 20):
             sets = [shingles(t) for t in as_bytes(b.column(1))]
             good = [i for i, (s, n) in enumerate(zip(sets, b.column(0).to_pylist(), strict=True)) if len(s) and digest(s) == n]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(good, pa.int64())), pa.array([sets[i].tobytes() for i in good], pa.binary())], ["node", "tokens"])
@@ -272,7 +272,7 @@ def _namer(width: int):
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for b in pieces(batches):
+        for b in pieces(batches, 1 << 20):
             sets = [shingles(t) for t in as_bytes(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], [*b.schema.names[:-1], "node"])
 

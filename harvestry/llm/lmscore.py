@@ -18,10 +18,10 @@ the rare words are sampled where they are stored. The first BURN sweeps are drop
 over the SWEEPS that follow (the sweeps of the three levels are averaged level by level). Beyond the first thousand
 customers of a dish in a restaurant, customers are seated a block at a time.
 
-Counts cover all training documents. Word counts grow with the corpus: they are grouped and joined, never collected. What
-is collected and broadcast has a fixed bound: CONTEXTS x (DISHES + 1) counts, and a table of spelling counts. The listed
-words come from a bounded, hashed sample of the training texts; since they are the frequent ones, the rows that are joined
-by word have no hot key.
+Counts cover all training documents. Word counts grow with the corpus: they are grouped and joined, not collected. What
+is collected and broadcast has a fixed bound: CONTEXTS x (DISHES + 1) counts, a table of spelling counts, and the counts of
+at most COMMON of the rare words, those that occur most. The listed words come from a bounded, hashed sample of the training
+texts. Since the frequent words are settled on the spot, the rows that are joined by word are few and have no hot key.
 
 Cases: a null or empty text is the end token alone. A null id is neither held out nor trained on. Repeated rows are scored
 each, and counted each in training. Without training rows all counts are 0 and N and V too; the base is then
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
 CONTEXTS, DISHES = 255, 4095
-#: Training rows that the listed words come from, about; rows of the corpus a worker reads between two flushes of counts.
+#: Training rows that the listed words come from, about.
 SAMPLE = 4000
+#: Rare words at most whose counts every worker has.
+COMMON = 200_000
 #: Discount and strength of each level; the discount of rare words follows from how many occur once and twice.
 TOKEN, RARE, SPELL = (0.75, 5.0), 50.0, (0.6, 1.0)
 BURN, SWEEPS = 2, 3
@@ -205,9 +208,15 @@ def _context_of(place: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def _dishes(ws: list[bytes], place: dict[bytes, int]) -> np.ndarray:
-    rare = len(place)
-    return np.array([place.get(w, rare) for w in ws] + [place[END]], dtype=np.int64)
+def _read(texts: list[bytes], place: dict[bytes, int], other: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All tokens, an end after each text; their places, other if they have none; and where each text begins."""
+    ws: list[bytes] = []
+    starts = []
+    for t in texts:
+        starts.append(len(ws))
+        ws += words(t)
+        ws.append(END)
+    return ws, np.fromiter(map(place.get, ws, repeat(other)), dtype=np.int64, count=len(ws)), np.array(starts, dtype=np.int64)
 
 
 def _before(dishes: np.ndarray, context_of: np.ndarray, end: int) -> np.ndarray:
@@ -230,15 +239,9 @@ def _counter(place: dict[bytes, int]):
             return out
 
         for b in pieces(batches, 1 << 20):
-            found = []
-            for text in as_bytes(b.column(0)):
-                ws = words(text)
-                dishes = _dishes(ws, place)
-                seen.update([ws[i] for i in np.flatnonzero(dishes[:-1] == rare).tolist()])
-                found.append(_before(dishes, context_of, end) * (DISHES + 1) + dishes)
-            if found:
-                at, n = np.unique(np.concatenate(found), return_counts=True)
-                cells[at] += n
+            ws, dishes, _ = _read(as_bytes(b.column(0)), place, rare)
+            seen.update([ws[i] for i in np.flatnonzero(dishes == rare).tolist()])
+            cells += np.bincount(_before(dishes, context_of, end) * (DISHES + 1) + dishes, minlength=len(cells))
             if len(seen) > FLUSH:
                 yield flush()
         if seen:
@@ -277,44 +280,49 @@ def _seater(model: Spelling, d: float, tables: float, seed: int):
                 t = seat(n, base, d, np.full(len(ws), strength + d * tables), rng)
                 sums += t
             h = np.array([xxhash.xxh3_64_intdigest(w) for w in ws], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1), pa.array(sums / SWEEPS), pa.array(base)], ["__h", "c", "tables", "spelt"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), b.column(1), pa.array(sums / SWEEPS), pa.array(base)], ["word", "__h", "c", "tables", "spelt"])
 
     return run
 
 
-def _scorer(model: Tokens, spell: Spelling, counts: np.ndarray, n_all: int, v_all: int, kind: pa.DataType):
-    """Rows by document: one with what is known on the spot, and one for each distinct word that is not listed."""
-    place, table = model.place, model.log10
-    lift = np.log10((counts + 0.5) / (n_all + 0.5 * (v_all + 1)))
+def _scorer(model: Tokens, spell: Spelling, common: list[bytes], base: np.ndarray, own: np.ndarray, known: np.ndarray, kind: pa.DataType):
+    """Rows by document: one with what is known on the spot, and one for each token that is neither listed nor common.
+
+    base, own, known: of the listed and common words, then 0: the base's log10, the restaurant's own share of the score, and
+    whether training has the word.
+    """
+    table = model.log10
     own_type = pa.struct([("id", kind), ("score", pa.float64()), ("base", pa.float64()), ("n_known", pa.int64()), ("n_tokens", pa.int64())])
+    listed = len(model.place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context_of, end, rare = _context_of(place), place[END], len(place)
-        row, known = TaskContext.get().partitionId() << 40, {}
+        place = model.place | {w: listed + i for i, w in enumerate(common)}
+        context_of, end, other = _context_of(model.place), place[END], len(place)
+        row = TaskContext.get().partitionId() << 40
         for b in pieces(batches, 1 << 20):
-            split, sums = [], []
-            for text in as_bytes(b.column(1)):
-                ws = words(text)
-                dishes = _dishes(ws, place)
-                here = dishes[dishes < rare]
-                sums.append((float(table[_before(dishes, context_of, end), dishes].sum()), float(lift[here].sum()), int((counts[here] > 0).sum()), len(dishes)))
-                split.append(Counter([ws[i] for i in np.flatnonzero(dishes[:-1] == rare).tolist()]))
-            if len(known) > FLUSH:
-                known = {}
-            new = list(set().union(*split).difference(known))
+            if not b.num_rows:
+                continue
+            ws, at, starts = _read(as_bytes(b.column(1)), place, other)
+            dishes = np.minimum(at, listed)
+            m = b.num_rows
+            sums = [np.add.reduceat(x, starts) for x in (table[_before(dishes, context_of, end), dishes] + own[at], base[at], known[at], np.ones(len(at), dtype=np.int64))]
+            left = np.flatnonzero(at == other)
+            rare = [ws[i] for i in left.tolist()]
+            new = list(set(rare))
+            told = dict(zip(new, range(len(new)), strict=True))
+            which = np.fromiter(map(told.get, rare), dtype=np.int64, count=len(rare))
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64).view(np.int64)
-            known.update(zip(new, zip(hashes.tolist(), spell.log10(new).tolist(), strict=True), strict=True))
-            pairs = [known[w] for s in split for w in s]
-            docs, k, m = np.repeat(np.arange(len(split)), [len(s) for s in split]), len(pairs), len(split)
-            own = pa.StructArray.from_arrays([b.column(0).cast(kind), *[pa.array([s[i] for s in sums], own_type[i + 1].type) for i in range(4)]], fields=list(own_type))
+            docs = np.searchsorted(starts, left, side="right") - 1
+            mine = pa.StructArray.from_arrays([b.column(0).cast(kind), *[pa.array(x).cast(t.type) for x, t in zip(sums, list(own_type)[1:], strict=True)]], fields=list(own_type))
+            none = np.r_[np.zeros(len(rare), dtype=bool), np.ones(m, dtype=bool)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.r_[docs, np.arange(m)]), pa.array([p[0] for p in pairs] + [None] * m, pa.int64()), pa.array([p[1] for p in pairs] + [None] * m, pa.float64()),
-                    pa.array([n for s in split for n in s.values()] + [None] * m, pa.int64()), own.take(pa.array([None] * k + list(range(m)), pa.int64())),
+                    pa.array(row + np.r_[docs, np.arange(m)]), pa.array(np.r_[hashes[which], np.zeros(m, dtype=np.int64)], mask=none), pa.array(np.r_[spell.log10(new)[which], np.zeros(m)], mask=none),
+                    mine.take(pa.array(np.r_[np.zeros(len(rare), dtype=np.int64), np.arange(m)], mask=~none)),
                 ],
-                ["row", "h", "spell", "times", "own"],
+                ["row", "h", "spell", "own"],
             )
             row += m
 
@@ -356,28 +364,45 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     for sweep in range(BURN):
         if seated is not None:
             scratch.drop(seated)
-        seated = scratch.write("lm-seats", rare.mapInArrow(_seater(spell, d, tables, sweep), "__h long, c long, tables double, spelt double"))
+        seated = scratch.write("lm-seats", rare.mapInArrow(_seater(spell, d, tables, sweep), "word binary, __h long, c long, tables double, spelt double"))
         sums = seated.agg(F.sum("tables"), F.sum("spelt")).first()
         tables, spelt_rare = float(sums[0] or 0), float(sums[1] or 0)
     scratch.drop(counted)
     strength = RARE
     lift = (strength + d * tables) / (strength + n_rare)
     unseen = max(1 - spelt_rare - float((10 ** spell.log10(listed)).sum()), 1e-6)
-    scorer = _scorer(model, spell, counts, n_all, v_all, to_arrow_type(docs.schema[key].dataType))
-    lines = own.mapInArrow(scorer, f"row long, h long, spell double, times long, own struct<id: {kind}, score: double, base: double, n_known: long, n_tokens: long>")
+    # the rare words that occur most: from which count on, by a histogram of counts
+    sizes = sorted(seated.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"])
+    least, many = 100_001, 0
+    for r in sizes:
+        many += r["n"]
+        if many > COMMON:
+            break
+        least = r["c"]
+    top = seated.where(F.col("c") >= least).select("word", "c", "tables", "spelt").toArrow().sort_by("word")  # COMMON rows at most
+    c, t, spelt = (top[x].to_numpy().astype(np.float64) for x in ("c", "tables", "spelt"))
+    all_c = np.r_[counts, c]
+    base = np.r_[np.log10((all_c + 0.5) / (n_all + 0.5 * (v_all + 1))), 0.0]
+    share = np.r_[np.zeros(len(listed)), np.log10(np.maximum(c - d * t, 0) / (strength + n_rare) + lift * spelt), 0.0]
+    known = np.r_[all_c > 0, False].astype(np.int64)
+    common = as_bytes(top["word"].combine_chunks())
+    scorer = _scorer(model, spell, common, base, share, known, to_arrow_type(docs.schema[key].dataType))
+    lines = own.mapInArrow(scorer, f"row long, h long, spell double, own struct<id: {kind}, score: double, base: double, n_known: long, n_tokens: long>")
     here = F.coalesce(F.col("c"), F.lit(0))
     p = F.greatest(here - d * F.coalesce("tables", F.lit(0.0)), F.lit(0.0)) / (strength + n_rare) + lift * F.pow(F.lit(10.0), "spell")
     told = F.when(here > 0, p).otherwise(lift * unseen)
-    base = F.log10((here + 0.5) / (n_all + 0.5 * (v_all + 1)))
+    base_ = F.log10((here + 0.5) / (n_all + 0.5 * (v_all + 1)))
     # a text's own row has no word; a number of its own takes it to some partition
     lines = lines.withColumn("__key", F.coalesce("h", F.xxhash64("row", F.lit(1))))
-    both = lines.join(seated, (F.col("__key") == F.col("__h")) & F.col("h").isNotNull(), "left")
+    both = lines.join(seated.where(F.col("c") < least).select("__h", "c", "tables"), (F.col("__key") == F.col("__h")) & F.col("h").isNotNull(), "left")
+    word = F.col("h").isNotNull()
     summed = both.groupBy("row").agg(
-        F.max("own").alias("own"), F.sum(F.when(here > 0, F.col("times"))).alias("known"), F.sum(F.col("times") * base).alias("base"), F.sum(F.col("times") * F.log10(told)).alias("score"), F.sum(F.col("times") * F.log10(p)).alias("open")
+        F.max("own").alias("own"), F.count_if(word & (here > 0)).alias("known"), F.sum(F.when(word, base_)).alias("base"), F.sum(F.when(word, F.log10(told))).alias("score"), F.sum(F.when(word, F.log10(p))).alias("open")
     )
     own_id, zero = F.col("own.id"), F.lit(0.0)
     out = summed.select(
-        own_id.alias(key), F.coalesce(remainder(own_id) == 1, F.lit(False)).alias("held_out"), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.coalesce("base", zero)).alias("base_score"), (F.col("own.score") + F.coalesce("score", zero)).alias("score"), (F.col("own.score") + F.coalesce("open", zero)).alias("open_score"),
+        own_id.alias(key), F.coalesce(remainder(own_id) == 1, F.lit(False)).alias("held_out"), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + F.col("known")).alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.coalesce("base", zero)).alias("base_score"), (F.col("own.score") + F.coalesce("score", zero)).alias("score"),
+        (F.col("own.score") + F.coalesce("open", zero)).alias("open_score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

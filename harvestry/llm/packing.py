@@ -21,6 +21,10 @@ empty result. The special tokens of the tokenizer, where a text spells them, bec
 
 from __future__ import annotations
 
+import json
+import os
+import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,62 +44,180 @@ TOKENIZER = "word_bpe_49k.json"
 GROUPS = (24, 64)
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 8
-#: Words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Bits of the table of late words, words whose ids a worker keeps, and bytes of text that it takes at once.
+PLACES, KEPT, LONG = 20, 2_500_000, 2 << 20
+#: White space to the tokenizer (fixed values: the characters with the Unicode property White_Space).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Buckets that the pieces of one length are ranked in, independent of each other.
 RANK_BUCKETS = 1024
 
+assert sys.byteorder == "little"
 _HELD: dict = {}
 
 
 class WordIds:
-    """Token ids, as bytes of little-endian 32-bit numbers, of texts split at ASCII spaces and newlines.
+    """Token ids of texts split at ASCII spaces and newlines.
 
     The tokenizer drops white space and never joins what it separates, so the ids of a text are those of its words one
-    after the other. Words are encoded once while they are remembered.
+    after the other. Each word is encoded once. Words are known by a 64-bit hash, computed for all words of a batch at once
+    from running sums over the bytes; a table with a place for each hash holds the words of late, sorted arrays hold all, and
+    both are emptied when they have KEPT words. A-Z are put in lower case beforehand, as the tokenizer would. Texts that may
+    spell a special token, or hold white space only (for which the library has ids), go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        ws = text.replace(b"\n", b" ").split(b" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in ws])
-        except KeyError:
-            new = list({w for w in ws if w not in known})
-            out = bytearray()
-            if len(new) > REMEMBER // 2:  # a text of very many words: in parts, each with what it needs
-                for at in range(0, len(ws), REMEMBER // 4):
-                    out += self.encode(b" ".join(ws[at : at + REMEMBER // 4]))
-                return bytes(out)
-            before = len(known)
-            self.learn(new)
-            if len(known) < before:  # forgotten: learn all that this text has
-                self.learn(list({w for w in ws if w not in known}))
-            return b"".join([known[w] for w in ws])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = max(self.tokenizer.get_added_tokens_decoder().items())
+        # words of letters alone need no normaliser and are one piece each: the model itself, told apart by word ends
+        told = json.loads(self.tokenizer.to_str())
+        told |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.plain = Tokenizer.from_str(json.dumps(told))
+        suffix = told["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and str(self.plain.id_to_token(i)).endswith(suffix) for i in range(self.plain.get_vocab_size())])
+        random = np.random.default_rng(17)
+        self.letter = random.integers(0, 1 << 64, 256, dtype=np.uint64)
+        factor = 0x9E3779B97F4A7C13  # 3 modulo 4: its powers stay apart
+        self.powers, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.factor, self.back = np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place_hash = np.zeros(1 << PLACES, dtype=np.uint64)
+        self.place_word = np.full(1 << PLACES, -1, dtype=np.int32)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes, words
+        self.n, self.start = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.pool = np.zeros(1 << 18, dtype="<u4")
+        self.words = self.used = 0
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        while len(self.powers) < len(data) + 1:
+            for name, f in (("powers", self.factor), ("inverse", self.back)):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, x * np.uint64(int(x[-1]) * int(f) % (1 << 64))]))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.letter[data] * self.powers[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    def _encode(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        out, letters, others = [b""] * len(new), [], []
+        for i, w in enumerate(new):
+            x = w.decode("utf-8", "replace")
+            if x.isalpha() and x.islower() and len(x) < 64 and unicodedata.is_normalized("NFC", x) and x.lower() == x:
+                letters.append((i, x))
+            else:
+                others.append((i, x if x.strip(WHITE) else ""))
+        if not self.ends.any():
+            others, letters = others + letters, []
+        between, at = self.special[1].content, self.special[0]
+        for some, tokenizer, join in ((letters, self.plain, " "), (others, self.tokenizer, between)):
+            for k in range(0, len(some), 500):
+                part = some[k : k + 500]
+                text = join.join([x for _, x in part]) + ("" if tokenizer is self.plain else between)
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                cut = np.flatnonzero(self.ends[ids] if tokenizer is self.plain else ids == at)
+                data, skip = ids.tobytes(), tokenizer is not self.plain
+                stops = cut.tolist()
+                if len(stops) != len(part):
+                    raise ValueError("the tokenizer does not keep words apart")
+                last = 0
+                for (i, _), stop in zip(part, stops, strict=True):
+                    out[i] = data[4 * last : 4 * (stop + 1 - skip)]
+                    last = stop + 1
+        return out
+
+    def _find(self, h: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The words of hashes, learned if they are new; h has each hash once."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        for hashes, words in self.runs:
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            here = hashes[at] == h
+            out[here] = words[at[here]]
+        new = np.flatnonzero(out < 0)
+        if not len(new):
+            return out
+        found = self._encode([text[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        n, ids = np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), dtype="<u4")
+        while self.words + len(new) > len(self.n):
+            self.n, self.start = np.concatenate([self.n, self.n * 0]), np.concatenate([self.start, self.start * 0])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool * 0])
+        mine = slice(self.words, self.words + len(new))
+        self.n[mine], self.start[mine] = n, self.used + np.r_[0, np.cumsum(n)[:-1]]
+        self.pool[self.used : self.used + len(ids)] = ids
+        out[new] = np.arange(self.words, self.words + len(new))
+        self.words, self.used = self.words + len(new), self.used + len(ids)
+        self.runs.append((h[new], out[new].astype(np.int32)))
+        if len(self.runs) > 10:  # the smaller ones become one
+            self.runs.sort(key=lambda r: -len(r[0]))
+            some, self.runs = self.runs[2:], self.runs[:2]
+            hashes, words = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(hashes)
+            self.runs.append((hashes[order], words[order]))
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.words > KEPT:
+            self._forget()
+        plain = [b"" if b"<|" in t else t.lower() for t in texts]
+        text = b"\n".join(plain) + b"\n"
+        data = np.frombuffer(text, dtype=np.uint8)
+        inside = (data != 32) & (data != 10)
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            turns = np.r_[0, turns]
+        starts, ends = turns[::2], turns[1::2]
+        h = self._hashes(data, starts, ends)
+        place = (h >> np.uint64(64 - PLACES)).astype(np.int64)
+        word = self.place_word[place].astype(np.int64)
+        miss = np.flatnonzero((self.place_hash[place] != h) | (word < 0))
+        if len(miss):
+            once, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            found = self._find(once, text, starts[miss[first]], ends[miss[first]])
+            word[miss] = found[which]
+            self.place_hash[place[miss]], self.place_word[place[miss]] = h[miss], word[miss]
+        n = self.n[word]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = self.pool[np.repeat(self.start[word] - upto[:-1], n) + np.arange(upto[-1])]
+        begin = np.r_[0, np.cumsum([len(t) + 1 for t in plain])]
+        cut = upto[np.searchsorted(starts, begin)]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i, t in enumerate(texts):
+            if t and not len(out[i]):
+                out[i] = np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+        return out
+
+
+def _in_parts(texts: list[bytes], ids: WordIds) -> list[np.ndarray]:
+    """The ids of each text; a very long one goes through in parts that end at spaces."""
+    if not any(len(t) > LONG for t in texts):
+        return ids.encode(texts)
+    out = []
+    for t in texts:
+        parts, at = [], 0
+        while b"<|" not in t and len(t) - at > LONG and (end := t.find(b" ", at + LONG)) >= 0:
+            if t[at:end].decode("utf-8", "replace").strip(WHITE):
+                parts += ids.encode([t[at:end]])
+            at = end
+        if not at or t[at:].decode("utf-8", "replace").strip(WHITE):
+            parts += ids.encode([t[at:]])
+        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype="<u4"))
+    return out
 
 
 def _cutter(path: str, capacity: int, end: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")  # a task has one core
         if path not in _HELD:
             _HELD[path] = WordIds(path)
         ids, tail = _HELD[path], np.array([end], dtype="<u4").tobytes()
-        for b in pieces(batches):
+        for b in pieces(batches, 1 << 20):
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(as_bytes(b.column(b.num_columns - 1))):
-                data = ids.encode(text) + tail
+            for i, data in enumerate(_in_parts(as_bytes(b.column(b.num_columns - 1)), ids)):
+                data = data.tobytes() + tail
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

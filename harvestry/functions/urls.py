@@ -148,7 +148,8 @@ def resolve(href: Column, base: Column) -> Column:
         .when(h == "", F.concat(origin, path(base), part(base, 6)))
         .otherwise(F.concat(origin, folder, h))
     )
-    return F.when(joined.rlike(PATTERN), normalized(joined)).otherwise(joined)
+    # bound once: the parts of the result are read many times
+    return F.get(F.transform(F.array(joined), lambda x: F.when(x.rlike(PATTERN), normalized(x)).otherwise(x)), F.lit(0))
 
 
 def registrable_domain(host_: Column, suffixes: tuple[str, ...] = ()) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harvestry.functions import urls
 from harvestry.functions.matching import PageType, resolve_page_type
+from harvestry.sources.staging import staged
 
 #: Statuses by precedence: the first stage that stops a link names it.
 INVALID, BLOCKED, EXTERNAL, DUPLICATE, COMPLETED, UNMATCHED, AMBIGUOUS, NO_TRANSITION, BUDGET, ENQUEUED = (
@@ -84,8 +85,9 @@ def classify_links(
     depth = F.col("depth") if "depth" in found.columns else F.lit(0)
     href = F.col("raw_href")
     d = found.withColumn("original_url", urls.resolve(href, F.col("source_url")))
-    d = d.withColumn("canonical_url", urls.canonical(F.col("original_url"), policy))
-    d = d.withColumns({"target": resolve_page_type(F.col("canonical_url"), page_types), "source": resolve_page_type(urls.canonical(F.col("source_url"), policy), page_types)})
+    d = d.withColumns({"canonical_url": urls.canonical(F.col("original_url"), policy), "__from": urls.canonical(F.col("source_url"), policy)})
+    d = staged(d, "links")  # read for the source's and the target's type, and short from here on
+    d = d.withColumns({"target": resolve_page_type(F.col("canonical_url"), page_types), "source": resolve_page_type(F.col("__from"), page_types)})
     usable = [t for t in transitions if t.enabled]
     best = F.lit(None).cast("struct<id:string,priority:int,depth:int,links:long,budget:long,unique:boolean>")
     for t in sorted(usable, key=lambda t: (t.priority, t.transition_id)):
@@ -102,8 +104,8 @@ def classify_links(
     inside = urls.in_scope(urls.host(F.col("canonical_url")), scope.mode, scope.domains, scope.blocked)
     barred = urls.in_scope(urls.host(F.col("canonical_url")), "allowlist", scope.blocked) if scope.blocked else F.lit(False)
     early = F.when(urls.is_dangerous(href), BLOCKED).when(~valid, INVALID).when(shut | barred, BLOCKED).when(~inside, EXTERNAL)
-    d = d.withColumn("__early", early).withColumn("__key", F.when(F.col("__early").isNull() & F.coalesce(F.col("transition.unique"), F.lit(True)), F.col("canonical_url")))
-    d = first_seen(d.withColumn("depth", depth), "__key", ["depth", "source_url", "position", "original_url"])
+    d = staged(d.withColumn("__early", early).withColumn("depth", depth), "typed").withColumn("__key", F.when(F.col("__early").isNull() & F.coalesce(F.col("transition.unique"), F.lit(True)), F.col("canonical_url")))
+    d = first_seen(d, "__key", ["depth", "source_url", "position", "original_url"])
     if completed is not None:
         done = completed.select(F.col("canonical_url").alias("__done")).distinct()
         d = d.join(done, F.col("canonical_url") == F.col("__done"), "left")
@@ -113,7 +115,7 @@ def classify_links(
         F.when(F.col("__early").isNotNull(), F.col("__early")).when(F.col("is_duplicate"), DUPLICATE).when(F.col("__done").isNotNull(), COMPLETED)
         .when(F.col("target.decision") == "Unmatched", UNMATCHED).when(F.col("target.decision") == "Ambiguous", AMBIGUOUS).when(F.col("transition").isNull(), NO_TRANSITION)
     )
-    d = d.withColumn("__status", late)
+    d = staged(d.withColumn("__status", late), "statuses")  # ranked and counted by the budget
     d = budget(d)
     return d.select(
         *[c for c in found.columns if c != "depth"], "original_url", "canonical_url", F.col("source.page_type_id").alias("source_page_type"), F.col("target.page_type_id").alias("target_page_type"),
@@ -147,9 +149,9 @@ def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int,
     """(canonical_url, depth, parent, path) for all that the seeds reach: breadth first, each URL once, cycles allowed.
 
     seeds: canonical_url. edges: source_url, target_url, depth (what the step costs, at least 1). Each step is written by
-    ``save`` (default: checkpoint), so plans stay short and an executor may be lost.
+    ``save`` (default: staged), so plans stay short and an executor may be lost.
     """
-    save = save or (lambda df: df.checkpoint())
+    save = save or (lambda df: staged(df, "frontier"))
     empty = F.array().cast("array<string>")
     seen = save(seeds.select("canonical_url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), empty.alias("path")).distinct())
     new = seen

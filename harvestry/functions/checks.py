@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harvestry.functions.urls import canonical, trimmed
 
@@ -64,7 +65,7 @@ def _holds_secret(value) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def json_holds_secret(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a JSON text has a secret-shaped key at any depth or a bearer value; null for what is not JSON."""
 
@@ -78,7 +79,7 @@ def json_holds_secret(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield v.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON with keys in order at every depth and no spaces; null for what is not JSON."""
 

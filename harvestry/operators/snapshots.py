@@ -29,7 +29,7 @@ def _json(column: Column, kind: T.DataType) -> Column:
         body = F.substring(body, F.lit(1), F.length(body) - 1)
     else:
         body = column.cast("string")
-    return F.coalesce(body, F.lit("null"))
+    return F.when(column.isNull(), F.lit("null")).otherwise(body)
 
 
 def canonical(df: DataFrame, column: str) -> Column:

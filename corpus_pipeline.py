@@ -23,12 +23,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
-    return quality.quality(_rows(docs), keep=(ROW,)).where("kept").select(f"{ROW}.*")
+    return quality.quality(_rows(docs), keep=(ROW,), wide=True).where("kept").select(f"{ROW}.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear."""
-    return language.identify(_rows(docs), keep=(ROW,)).where("kept").select(f"{ROW}.*")
+    return language.identify(_rows(docs), keep=(ROW,), wide=True).where("kept").select(f"{ROW}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,20 +74,19 @@ def _counter(n_languages: int):
     return count
 
 
-def _scorer(model: np.ndarray, keep: int):
+def _scorer(model: np.ndarray):
     """model: log likelihood by bucket and language."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            grams = [_trigrams(t) for t in as_bytes(b.column(b.num_columns - 1))]
-            n = np.array([len(g) for g in grams])
-            sums = np.zeros((len(n), model.shape[1]))
-            full = np.flatnonzero(n)
-            if len(full):
-                starts = np.r_[0, np.cumsum(n[full])[:-1]]
-                sums[full] = np.add.reduceat(model[np.concatenate([grams[i] for i in full])], starts, axis=0, dtype=np.float64)
-            rows = pa.FixedSizeListArray.from_arrays(pa.array((sums * TEMPER).ravel()), model.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], rows, pa.array(n.astype(np.int64))], [*b.schema.names[:keep], "__text", "n_trigrams"])
+    @F.arrow_udf("struct<text: array<double>, n: bigint>")
+    def score(column: pa.Array) -> pa.Array:
+        sums, n = np.zeros((len(column), model.shape[1])), np.zeros(len(column), dtype=np.int64)
+        for i, text in enumerate(as_bytes(column)):
+            grams = _trigrams(text)
+            n[i] = len(grams)
+            for at in range(0, len(grams), 1 << 16):
+                sums[i] += model[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array((sums * TEMPER).ravel()), model.shape[1]).cast(pa.list_(pa.float64()))
+        return pa.StructArray.from_arrays([rows, pa.array(n)], ["text", "n"])
 
     return score
 
@@ -119,12 +118,13 @@ def _best(scores: Column) -> Column:
 
 def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None,
-    keep: tuple[str, ...] = ("doc_id",), least: float = LEAST, sample: int = SAMPLE,
+    keep: tuple[str, ...] = ("doc_id",), least: float = LEAST, sample: int = SAMPLE, wide: bool = False,
 ) -> DataFrame:
     """keep, language, posterior, text_language, n_trigrams, kept for each row of docs.
 
     declared names the column whose values also mark the sample that the text model is fitted on; suffix the one with the
-    address suffix (None: the corpus is the only level above the hosts).
+    address suffix (None: the corpus is the only level above the hosts). Scored rows are written once, for the priors and for
+    the result; with wide, for a keep that holds texts, only what the priors need is written and the texts are scored twice.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
@@ -134,12 +134,14 @@ def identify(
         return docs.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
     none = F.lit(None).cast("string")
     own = docs.select(*[F.col(k).alias(k) for k in keep], F.col(declared).alias("__declared"), (F.col(host) if host else none).alias("__host"), (F.col(suffix) if suffix else none).alias("__suffix"), F.col(text).alias("__t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    scored = own.mapInArrow(_scorer(model, len(own.columns) - 1), f"{fields}, __text array<double>, n_trigrams long")
+    # only the text goes to Python
+    scored = own.withColumn("__score", _scorer(model)("__t")).select(*own.columns[:-1], F.col("__score.text").alias("__text"), F.col("__score.n").alias("n_trigrams"))
     at = F.create_map(*[F.lit(v) for i, x in enumerate(names) for v in (x, i)])[F.col("__declared")]
     scored = scored.withColumns({"__found": F.when(F.col("n_trigrams") > 0, _best(F.col("__text"))), "__at": at})
-    scored = scratch.write("language", scored)
-    seen = scored.where("__found is not null")
+    # a row number in kept: a filter on it stays above the scores, whose long expressions it would copy
+    scored = scored.withColumn("__barrier", F.monotonically_increasing_id()) if wide else scratch.write("language", scored)
+    seen = scratch.write("language-found", scored.select("__host", "__suffix", "__found", "__at")) if wide else scored
+    seen = seen.where("__found is not null")
     each = [F.count_if(F.col("__found") == i).cast("double").alias(f"c{i}") for i in range(n)]
     counts = lambda df: F.array(*[F.col(f"c{i}") for i in range(n)])
     # the corpus, and how languages are declared: at most LANGUAGES rows each
@@ -167,4 +169,4 @@ def identify(
     posterior = 1 / F.aggregate("__fused", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     name = lambda i: F.get(F.array(*[F.lit(x) for x in names]), i)
     out = both.withColumns({"language": name(_best(F.col("__fused"))), "posterior": posterior, "text_language": name(F.col("__found"))})
-    return out.select(*keep, "language", "posterior", "text_language", "n_trigrams", ((F.col("n_trigrams") > 0) & (F.col("posterior") >= least)).alias("kept"))
+    return out.select(*keep, "language", "posterior", "text_language", "n_trigrams", ((F.col("n_trigrams") > 0) & (F.col("posterior") >= least) & ((F.col("__barrier") >= 0) if wide else F.lit(True))).alias("kept"))

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: small ones need little memory to write and can be read by many tasks.
+ROW_GROUP = 16 << 20
 _LOCAL: list[str] = []
 
 
@@ -35,7 +37,7 @@ class Scratch:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -35,13 +35,14 @@ def _uniform(*of: Column) -> Column:
 def rates(docs: DataFrame, source: str, weights: dict | None = None, power: float = POWER, epochs: float = 1.0) -> DataFrame:
     """(source, n_docs, weight, rate): rate is the mean number of copies; epochs is the output's size over the input's."""
     by = docs.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("n_docs"))
+    everything = by
     if weights is None:
         by = by.withColumn("__raw", F.pow(F.col("n_docs").cast("double"), F.lit(power)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__k string, __raw double")
         by = by.join(given, by["__source"].eqNullSafe(given["__k"])).drop("__k")
-    total = by.agg(F.sum("n_docs").alias("n"), F.sum("__raw").alias("w")).first()
-    n, w = float(total["n"] or 0), float(total["w"] or 1)
+    n = float(everything.agg(F.sum("n_docs")).first()[0] or 0)
+    w = float(by.agg(F.sum("__raw")).first()[0] or 1)
     out = by.withColumn("weight", F.col("__raw") / w).withColumn("rate", F.col("weight") * (n * epochs) / F.col("n_docs"))
     return out.select("__source", "n_docs", "weight", "rate")
 
@@ -59,7 +60,8 @@ def _table(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict | None = None, power: float = POWER, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """docs with its columns, repeated and shuffled, and copy (from 1), rate, shuffle_key."""
+    """docs with its columns, repeated and shuffled, and copy (from 1), rate, shuffle_key (in place of columns so named)."""
+    docs = docs.drop("copy", "rate", "shuffle_key")
     scratch = Scratch(docs.sparkSession)
     by = scratch.write("mixing-rates", rates(docs, source, weights, power, epochs))
     parts = F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1))

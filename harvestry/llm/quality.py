@@ -21,6 +21,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 POSITION_BITS = 22
 #: A host goes if the shrunken failure rate of one of its rules is above this.
 HOST_LIMIT = 0.5
+#: Documents that the prior counts for at least, so that one document never decides about its host.
+LEAST_PRIOR = 5.0
+#: Rejected hosts up to which they are broadcast.
+BROADCAST = 100_000
 #: Document rules besides the base rules, judged by host only: share of symbols in word characters, of repeated lines.
 SYMBOL_SHARE, LINE_SHARE = 0.1, 0.3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -85,13 +89,14 @@ def failures() -> dict[str, Column]:
     }
 
 
-def hosts(judged: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
+def hosts(judged: DataFrame, host: str, scratch: Scratch, limit: float = HOST_LIMIT) -> DataFrame:
     """One row per host: (host, n_host, rate_<rule> shrunken, host_rejected).
 
     The prior of a rule is the beta distribution whose mean and variance are those of the rates of the hosts, weighted by
     their documents; where the hosts do not vary beyond chance, it is so strong that all get the corpus rate.
     """
     by = judged.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_host"), *[F.sum(F.col(f"__{r}").cast("long")).alias(f"f_{r}") for r in RULES])
+    by = scratch.write("quality-by-host", by)
     n = F.col("n_host")
     one = by.agg(
         F.sum(n).alias("__n"), F.count("*").alias("__k"), F.sum(n.cast("double") * n).alias("__n2"),
@@ -107,21 +112,63 @@ def hosts(judged: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
         if k > 1:
             spare = total - float(m["__n2"]) / total
             between = (float(m[f"__q_{r}"]) - total * mean * mean - (k - 1) * mean * (1 - mean)) / spare if spare > 0 else 0.0
-        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 0 else 1e6
+        strength = min(max(mean * (1 - mean) / between - 1, LEAST_PRIOR), 1e6) if between > 0 else 1e6
         rates.append(((F.col(f"f_{r}") + mean * strength) / (n + strength)).alias(f"rate_{r}"))
     out = by.select(host, "n_host", *rates)
     return out.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > limit)
 
 
-def quality(docs: DataFrame, host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: float = HOST_LIMIT) -> DataFrame:
-    """keep, COUNTS, base_failed, host_rejected, kept for each row of docs. host and keep are columns of docs."""
+def quality(docs: DataFrame, host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: float = HOST_LIMIT, wide: bool = False) -> DataFrame:
+    """keep, COUNTS, base_failed, host_rejected, kept for each row of docs. host and keep are columns of docs.
+
+    Judged rows are written once, for hosts and for the result; with wide, for a keep that holds texts, nothing of the rows is
+    written and the texts are judged twice.
+    """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(*[F.col(k).alias(k) for k in keep], F.col(host).alias("__host"), F.col(text).alias("__text"))
-    judged = counts(named, "__text").withColumns({f"__{r}": c for r, c in failures().items()})
-    judged = scratch.write("quality", judged)
-    verdicts = hosts(judged, "__host", limit).where("host_rejected").select(F.col("__host").alias("__bad"))
-    # hosts that go are few beside documents, yet not bounded: Spark chooses the join by measured size
+    judged = counts(named, "__text")
+    if wide:  # a row number in kept: a filter on it stays above the counts, whose long expressions it would copy
+        judged = judged.withColumn("__barrier", F.monotonically_increasing_id())
+    judged = judged.withColumns({f"__{r}": c for r, c in failures().items()})
+    judged = judged if wide else scratch.write("quality", judged)
+    verdicts = scratch.write("quality-hosts", hosts(judged, "__host", scratch, limit).where("host_rejected").select(F.col("__host").alias("__bad")))
+    # hosts that go are few beside documents, yet not bounded: beyond BROADCAST they are joined by a shuffle
+    verdicts = F.broadcast(verdicts) if verdicts.count() <= BROADCAST else verdicts
     joined = judged.join(verdicts, judged["__host"] == verdicts["__bad"], "left")
     base = F.col("__short") | F.col("__repetitive")
     rejected = F.col("__bad").isNotNull()
-    return joined.select(*keep, *COUNTS, base.alias("base_failed"), rejected.alias("host_rejected"), (~base & ~rejected).alias("kept"))
+    kept = ~base & ~rejected & ((F.col("__barrier") >= 0) if wide else F.lit(True))
+    return joined.select(*keep, *COUNTS, base.alias("base_failed"), rejected.alias("host_rejected"), kept.alias("kept"))
+
+
+def _rate_sql(rule: str) -> str:
+    """The shrunken failure rate of a rule in DuckDB, over by_host and one."""
+    mean = f"(s_{rule} / total)"
+    between = f"case when k > 1 and total - n2 / total > 0 then (q_{rule} - total * {mean} * {mean} - (k - 1) * {mean} * (1 - {mean})) / (total - n2 / total) else 0 end"
+    strength = f"case when {between} > 0 then least(greatest({mean} * (1 - {mean}) / ({between}) - 1, {LEAST_PRIOR}), 1e6) else 1e6 end"
+    return f"(f_{rule} + {mean} * ({strength})) / (n + ({strength}))"
+
+
+#: What quality() gives on documents, in DuckDB.
+ORACLE = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents
+), windows as (
+  select rid, i, count(*) over (partition by rid, w[i], w[i + 1], w[i + 2]) > 1 as again from (select rid, w, unnest(range(1, len(w) - 1)) as i from d)
+), covered as (
+  select rid, count(distinct p) as n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) as p from windows where again) group by rid
+), c as (
+  select d.rid, doc_id, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines
+  from d left join covered on d.rid = covered.rid
+), r as (
+  select *, n_words < 50 as short, 100 * n_repeat_words > 50 * n_words as repetitive, n_symbols > {SYMBOL_SHARE} * word_chars as symbols, n_dup_lines > {LINE_SHARE} * n_lines as lines from c
+), by_host as (
+  select source, count(*)::double as n, {", ".join(f"count(*) filter ({x})::double as f_{x}" for x in RULES)} from r where source is not null group by source
+), one as (
+  select sum(n) as total, count(*) as k, sum(n * n) as n2, {", ".join(f"sum(f_{x}) as s_{x}, sum(f_{x} * f_{x} / n) as q_{x}" for x in RULES)} from by_host
+), bad as (select source from by_host, one where greatest({", ".join(_rate_sql(x) for x in RULES)}) > {HOST_LIMIT})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, short or repetitive as base_failed, source is not null and source in (from bad) as host_rejected,
+  not (short or repetitive) and not (source is not null and source in (from bad)) as kept from r
+"""

@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op8_exact_topk": nearest.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op7_quality_rules": quality.ORACLE, "op8_exact_topk": nearest.ORACLE, "op9_mixing": mixing.ORACLE}

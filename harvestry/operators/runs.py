@@ -141,3 +141,43 @@ def publish_gate(facts: DataFrame) -> DataFrame:
     warn = ("tested", "coverage", "matcher_breadth", "growth")
     severity = F.when(F.col("check").isin(*warn), "WARNING").otherwise("ERROR")
     return facts.where(~F.coalesce("ok", F.lit(False))).select(severity.alias("severity"), F.lit("VALIDATION_ERROR").alias("code"), F.col("crawler_version_id").alias("entity_id"), F.concat(F.lit("failed: "), "check").alias("message"))
+
+
+def overlay(statuses: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(kind, id, links, enqueued) of a run for each page type and each transition of a graph, those without links too."""
+    count = [F.count("*").alias("links"), F.count_if(F.col("status") == "ENQUEUED").alias("enqueued")]
+    nodes = statuses.where("target_page_type is not null").groupBy(F.col("target_page_type").alias("id")).agg(*count).select(F.lit("PAGE_TYPE").alias("kind"), "id", "links", "enqueued")
+    used = statuses.where("transition_id is not null").groupBy(F.col("transition_id").alias("__t")).agg(*count)
+    edges = transitions.join(used, F.col("id") == F.col("__t"), "left").select(F.lit("TRANSITION").alias("kind"), "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("enqueued", F.lit(0)).alias("enqueued"))
+    return nodes.unionByName(edges)
+
+
+def with_previous(runs_: DataFrame, by: str, order: tuple[str, ...], *columns: str) -> DataFrame:
+    """runs_ with previous_<column> of the run before of the same group."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return runs_.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
+
+
+def review_grid(items: DataFrame, states: tuple[str, ...], order: tuple, limit: int) -> DataFrame:
+    """One page of a review: the items in these states by a total order."""
+    return items.where(F.col("state").isin(*states)).orderBy(*order).limit(limit)
+
+
+def log_filter(log: DataFrame, **equal: str) -> DataFrame:
+    """Log rows that have all of these values."""
+    for column, value in equal.items():
+        log = log.where(F.col(column) == value)
+    return log
+
+
+def seeds(rows: DataFrame, chosen: tuple | None = None) -> DataFrame:
+    """Enabled seeds, all or the chosen ones."""
+    out = rows.where("enabled")
+    return out if chosen is None else out.where(F.col("id").isin(*chosen))
+
+
+def orphans(rows: DataFrame, column: str, target: DataFrame, target_column: str) -> DataFrame:
+    """Violations of a foreign key; nulls are none."""
+    t = target.select(F.col(target_column).alias("__t"))
+    bad = rows.where(F.col(column).isNotNull()).join(t, F.col(column) == F.col("__t"), "left_anti")
+    return bad.select(F.lit("ERROR").alias("severity"), F.lit("NOT_FOUND").alias("code"), F.col(column).cast("string").alias("entity_id"), F.lit(f"{column} has no target").alias("message"))

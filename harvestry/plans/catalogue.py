@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harvestry.functions import checks, urls
+from harvestry.functions import checks, ids, urls
 from harvestry.functions.matching import Matcher, PageType, classify
 from harvestry.operators import curation, discovery, extraction, provenance, runs, settings, snapshots, versioning
 from harvestry.operators.curation import Field
@@ -737,3 +737,164 @@ def progress_stream_dedupe(spark, sf_dir):
     stream = progress.read(spark, f"{base}/in", progress.EVENT, 1)
     progress.log(progress.numbered(stream), f"{base}/log", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/log").select("stream_id", "seq", "event_id", "kind")
+
+
+# --- more of the model
+
+
+@query("select event_id, substr(lpad(to_hex(epoch_ms(ts)), 12, '0'), 1, 8) as first_part, true as is_v7 from events")
+def typed_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select("event_id", ids.uuid7(F.col("ts").cast("timestamp"), F.col("event_id")).alias("id"))
+    return d.select("event_id", F.upper(F.split_part("id", F.lit("-"), F.lit(1))).alias("first_part"), ids.is_uuid7(F.col("id")).alias("is_v7"))
+
+
+@query("select l_orderkey::varchar as entity_id, 'NOT_FOUND' as code, count(*) as rows from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 3 <> 0) group by 1")
+def foreign_key_orphans(spark, sf_dir):
+    parents = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    return runs.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", parents, "o_orderkey").groupBy("entity_id", "code").agg(F.count("*").alias("rows"))
+
+
+@query("""select user_id, d, events, lag(events) over (partition by user_id order by d) as previous_events from (select user_id, day(ts) as d, count(*) as events from events group by 1, 2)""")
+def previous_run(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("d")).agg(F.count("*").alias("events"))
+    return runs.with_previous(d, "user_id", ("d",), "events")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus in ('O', 'P') order by o_totalprice desc, o_orderkey limit 50")
+def review_grid(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "state")
+    return runs.review_grid(d, ("O", "P"), (F.desc("o_totalprice"), "o_orderkey"), 50).select("o_orderkey", "o_totalprice")
+
+
+@query("select event_id, user_id from events where event_type = 'error' and user_id = 8")
+def log_filter(spark, sf_dir):
+    return runs.log_filter(table(spark, sf_dir, "events"), event_type="error", user_id="8").select("event_id", "user_id")
+
+
+@query("select s_suppkey as id, s_name as url from supplier where s_acctbal > 0 and s_suppkey in (1, 3, 5, 7)")
+def seed_selection(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("url"), (F.col("s_acctbal") > 0).alias("enabled"))
+    return runs.seeds(rows, (1, 3, 5, 7)).select("id", "url")
+
+
+@query(f"""{STATUSES}, terms as (select *, regexp_matches(canonical_url, '^https?://[^/]+/[A-Za-z]+$') as to_term, regexp_matches(canonical_url, '^https?://[^/]+/[a-z][a-z]/[0-9]+') as to_page, regexp_matches(source_url, '^https?://[^/]+/[a-z][a-z]/[0-9]+') as from_page from statuses)
+  select 'PAGE_TYPE' as kind, case when to_page then 'page' else 'term' end as id, count(*) as links, count(*) filter (status = 'ENQUEUED') as enqueued from terms where to_page or to_term group by 1, 2
+  union all select 'TRANSITION', 'page-term', count(*) filter (from_page and to_term), count(*) filter (status = 'ENQUEUED') from terms union all select 'TRANSITION', 'unused', 0, 0""")
+def graph_overlay(spark, sf_dir):
+    edges = spark.createDataFrame([("page-term",), ("unused",)], "id string")
+    return runs.overlay(_statuses(spark, sf_dir), edges)
+
+
+@query("""with o as (select *, case o_orderkey % 4 when 0 then 'QUICK_SCRAPE' else 'PRODUCTION_RUN' end as run_type, case when o_orderkey % 3 = 0 then 'quick_scrape' else 'crawler_version' end as kind from orders)
+  select o_orderkey, (run_type = 'QUICK_SCRAPE') = (kind = 'quick_scrape') and o_orderkey % 7 <> 0 and (kind = 'quick_scrape' or o_orderkey % 5 <> 0) as valid from o""")
+def run_compatibility(spark, sf_dir):
+    """Which runs fit their configuration, user agent and configuration hash."""
+    k = F.col("o_orderkey")
+    ad_hoc = k % 3 == 0
+    version = F.when(~ad_hoc, "v1")
+    robots = F.struct(F.struct(F.lit("RESPECT").alias("decision"), F.lit(None).cast("string").alias("reason")).alias("decision"), F.lit("me").alias("actor"), F.lit("t").alias("decided_at"), F.lit("all").alias("affected_scope"), F.when(k % 7 == 0, "other").otherwise("ua").alias("user_agent"), version.alias("crawler_version_id"))
+    run = F.struct(
+        F.when(k % 4 == 0, "QUICK_SCRAPE").otherwise("PRODUCTION_RUN").alias("run_type"),
+        F.struct(F.when(ad_hoc, "quick_scrape").otherwise("crawler_version").alias("kind"), version.alias("crawler_version_id"), F.when(k % 5 == 0, "short").otherwise(F.repeat(F.lit("a"), 64)).alias("semantic_config_hash")).alias("configuration"),
+        F.array(F.lit("s")).alias("selected_seed_ids"), F.struct(F.struct(F.lit("ua").alias("value")).alias("user_agent")).alias("settings"), robots.alias("robots"), F.lit("me").alias("actor"), F.lit("now").alias("created_at"),
+    )
+    d = table(spark, sf_dir, "orders").select("o_orderkey", run.alias("run"))
+    return d.select("o_orderkey", (F.size(snapshots.violations("run")) == 0).alias("valid"))
+
+
+@query("""with r as (select o_orderkey as run_id, sha256(o_orderstatus || o_orderpriority || o_custkey) as h from orders where o_orderkey < 3000)
+  select a.run_id, b.run_id as resumes_run_id from r a join r b on a.h = b.h and a.run_id <> b.run_id""")
+def resume_compatibility(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("run_id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")), 256).alias("checkpoint_compatibility_hash"))
+    return snapshots.resumable(d, d)
+
+
+@query("""select o_orderkey, case when o_orderkey % 2 = 0 then '{"decision":"OVERRIDE","reason":"why ' || o_orderkey || '","actor":"me"}' else '{"decision":"RESPECT","actor":"me"}' end as payload from orders""")
+def robots_payload(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    k = F.col("o_orderkey")
+    decision = F.struct(F.when(k % 2 == 0, "OVERRIDE").otherwise("RESPECT").alias("decision"), F.concat(F.lit("why "), k.cast("string")).alias("reason"))
+    robots = F.struct(decision.alias("decision"), F.lit("me").alias("actor"), *[none.alias(c) for c in ("decided_at", "affected_scope", "user_agent", "crawler_version_id")])
+    return table(spark, sf_dir, "orders").select("o_orderkey", robots.alias("robots")).select("o_orderkey", snapshots.robots_payload("robots").alias("payload"))
+
+
+@query("select o_orderkey as run_id from orders where o_orderkey % 9 = 0")
+def snapshot_immutable(spark, sf_dir):
+    before = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("snapshot"), F.col("o_orderstatus").alias("status"))
+    after = before.withColumns({"snapshot": F.when(F.col("run_id") % 9 == 0, F.col("snapshot") + 1).otherwise(F.col("snapshot")), "status": F.lit("DONE")})
+    return snapshots.changed(before, after).select("run_id")
+
+
+@query("select * from (values ('price', 'TYPE', 'number', 'text'), ('extra', 'MISSING_FIELD', null, 'text'), ('gone', 'MISSING_FIELD', 'text', null), ('name', 'REQUIRED', 'text', 'text')) t(name, mismatch, type, right_type)")
+def contract_mismatches(spark, sf_dir):
+    left = spark.createDataFrame([("name", "text", True), ("price", "number", False), ("gone", "text", False), ("same", "url", False)], "name string, type string, required boolean")
+    right = spark.createDataFrame([("name", "text", False), ("price", "text", False), ("extra", "text", False), ("same", "url", False)], "name string, type string, required boolean")
+    return curation.contract_mismatches(left, right)
+
+
+@query(f"""with {CANONICAL}, known as (select canonical_url, min(page_id) as source_id from canon where page_id % 2 = 0 group by 1)
+  select page_id, 'src-' || source_id as source_id from canon left join known using (canonical_url)""")
+def source_reuse(spark, sf_dir):
+    d = _pages(spark, sf_dir)
+    known = d.where("page_id % 2 = 0").groupBy("canonical_url").agg(F.min("page_id").alias("n")).select("canonical_url", F.concat(F.lit("src-"), "n").alias("id"))
+    return tables.create_or_reuse(d, known).select("page_id", "source_id")
+
+
+@query("select o_orderkey, o_orderstatus = 'F' and date_diff('day', o_orderdate, timestamp '1998-01-01') > 30 as expired from orders")
+def trash_expiry(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "TRASHED").otherwise("ACTIVE").alias("status"), F.col("o_orderdate").alias("trashed_at"))
+    return versioning.trash(d, F.lit("1998-01-01").cast("timestamp")).select("o_orderkey", "expired")
+
+
+@query("select o_custkey as review_id, count(*) filter (o_orderstatus = 'O') as unresolved, case when count(*) filter (o_orderstatus = 'O') > 0 then 'CLOSED_WITH_UNRESOLVED_ITEMS' else 'CLOSED' end as state from orders group by 1")
+def review_close(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("review_id"), F.when(F.col("o_orderstatus") == "O", "NEW_CANDIDATE").otherwise("APPROVED").alias("state"))
+    return curation.close_review(items)
+
+
+@query("select p_partkey, p_size < 40 and p_retailprice >= 0 and p_type in ('ECONOMY', 'STANDARD') as ok from part")
+def check_constraints(spark, sf_dir):
+    d = table(spark, sf_dir, "part")
+    return d.select("p_partkey", ((F.col("p_size") < 40) & (F.col("p_retailprice") >= 0) & F.col("p_type").isin("ECONOMY", "STANDARD")).alias("ok"))
+
+
+@query("select page_id, len(regexp_extract_all(html, '<a href=')) as assets from pages where html like '%.pdf\"%'")
+def asset_discovery(spark, sf_dir):
+    return extraction.assets(table(spark, sf_dir, "pages").withColumn("url", F.col("page_id").cast("string"))).groupBy(F.col("source_url").cast("long").alias("page_id")).agg(F.count("*").alias("assets"))
+
+
+@query("""select n_nationkey, case when n_nationkey % 3 = 0 then null else '1234.500000000' end as number, n_nationkey % 2 = 0 as flag, date '2024-01-01' + n_nationkey::int as day from nation""")
+def typed_normalization(spark, sf_dir):
+    k = F.col("n_nationkey")
+    d = table(spark, sf_dir, "nation")
+    number = checks.number(F.when(k % 3 == 0, "EUR 5").otherwise(" 1.234,5 "), ",", ".")
+    day = checks.timestamp(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), k), "dd/MM/yyyy"), "dd/MM/yyyy")
+    return d.select("n_nationkey", number.cast("string").alias("number"), checks.boolean(F.when(k % 2 == 0, "Yes").otherwise("no")).alias("flag"), day.cast("date").alias("day"))
+
+
+@query("select o_custkey || chr(31) || lower(o_orderpriority) as key, count(*) as rows from orders where o_custkey % 10 <> 0 group by 1 having count(*) > 1")
+def normalized_keys(spark, sf_dir):
+    k = checks.key((F.when(F.col("o_custkey") % 10 != 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"))), ("trim",)), (F.col("o_orderpriority"), ("lower",)))
+    return curation.duplicate_keys(table(spark, sf_dir, "orders").withColumn("key", k).where("key is not null"), "key").select("key", "rows")
+
+
+@query("select 'orders' as dataset, count(*) as records, sum(o_totalprice) as total from orders where o_orderstatus = 'F'")
+def export_manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("DRAFT"))
+    return provenance.approved(d).agg(F.lit("orders").alias("dataset"), F.count("*").alias("records"), F.sum("o_totalprice").alias("total")).select("dataset", "records", "total")
+
+
+@query("select o_orderkey::varchar as entity_id, 'DUPLICATE' as problem from orders where o_orderkey % 100 = 0 union all select l_orderkey::varchar, 'ORPHAN' from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 3 <> 0)")
+def integrity_report(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    log = o.select(F.col("o_orderkey").cast("string").alias("id"))
+    again = log.where("cast(id as long) % 100 = 0")
+    found = runs.integrity(versioning.repeated_events(log, again), runs.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", o.where("o_orderkey % 3 <> 0"), "o_orderkey"))
+    return found.select("entity_id", F.when(F.col("code") == "CONFLICT", "DUPLICATE").otherwise("ORPHAN").alias("problem"))
+
+
+@query("select count(*) as conversations, count(*) filter (ok) as complete from (select conv_id, max(turn) - min(turn) + 1 = count(distinct turn) as ok from conversations group by 1)")
+def ordered_sequences(spark, sf_dir):
+    """Streams whose numbers have no gap."""
+    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("ok"))
+    return d.agg(F.count("*").alias("conversations"), F.count_if("ok").alias("complete"))

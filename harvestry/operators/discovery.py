@@ -183,9 +183,9 @@ def preview(statuses: DataFrame) -> DataFrame:
 def growth(statuses: DataFrame, by: str = "transition_id", warn: float = 0.8) -> DataFrame:
     """(by, links, share, warning): which transition brings most of the URLs."""
     grouped = statuses.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("links"))
-    total = grouped.agg(F.sum("links").alias("__total"))
-    out = grouped.join(F.broadcast(total), F.lit(True))  # one row
-    return out.select(by, "links", (F.col("links") / F.col("__total")).alias("share"), (F.col("links") / F.col("__total") > warn).alias("warning"))
+    total = grouped.agg(F.sum("links")).first()[0] or 1
+    share = F.col("links") / F.lit(total)
+    return grouped.select(by, "links", share.alias("share"), (share > warn).alias("warning"))
 
 
 def query_explosion(found: DataFrame, url: str = "canonical_url", warn: int = 100) -> DataFrame:

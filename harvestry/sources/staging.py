@@ -6,6 +6,8 @@ the session names in ``spark.checkpoint.dir``; only where none is named (local r
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="harvestry-staging-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return f"file://{_LOCAL[0]}"
 
 

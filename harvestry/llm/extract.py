@@ -42,16 +42,19 @@ FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense alert announcement author-box banner bio breadcrumb breadcrumbs byline captcha combx comment comments commentlist complementary consent contentinfo cookie cookies "
     "copyright disclaimer discussion disqus donate dropdown extra flyout foot footer footnav gdpr head header hidden legal login masthead menu menubar message modal nav navbar navigation newsletter notice notification overlay pager "
     "pagination paywall popup promo promoted promotion rail reader reactions recommended register related replies reply respond sharing share shoutbox sidebar sidenav signin signup skip social sponsor sponsored "
-    "subscribe subscription survey tags teaser toolbar topbar warning widget".split()
+    "subscribe subscription survey tags teaser teasers ticker toolbar topbar trending popular recent latest warning widget".split()
 )
+# Words among them that name a part of the article too, inside one or beside a word of content.
+MIXED_WORDS = frozenset("header head text".split())
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
+STRONG_WORDS = frozenset("article articlebody entry post story".split())
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*(?:>|\Z))""", re.S)
 LOOSE = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*(?:>|\Z))", re.S)
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD_BREAK = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 #: Weights of the classifier (log odds) and of the edges.
-WEIGHTS = {"base": -2.0, "words": 1.0, "sentence": 1.0, "links": -5.0, "heading": 1.5, "inside": 4.0, "furniture": -7.0, "rights": -3.0, "named": 1.0}
+WEIGHTS = {"base": -2.0, "words": 1.0, "sentence": 1.0, "links": -5.0, "heading": 1.5, "inside": 4.0, "furniture": -7.0, "rights": -3.0, "named": 2.5, "wrapped": 1.0}
 BESIDE, APART, CONTAINER = 0.8, 0.25, 0.3
 
 
@@ -152,9 +155,14 @@ def judge(elements: list[Element], blocks: list[tuple[int, str, int]]) -> None:
         elements[e].chars += len(text)
         total += len(text)
     for e in reversed(elements[1:]):
-        up = elements[e.parent]
-        up.chars += e.chars
-        up.holds |= e.holds or e.tag in CONTENT
+        elements[e.parent].chars += e.chars
+    # the largest article is the page's, if it has a good part of its text; what holds it is no furniture
+    largest = max((e for e in elements[1:] if e.tag in CONTENT), key=lambda e: e.chars, default=None)
+    if largest is not None and largest.chars > 0.25 * total:
+        at = largest.parent
+        while at >= 0:
+            elements[at].holds = True
+            at = elements[at].parent
     for e in elements[1:]:
         up = elements[e.parent]
         e.score, e.settled = up.score, up.settled
@@ -172,14 +180,17 @@ def judge(elements: list[Element], blocks: list[tuple[int, str, int]]) -> None:
                     names.update(x for w in whole for x in w.split("-"))
         most = e.holds or e.chars > 0.6 * total and e.tag not in FURNITURE
         in_article = up.score > 0
-        if hidden or e.tag in FURNITURE and not (e.tag == "header" and in_article) and not (e.tag == "form" and e.holds):
+        if in_article or names & CONTENT_WORDS:
+            names -= MIXED_WORDS
+        whole_form = e.tag == "form" and (e.holds or e.chars > 0.6 * total)  # some pages are one form
+        if hidden or e.tag in FURNITURE and not (e.tag == "header" and in_article) and not whole_form:
             e.score, e.settled = WEIGHTS["furniture"], True
         elif names & FURNITURE_WORDS and not most and not (e.tag in ("p", "h1", "h2") and not names & {"ad", "ads"} and in_article):
             e.score, e.settled = WEIGHTS["furniture"], True
         elif e.tag in CONTENT and not e.settled:
             e.score = WEIGHTS["inside"]
         elif names & CONTENT_WORDS and not e.settled:
-            e.score = max(e.score, WEIGHTS["named"])
+            e.score = max(e.score, WEIGHTS["named" if names & STRONG_WORDS else "wrapped"])
 
 
 def odds(e: Element, text: str, linked: int) -> float:

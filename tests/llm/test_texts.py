@@ -254,6 +254,14 @@ def test_every_word_is_in_a_window():
         ("", ""), ("just some text. It goes on for a while, as texts do when they are long enough.", "just some text. It goes on for a while, as texts do when they are long enough."),
         ("<nav><a href=/>Home</a></nav><article><h1>T &amp; t</h1><p>One<br>two <b>three</b>.<p>Four.</article><footer>&copy; x</footer>", "T & t\n\nOne two three.\n\nFour."),
         ("<main><p>Words that make a paragraph of some length here.</p><aside>no</aside><form>no<input></form><div class='ad-box ad'>no</div><div class=cookie-notice>no</div><section id=comments><p>A reader has said a lot of words about this here.</p></section></main>", "Words that make a paragraph of some length here."),
+        (
+            "<body class='has-sidebar header-top'><div class=page-with-sidebar><div class=site-header><p>Site</p></div><div id=content class=site-content><div class=post><div class=post-header><h1>Title</h1></div>"
+            "<div class=entry-content><p>Some real words make this paragraph long.</p><ul><li>first</li><li>second</li></ul><p>End.</p></div><div class=entry-footer>Filed under x</div><div class='share buttons'>Share this</div></div>"
+            "<div id=comments><ol class=commentlist><li class=comment><p>I really like what has been written here, thanks a lot.</p></li></ol></div></div>"
+            "<div class=sidebar><article><h2>Teaser</h2></article><ul><li><a href=/r>Recent post</a></li></ul></div></div><footer>Imprint</footer>",
+            "Title\n\nSome real words make this paragraph long.\n\nfirst\n\nsecond\n\nEnd.",
+        ),
+        ("<form id=aspnet><div class=menu><a href=/>x</a></div><div class=content><h1>T</h1><p>A paragraph in a page that is one form, as some are.</p></div></form>", "T\n\nA paragraph in a page that is one form, as some are."),
         ("<article><p>a<script>if (x < '</p>') y()</script>b<style>p{}</style></p><!-- c --><p title='\"'>d</p>", "a b\n\nd"), ("<article><p>cut <b>off</", "cut off"), ("<article><p>cut <a href=\"x", "cut"),
     ],
 )

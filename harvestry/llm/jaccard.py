@@ -41,7 +41,7 @@ MISS = 1e-10
 #: Minhashes of a bucket.
 ROWS = {90: 8, 80: 6}
 #: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 512, 1 << 19
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 18
 #: Groups' members up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST = 500_000
 #: Words whose hashes a worker remembers.

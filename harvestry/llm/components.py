@@ -2,21 +2,55 @@
 
 Every round is a few grouped minima and joins over the links, written to the shared folder; nothing is collected but counts.
 A node with very many links costs no task more than its share: minima are taken before the shuffle, and the joins are
-between written tables, which Spark splits where a key is hot.
+between written tables, which Spark splits where a key is hot. Up to ONE_TASK links, counted first, one task of bounded
+memory finds the components instead of many rounds of tiny tasks; beyond that the rounds do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.llm.store import Scratch
 
+#: Links that one task takes at most (about 200 bytes each).
+ONE_TASK = 500_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and their roots from links (u, v), by union and find."""
+    top: dict = {}
+
+    def find(x):
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top.setdefault(up, up)
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                top[max(u, v)] = min(u, v)
+    nodes = list(top)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], ["node", "root"])
+
 
 def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of links (a, b), roots among them; root is the least node of the component."""
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.write("cc-links", ordered)
+    if edges.count() <= ONE_TASK:
+        kind = edges.schema["u"].dataType.simpleString()
+        roots = scratch.write("cc-roots", edges.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+        scratch.drop(edges)
+        return roots
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -21,7 +21,6 @@ empty result. The special tokens of the tokenizer, where a text spells them, bec
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 import unicodedata
@@ -66,15 +65,15 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = max(self.tokenizer.get_added_tokens_decoder().items())
         # words of letters alone need no normaliser and are one piece each: the model itself, told apart by word ends
-        told = json.loads(self.tokenizer.to_str())
-        told |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.plain = Tokenizer.from_str(json.dumps(told))
-        suffix = told["model"].get("end_of_word_suffix")
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = self.plain.model.end_of_word_suffix
         self.ends = np.array([bool(suffix) and str(self.plain.id_to_token(i)).endswith(suffix) for i in range(self.plain.get_vocab_size())])
         random = np.random.default_rng(17)
         self.letter = random.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -214,7 +213,7 @@ def _cutter(path: str, capacity: int, end: int):
         if path not in _HELD:
             _HELD[path] = WordIds(path)
         ids, tail = _HELD[path], np.array([end], dtype="<u4").tobytes()
-        for b in pieces(batches, 1 << 20):
+        for b in pieces(batches, 1 << 19):
             row, piece, start, length, crc = [], [], [], [], []
             for i, data in enumerate(_in_parts(as_bytes(b.column(b.num_columns - 1)), ids)):
                 data = data.tobytes() + tail

@@ -2,8 +2,8 @@
 
 The model of a text is a model of its tokens, the lower-cased words and an end, in three levels of restaurants:
 
-- tokens: the CONTEXTS most frequent words have a restaurant each, over the DISHES most frequent tokens and a dish for all
-  rarer words together; these context restaurants share one parent, where the tokens after other words sit too;
+- tokens: every word of training, and the end, has a context restaurant over the words that follow it; all share one root,
+  over the DISHES - 1 most frequent words, the end and a dish for all rarer words together;
 - rare words: one restaurant over all words that are not listed, however many;
 - spelling: the base of the rare words, a chain of restaurants over the next byte by the last four, three, two, one and no
   bytes, in hashed contexts whose parents are hashes of shorter ones; it gives every unseen word a probability.
@@ -14,14 +14,15 @@ The column open_score has the log probability with such words spelt out.
 
 Seatings are sampled by Gibbs sweeps: the tables of one dish in one restaurant are seated anew, customer by customer, given
 the tables of all others from the sweep before and the parent's prediction. Within a sweep the dishes are independent, so
-the rare words are sampled where they are stored. The first BURN sweeps are dropped; predictive probabilities are averaged
-over the SWEEPS that follow (the sweeps of the three levels are averaged level by level). Beyond the first thousand
-customers of a dish in a restaurant, customers are seated a block at a time.
+pairs and rare words are sampled where they are stored. Spelling and root are swept BURN + SWEEPS times, the last SWEEPS
+averaged; pairs have BURN passes and rare words BURN + 1, each of SWEEPS draws at fixed totals, of which the mean of the last
+pass counts. A root's and a rare word's customers are the tables of a pass's last draw. A pair that occurs once has one table
+always. Beyond the first thousand customers of a dish in a restaurant, customers are seated a block at a time.
 
-Counts cover all training documents. Word counts grow with the corpus: they are grouped and joined, not collected. What
-is collected and broadcast has a fixed bound: CONTEXTS x (DISHES + 1) counts, a table of spelling counts, and the counts of
-at most COMMON of the rare words, those that occur most. The listed words come from a bounded, hashed sample of the training
-texts. Since the frequent words are settled on the spot, the rows that are joined by word are few and have no hot key.
+Counts cover all training documents, words and pairs alike. They grow with the corpus: they are grouped and joined by 64-bit
+hashes, not collected. What is collected and broadcast has a fixed bound: the DISHES listed words, a table of spelling counts,
+numbers of at most COMMON words, and the scores of at most HOT pairs, those that occur most. Since frequent words and pairs are
+settled by these, joins have no hot key.
 
 Cases: a null or empty text is the end token alone. A null id is neither held out nor trained on. Repeated rows are scored
 each, and counted each in training. Without training rows all counts are 0 and N and V too; the base is then
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,16 @@ from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
 CONTEXTS, DISHES = 255, 4095
-#: Training rows that the listed words come from, about.
-SAMPLE = 4000
-#: Rare words at most whose counts every worker has.
-COMMON = 200_000
+#: Words at most that are broadcast to the joins of pairs with words, and pairs at most whose scores every worker has.
+COMMON, HOT = 200_000, 400_000
+#: Counts from which on histograms of counts do not tell them apart.
+CAP = 100_000
+#: Words whose hashes a worker remembers.
+REMEMBER = 120_000
 #: Discount and strength of each level; the discount of rare words follows from how many occur once and twice.
 TOKEN, RARE, SPELL = (0.75, 5.0), 50.0, (0.6, 1.0)
 BURN, SWEEPS = 2, 3
-#: Distinct words that a worker counts before it hands them on.
+#: Tokens that a worker counts before it hands the counts on.
 FLUSH = 400_000
 END = b"\n"  # no word holds it
 #: Contexts of 0 to 4 bytes.
@@ -112,6 +114,10 @@ class Spelling:
     def __init__(self, share: list[np.ndarray], lift: list[np.ndarray]):
         self.share, self.lift = share, lift
 
+    def __reduce__(self):
+        # most cells are empty and need not travel
+        return _unpacked, ([(x.shape, np.flatnonzero(x).astype(np.int32), x[x != 0]) for x in self.share], self.lift)
+
     def log10(self, ws: list[bytes]) -> np.ndarray:
         if not ws:
             return np.zeros(0)
@@ -124,6 +130,13 @@ class Spelling:
         return np.add.reduceat(np.log10(p), first)
 
 
+def _unpacked(parts: list, lift: list[np.ndarray]) -> Spelling:
+    share = [np.zeros(shape, dtype=np.float32) for shape, _, _ in parts]
+    for x, (_, at, values) in zip(share, parts, strict=True):
+        x.ravel()[at] = values
+    return Spelling(share, lift)
+
+
 def spelling(cells: np.ndarray, counts: np.ndarray, seed: int = 0) -> Spelling:
     """From counts of (deepest context * 256 + byte) cells."""
     rng = np.random.default_rng(seed)
@@ -192,65 +205,67 @@ def tokens(listed: list[bytes], cells: np.ndarray, counts: np.ndarray, seed: int
     return Tokens(listed, np.log10(total))
 
 
-def listed_words(texts: list[bytes]) -> list[bytes]:
-    """The most frequent tokens, the end first, ties by name."""
-    count: Counter = Counter()
-    for t in texts:
-        count.update(words(t))
-    return [END, *[w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: DISHES - 1]]]
-
+class Hashes(dict):
+    """64-bit hashes of words, each made once."""
 
-def _context_of(place: dict[bytes, int]) -> np.ndarray:
-    """The context of each dish: the first CONTEXTS words have one; the last entry is for rare words."""
-    n = len(place)
-    out = np.full(n + 1, CONTEXTS)
-    out[:n] = np.where(np.arange(n) < CONTEXTS, np.arange(n), CONTEXTS)
-    return out
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def _read(texts: list[bytes], place: dict[bytes, int], other: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """All tokens, an end after each text; their places, other if they have none; and where each text begins."""
+def _read(texts: list[bytes], known: Hashes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens, an end after each text; their hashes; those of the tokens before, a text beginning after an end; and where each text begins."""
+    if len(known) > REMEMBER:
+        known.clear()
     ws: list[bytes] = []
     starts = []
     for t in texts:
         starts.append(len(ws))
         ws += words(t)
         ws.append(END)
-    return ws, np.fromiter(map(place.get, ws, repeat(other)), dtype=np.int64, count=len(ws)), np.array(starts, dtype=np.int64)
+    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws)).view(np.int64)
+    return ws, h, np.r_[known[END], h[:-1].view(np.uint64)].astype(np.uint64).view(np.int64), np.array(starts, dtype=np.int64)
 
 
-def _before(dishes: np.ndarray, context_of: np.ndarray, end: int) -> np.ndarray:
-    """Contexts of the tokens; a text begins after an end."""
-    return context_of[np.r_[end, dishes[:-1]]]
+def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The name of a pair of words: the first hash, rotated by a bit, xor the second; the same as _pair_column."""
+    u = before.view(np.uint64)
+    return ((u << np.uint64(1)) | (u >> np.uint64(63))).view(np.int64) ^ h
 
 
-def _counter(place: dict[bytes, int]):
-    """Counts of the words that are not listed, and of cells, which hold those that are."""
+def _pair_column(before: str, h: str) -> Column:
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(F.col(h))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        cells = np.zeros((CONTEXTS + 1) * (DISHES + 1), dtype=np.int64)
-        context_of, end, rare = _context_of(place), place[END], len(place)
 
-        def flush() -> pa.RecordBatch:
-            ws = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.nulls(len(ws), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["word", "cell", "n"])
-            seen.clear()
-            return out
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (with their hashes) and of pairs (hashes of both), a part at a time."""
+    seen, known, held, many = Counter(), Hashes(), [], 0
 
-        for b in pieces(batches, 1 << 20):
-            ws, dishes, _ = _read(as_bytes(b.column(0)), place, rare)
-            seen.update([ws[i] for i in np.flatnonzero(dishes == rare).tolist()])
-            cells += np.bincount(_before(dishes, context_of, end) * (DISHES + 1) + dishes, minlength=len(cells))
-            if len(seen) > FLUSH:
-                yield flush()
-        if seen:
-            yield flush()
-        at = np.flatnonzero(cells)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["word", "cell", "n"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held, many
+        ws = list(seen)
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in ws], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.nulls(len(ws), pa.int64()), pa.array(h), pa.array(list(seen.values()), pa.int64())], ["word", "u", "w", "n"])
+        u, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, n = np.unique(_pair(u, w), return_index=True, return_counts=True)
+        u, w = u[first], w[first]
+        for at in range(0, len(n), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n[part]), pa.binary()), pa.array(u[part]), pa.array(w[part]), pa.array(n[part])], ["word", "u", "w", "n"])
+        seen.clear()
+        held, many = [], 0
 
-    return count
+    for b in pieces(batches, 1 << 20):
+        if not b.num_rows:
+            continue
+        ws, h, before, _ = _read(as_bytes(b.column(0)), known)
+        seen.update(ws)
+        held.append((before, h))
+        many += len(h)
+        if many > FLUSH:
+            yield from flush()
+    if held:
+        yield from flush()
 
 
 def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,70 +280,142 @@ def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
 
-def _seater(model: Spelling, d: float, tables: float, seed: int):
+def _wide(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, for work that has a cost a batch."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _rarity(model: Spelling, listed: set[bytes]):
+    """The spelling of rare words, 0 of listed ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _wide(batches):
+            ws = as_bytes(b.column(0))
+            rare = np.array([w not in listed for w in ws], dtype=bool)
+            spelt = np.zeros(len(ws))
+            spelt[rare] = 10 ** model.log10([w for w in ws if w not in listed])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spelt)], [*b.schema.names, "spelt"])
+
+    return run
+
+
+def _seater(d: float, tables: float, listed: dict[bytes, float], seed: int):
+    """Tables of rare words, by the customers that the contexts send and their spelling; of listed words what the root gives them."""
     strength = RARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ws, n = as_bytes(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            if not ws:
-                continue
-            base = 10 ** model.log10(ws)
+        for b in _wide(batches):
+            ws, n, base = as_bytes(b.column(0)), *(b.column(x).to_numpy(zero_copy_only=False).astype(np.float64) for x in ("n0", "spelt"))
+            rare = np.array([w not in listed for w in ws])
             rng = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(ws[0])])
             sums = np.zeros(len(ws))
-            for k in range(SWEEPS):
-                t = seat(n, base, d, np.full(len(ws), strength + d * tables), rng)
+            for _ in range(SWEEPS):
+                sums[rare] += seat(n[rare], base[rare], d, np.full(int(rare.sum()), strength + d * tables), rng)
+            root = pa.array([listed.get(w) for w in ws], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums / SWEEPS), root], [*b.schema.names, "tables", "root"])
+
+    return run
+
+
+def _pair_seater(seed: int):
+    """Tables of pairs that occur more than once: the last draw, and the mean of SWEEPS draws."""
+    d, strength = TOKEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _wide(batches):
+            n, base, tables = (b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3, 4))
+            rng = np.random.default_rng([seed, b.column(0)[0].as_py() & 0xFFFFFFFF, b.column(1)[0].as_py() & 0xFFFFFFFF])
+            sums = np.zeros(len(n))
+            for _ in range(SWEEPS):
+                t = seat(n, base, d, strength + d * tables, rng)
                 sums += t
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in ws], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), b.column(1), pa.array(sums / SWEEPS), pa.array(base)], ["word", "__h", "c", "tables", "spelt"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(t.astype(np.int64)), pa.array(sums / SWEEPS)], ["u", "w", "c", "last", "t"])
 
     return run
 
 
-def _scorer(model: Tokens, spell: Spelling, common: list[bytes], base: np.ndarray, own: np.ndarray, known: np.ndarray, kind: pa.DataType):
-    """Rows by document: one with what is known on the spot, and one for each token that is neither listed nor common.
+def _scorer(spell: Spelling, hot: np.ndarray, hot_score: np.ndarray, hot_base: np.ndarray, kind: pa.DataType):
+    """Rows by document: one with what the hot pairs settle on the spot, and one for each token of another pair.
 
-    base, own, known: of the listed and common words, then 0: the base's log10, the restaurant's own share of the score, and
-    whether training has the word.
+    hot: names of the hot pairs, sorted; hot_score, hot_base: the log10 of each. Rows of texts that are no training texts have the
+    hashes of both words and the spelling too, for their pairs may be new.
     """
-    table = model.log10
     own_type = pa.struct([("id", kind), ("score", pa.float64()), ("base", pa.float64()), ("n_known", pa.int64()), ("n_tokens", pa.int64())])
-    listed = len(model.place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        place = model.place | {w: listed + i for i, w in enumerate(common)}
-        context_of, end, other = _context_of(model.place), place[END], len(place)
+        known = Hashes()
         row = TaskContext.get().partitionId() << 40
         for b in pieces(batches, 1 << 20):
             if not b.num_rows:
                 continue
-            ws, at, starts = _read(as_bytes(b.column(1)), place, other)
-            dishes = np.minimum(at, listed)
+            ws, h, before, starts = _read(as_bytes(b.column(1)), known)
             m = b.num_rows
-            sums = [np.add.reduceat(x, starts) for x in (table[_before(dishes, context_of, end), dishes] + own[at], base[at], known[at], np.ones(len(at), dtype=np.int64))]
-            left = np.flatnonzero(at == other)
-            rare = [ws[i] for i in left.tolist()]
-            new = list(set(rare))
-            told = dict(zip(new, range(len(new)), strict=True))
-            which = np.fromiter(map(told.get, rare), dtype=np.int64, count=len(rare))
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in new], dtype=np.uint64).view(np.int64)
+            pair = _pair(before, h)
+            place = np.minimum(np.searchsorted(hot, pair), max(len(hot) - 1, 0))
+            told = hot[place] == pair if len(hot) else np.zeros(len(pair), dtype=bool)
+            zero = np.zeros(len(pair))
+            parts = [np.where(told, x[place], 0.0) if len(hot) else zero for x in (hot_score, hot_base)]
+            sums = [np.add.reduceat(x, starts) for x in (*parts, told.astype(np.int64), np.ones(len(pair), dtype=np.int64))]
+            left = np.flatnonzero(~told)
             docs = np.searchsorted(starts, left, side="right") - 1
+            trained = b.column(2).to_numpy(zero_copy_only=False).astype(bool)[docs]
+            new = left[~trained]
+            distinct = list({ws[i] for i in new.tolist()})
+            spelt = dict(zip(distinct, spell.log10(distinct).tolist(), strict=True))
+            spelt_ = np.zeros(len(left))
+            spelt_[~trained] = [spelt[ws[i]] for i in new.tolist()]
             mine = pa.StructArray.from_arrays([b.column(0).cast(kind), *[pa.array(x).cast(t.type) for x, t in zip(sums, list(own_type)[1:], strict=True)]], fields=list(own_type))
-            none = np.r_[np.zeros(len(rare), dtype=bool), np.ones(m, dtype=bool)]
+            pad = np.zeros(m, dtype=np.int64)
+            none = np.r_[np.zeros(len(left), dtype=bool), np.ones(m, dtype=bool)]
+            hidden = np.r_[trained, np.ones(m, dtype=bool)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.r_[docs, np.arange(m)]), pa.array(np.r_[hashes[which], np.zeros(m, dtype=np.int64)], mask=none), pa.array(np.r_[spell.log10(new)[which], np.zeros(m)], mask=none),
-                    mine.take(pa.array(np.r_[np.zeros(len(rare), dtype=np.int64), np.arange(m)], mask=~none)),
+                    pa.array(row + np.r_[docs, np.arange(m)]), pa.array(np.r_[pair[left], pad], mask=none), pa.array(np.r_[before[left], pad], mask=hidden), pa.array(np.r_[h[left], pad], mask=hidden),
+                    pa.array(np.r_[spelt_, pad], mask=hidden), mine.take(pa.array(np.r_[np.zeros(len(left), dtype=np.int64), np.arange(m)], mask=~none)),
                 ],
-                ["row", "h", "spell", "own"],
+                ["row", "pair", "u", "w", "spell", "own"],
             )
             row += m
 
     return run
 
 
+def _looked_up(rows: DataFrame, on: str, words_: DataFrame, least: int, **columns: str) -> DataFrame:
+    """rows with columns of the words whose hash is in on: the frequent words are broadcast, so that the join has no hot key."""
+    picked = words_.select(F.col("w").alias("__h"), "c", *[F.col(c).alias(name) for name, c in columns.items()])
+    few, rest = (picked.where(x).withColumnRenamed("c", "__c") for x in (F.col("c") >= least, F.col("c") < least))
+    hit = rows.join(F.broadcast(few), F.col(on) == F.col("__h"))
+    miss = rows.join(F.broadcast(few.select("__h")), F.col(on) == F.col("__h"), "left_anti").join(rest, F.col(on) == F.col("__h"), "left")
+    return hit.unionByName(miss).select(*rows.columns, *columns)
+
+
+def _listed(last: tuple[int, bytes] | None) -> Column:
+    """Whether a word is the end or no rarer, and at an equal count no later, than the last listed one."""
+    end = F.col("word") == F.lit(END)
+    return end if last is None else end | (F.col("c") > last[0]) | ((F.col("c") == last[0]) & (F.col("word") <= F.lit(last[1])))
+
+
+def _from(histogram: list, most: int) -> int:
+    """The least count such that at most most things have it or more, by (count, things) rows, the last count standing for more."""
+    least, many = CAP + 1, 0
+    for r in sorted(histogram, key=lambda r: -r["c"]):
+        many += r["n"]
+        if many > most:
+            break
+        least = r["c"]
+    return least
+
+
 def remainder(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5
 
@@ -340,65 +427,92 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     train = own.where(remainder(F.col("__id")) != 1)
-    n_docs = train.select("__id").count()
-    share = min(1.0, SAMPLE / max(n_docs, 1))
-    some = train.where(F.pmod(F.xxhash64("__id", F.lit(4)), F.lit(1 << 20)) < share * (1 << 20)).select("__text").toArrow()
-    listed = listed_words(as_bytes(some["__text"].combine_chunks()) if some.num_rows else [])
-    place = {w: i for i, w in enumerate(listed)}
-    # all counts of the training texts
-    raw = train.select("__text").mapInArrow(_counter(place), "word binary, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("c"))
-    counted = scratch.write("lm-counts", raw)
-    cells = counted.where("cell is not null").select("cell", "c").toArrow().sort_by("cell")  # CONTEXTS * DISHES rows at most
-    cell, count = cells["cell"].to_numpy(), cells["c"].to_numpy()
-    model = tokens(listed, cell, count)
-    counts = np.bincount(cell % (DISHES + 1), count, len(listed) + 1)[: len(listed)]
-    rare = counted.where("word is not null").select("word", "c")
-    sizes = rare.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n_rare, v_rare = int(sizes[0] or 0), int(sizes[1] or 0)
-    d = min(max(sizes[2] / max(sizes[2] + 2 * sizes[3], 1), 0.05), 0.95)
-    n_all, v_all = int(count.sum()), v_rare + int((counts > 0).sum())
-    spelt = rare.select("word").mapInArrow(_speller, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")  # LEVELS[-1] * 256 rows at most
+    # all counts of the training texts, of words and of pairs
+    counted = scratch.write("lm-counts", train.select("__text").mapInArrow(_counter, "word binary, u long, w long, n long").groupBy("word", "u", "w").agg(F.sum("n").alias("c")))
+    found, pairs = counted.where("word is not null").select("word", "w", "c"), counted.where("word is null").select("u", "w", "c")
+    sizes = found.agg(F.sum("c"), F.count("*")).first()
+    n_all, v_all = int(sizes[0] or 0), int(sizes[1] or 0)
+    most = found.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").select("word", "c").limit(DISHES - 1).collect()
+    last = (most[-1]["c"], bytes(most[-1]["word"])) if most else None
+    listed = [END, *[bytes(r["word"]) for r in most]]
+    # pairs that occur once have one table in every sweep
+    single = F.count_if(F.col("c") == 1).alias("single")
+    after = pairs.groupBy("w").agg(single, F.count("*").alias("n0")).select(F.col("w").alias("__w"), F.col("single").alias("single_w"), "n0")
+    before = pairs.groupBy("u").agg(single, F.count("*").cast("double").alias("t")).select(F.col("u").alias("__u"), F.col("single").alias("single_u"), "t")
+    vocabulary = found.join(after, F.col("w") == F.col("__w")).join(before, F.col("w") == F.col("__u"))
+    vocabulary = scratch.write("lm-words", vocabulary.select("word", "n0", "w", "c", "single_w", "single_u", "t"))
+    capped = lambda df: df.groupBy(F.least("c", F.lit(CAP)).alias("c")).agg(F.count("*").alias("n")).collect()
+    least = _from(capped(vocabulary), COMMON)
+    spelt = vocabulary.where(~_listed(last)).select("word").mapInArrow(_speller, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")  # LEVELS[-1] * 256 rows at most
     spell = spelling(spelt["cell"].to_numpy(), spelt["n"].to_numpy().astype(np.float64))
-    # sweeps over the rare words: the tables of all follow from the sweep before
-    tables, seated = float(v_rare), None
-    for sweep in range(BURN):
-        if seated is not None:
-            scratch.drop(seated)
-        seated = scratch.write("lm-seats", rare.mapInArrow(_seater(spell, d, tables, sweep), "word binary, __h long, c long, tables double, spelt double"))
-        sums = seated.agg(F.sum("tables"), F.sum("spelt")).first()
+    fields = "word binary, n0 long, w long, c long, single_w long, single_u long, t double, spelt double"
+    seats = scratch.write("lm-words", vocabulary.mapInArrow(_rarity(spell, set(listed)), fields))
+    scratch.drop(vocabulary)
+    vocabulary = seats
+    many, strength, (d_pair, s_pair) = pairs.where("c > 1"), RARE, TOKEN
+    tables: float | None = None
+    for sweep in range(BURN + 1):
+        # the root and the rare words, given the customers that all contexts send
+        sent = {bytes(r["word"]): r["n0"] for r in vocabulary.where(_listed(last)).select("word", "n0").collect()}  # DISHES rows at most
+        rare = vocabulary.where(~_listed(last))
+        r = rare.agg(F.sum("n0"), F.count("*"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2)).first()
+        n_rare, v_rare = int(r[0] or 0), int(r[1] or 0)
+        d = min(max(r[2] / max(r[2] + 2 * r[3], 1), 0.05), 0.95)
+        customers = np.array([*[sent.get(w, 0) for w in listed], n_rare])
+        at = np.flatnonzero(customers)
+        root = 10 ** tokens(listed, CONTEXTS * (DISHES + 1) + at, customers[at], sweep).log10[CONTEXTS]
+        to_rare = float(root[-1])
+        seats = scratch.write("lm-seats", vocabulary.mapInArrow(_seater(d, float(v_rare) if tables is None else tables, dict(zip(listed, root.tolist(), strict=False)), sweep), f"{fields}, tables double, root double"))
+        scratch.drop(vocabulary)
+        sums = seats.agg(F.sum("tables"), F.sum("spelt")).first()
         tables, spelt_rare = float(sums[0] or 0), float(sums[1] or 0)
-    scratch.drop(counted)
-    strength = RARE
-    lift = (strength + d * tables) / (strength + n_rare)
-    unseen = max(1 - spelt_rare - float((10 ** spell.log10(listed)).sum()), 1e-6)
-    # the rare words that occur most: from which count on, by a histogram of counts
-    sizes = sorted(seated.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["c"])
-    least, many = 100_001, 0
-    for r in sizes:
-        many += r["n"]
-        if many > COMMON:
+        lift = (strength + d * tables) / (strength + n_rare)
+        in_rare = F.greatest(F.col("n0") - d * F.col("tables"), F.lit(0.0)) / (strength + n_rare) + lift * F.col("spelt")
+        vocabulary = seats.withColumn("p0", F.coalesce("root", to_rare * in_rare))
+        if sweep == BURN:
             break
-        least = r["c"]
-    top = seated.where(F.col("c") >= least).select("word", "c", "tables", "spelt").toArrow().sort_by("word")  # COMMON rows at most
-    c, t, spelt = (top[x].to_numpy().astype(np.float64) for x in ("c", "tables", "spelt"))
-    all_c = np.r_[counts, c]
-    base = np.r_[np.log10((all_c + 0.5) / (n_all + 0.5 * (v_all + 1))), 0.0]
-    share = np.r_[np.zeros(len(listed)), np.log10(np.maximum(c - d * t, 0) / (strength + n_rare) + lift * spelt), 0.0]
-    known = np.r_[all_c > 0, False].astype(np.int64)
-    common = as_bytes(top["word"].combine_chunks())
-    scorer = _scorer(model, spell, common, base, share, known, to_arrow_type(docs.schema[key].dataType))
-    lines = own.mapInArrow(scorer, f"row long, h long, spell double, own struct<id: {kind}, score: double, base: double, n_known: long, n_tokens: long>")
-    here = F.coalesce(F.col("c"), F.lit(0))
-    p = F.greatest(here - d * F.coalesce("tables", F.lit(0.0)), F.lit(0.0)) / (strength + n_rare) + lift * F.pow(F.lit(10.0), "spell")
-    told = F.when(here > 0, p).otherwise(lift * unseen)
-    base_ = F.log10((here + 0.5) / (n_all + 0.5 * (v_all + 1)))
-    # a text's own row has no word; a number of its own takes it to some partition
-    lines = lines.withColumn("__key", F.coalesce("h", F.xxhash64("row", F.lit(1))))
-    both = lines.join(seated.where(F.col("c") < least).select("__h", "c", "tables"), (F.col("__key") == F.col("__h")) & F.col("h").isNotNull(), "left")
-    word = F.col("h").isNotNull()
-    summed = both.groupBy("row").agg(
-        F.max("own").alias("own"), F.count_if(word & (here > 0)).alias("known"), F.sum(F.when(word, base_)).alias("base"), F.sum(F.when(word, F.log10(told))).alias("score"), F.sum(F.when(word, F.log10(p))).alias("open")
+        asked = _looked_up(_looked_up(many.select("u", "w", "c"), "w", vocabulary, least, p0="p0"), "u", vocabulary, least, t="t")
+        seated = scratch.write("lm-pairs", asked.mapInArrow(_pair_seater(sweep), "u long, w long, c long, last long, t double"))
+        if sweep:
+            scratch.drop(many)
+        many = seated
+        to_word = many.groupBy("w").agg(F.sum("last").alias("m")).select(F.col("w").alias("__w"), "m")
+        of_word = many.groupBy("u").agg(F.sum("t").alias("k")).select(F.col("u").alias("__u"), "k")
+        more = vocabulary.join(to_word, F.col("w") == F.col("__w"), "left").join(of_word, F.col("w") == F.col("__u"), "left")
+        zero_ = F.lit(0).cast("long")
+        vocabulary = scratch.write("lm-words", more.select("word", (F.col("single_w") + F.coalesce("m", zero_)).alias("n0"), "w", "c", "single_w", "single_u", (F.col("single_u") + F.coalesce("k", F.lit(0.0))).alias("t"), "spelt"))
+        scratch.drop(seats)
+    # a context's own share of each of its pairs and what it leaves to the root; a word is a context as often as it occurs
+    context = (s_pair + d_pair * F.col("t")) / (s_pair + F.col("c"))
+    base_ = lambda c: F.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
+    vocabulary = vocabulary.withColumns({"up": context, "n": F.col("c"), "base": base_(F.col("c"))})
+    told = pairs.where("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).unionByName(many.select("u", "w", "c", "t"))
+    told = _looked_up(_looked_up(told, "w", vocabulary, least, p0="p0", base="base"), "u", vocabulary, least, up="up", n="n")
+    p = F.greatest(F.col("c") - d_pair * F.col("t"), F.lit(0.0)) / (s_pair + F.col("n")) + F.col("up") * F.col("p0")
+    told = scratch.write("lm-told", told.select(_pair_column("u", "w").alias("name"), "c", F.log10(p).alias("known_score"), F.col("base").alias("known_base")))
+    scratch.drop(counted, many)
+    unseen = max(1 - spelt_rare - float((10 ** spell.log10(listed)).sum()), 1e-6)
+    hot_from = _from(capped(told), HOT)
+    hot = told.where(F.col("c") >= hot_from).drop("c").toArrow().sort_by("name")  # HOT rows at most
+    scorer = _scorer(spell, *[hot[x].to_numpy() for x in ("name", "known_score", "known_base")], to_arrow_type(docs.schema[key].dataType))
+    asked = own.withColumn("__trained", F.coalesce(remainder(F.col("__id")) != 1, F.lit(False)))
+    lines = asked.mapInArrow(scorer, f"row long, pair long, u long, w long, spell double, own struct<id: {kind}, score: double, base: double, n_known: long, n_tokens: long>")
+    # a text's own row has no pair; a number of its own takes it to some partition
+    lines = lines.withColumn("__key", F.coalesce("pair", F.xxhash64("row", F.lit(1))))
+    lines = lines.join(told.where(F.col("c") < hot_from).drop("c"), (F.col("__key") == F.col("name")) & F.col("pair").isNotNull(), "left")
+    lines = scratch.write("lm-lines", lines.select("row", "pair", "u", "w", "spell", "own", "known_score", "known_base"))
+    settled = F.col("pair").isNull() | F.col("known_score").isNotNull()
+    clear = lines.where(settled).select("row", "own", F.col("known_score").alias("s"), F.col("known_score").alias("o"), F.col("known_base").alias("b"), F.when(F.col("pair").isNotNull(), 1).alias("k"))
+    # pairs that training does not have: the context, if it has one, leaves them to the root
+    new = _looked_up(_looked_up(lines.where(~settled).select("row", "u", "w", "spell"), "u", vocabulary, least, up="up"), "w", vocabulary, least, p0="p0", base="base")
+    up = F.log10(F.coalesce("up", F.lit(1.0)))
+    spelt_out = F.log10(F.lit(to_rare * lift)) + F.col("spell")
+    new = new.select(
+        "row", F.lit(None).cast(lines.schema["own"].dataType).alias("own"), (up + F.log10(F.coalesce("p0", F.lit(to_rare * lift * unseen)))).alias("s"), (up + F.coalesce(F.log10("p0"), spelt_out)).alias("o"),
+        F.coalesce("base", base_(F.lit(0))).alias("b"), F.when(F.col("p0").isNotNull(), 1).alias("k"),
     )
+    both = clear.unionByName(new)
+    summed = both.groupBy("row").agg(F.max("own").alias("own"), F.count("k").alias("known"), F.sum("b").alias("base"), F.sum("s").alias("score"), F.sum("o").alias("open"))
     own_id, zero = F.col("own.id"), F.lit(0.0)
     out = summed.select(
         own_id.alias(key), F.coalesce(remainder(own_id) == 1, F.lit(False)).alias("held_out"), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + F.col("known")).alias("n_known"),

@@ -179,6 +179,24 @@ def test_language_model(spark):
     assert len(few) == 3 and lmscore.score(docs(spark, []).limit(0)).collect() == []
 
 
+def test_every_word_is_a_context(spark):
+    n = 400  # each left word has one right word, and all of them occur as often
+    rows = [(i, " ".join(f"left{(i + k * 7) % n} right{(i + k * 7) % n}" for k in range(10)), "", "") for i in range(1000)]
+    held = [i for i in range(2000, 9000) if zlib.crc32(str(i).encode()) % 5 == 1][: 2 * n]
+    asked = [(held[k], f"left{k} right{k}", "", "") for k in range(n)] + [(held[n + k], f"left{k} right{(k + 1) % n}", "", "") for k in range(n)]
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs(spark, rows + asked)).collect()}
+    assert all(got[held[k]] > got[held[n + k]] + 1.5 for k in range(n))
+
+
+def test_listed_words_come_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "DISHES", 4)
+    seen = []
+    monkeypatch.setattr(lmscore, "tokens", lambda listed, *a, own=lmscore.tokens: seen.append(listed) or own(listed, *a))
+    rows = [(i, f"x{i} x{i} x{i}", "", "") for i in range(6000)] + [(i, "seldom", "", "") for i in range(6000, 6010)] + [(i, "never", "", "") for i in range(6010, 6030)]
+    lmscore.score(docs(spark, rows))
+    assert seen[0][:3] == [lmscore.END, b"never", b"seldom"]
+
+
 def test_dishes_sum_to_one():
     rng = np.random.default_rng(1)
     listed = [lmscore.END, *[str(i).encode() for i in range(40)]]

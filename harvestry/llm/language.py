@@ -6,9 +6,12 @@ The posterior of a language is the product of four kinds of evidence, in log spa
   with a declared language, each trigram counted once for a repeated line of it and tempered because trigrams overlap;
 - the declared markup language, through a table of how often a page of one language declares another, estimated by
   grouped aggregation and smoothed;
-- the address suffix (the last label of the host), the same way;
-- the host: its counts of languages found by text alone, smoothed towards those of its suffix, and these towards those
-  of the whole corpus, one level at a time, each with a document's own count left out.
+- the address suffix (the last label of the host, read from the host or address): its counts of languages found by text
+  alone, smoothed towards those of the whole corpus;
+- the host: its counts, the same way, smoothed towards those of its suffix.
+
+A suffix counts by how it moves the corpus's shares, a host by how it moves its suffix's, so that no page counts twice; of both
+a document's own count is left out.
 
 Sample: about SAMPLE rows a declared language, those whose hashed key falls below a share that follows from the counts. All
 other counts cover all rows.
@@ -111,6 +114,13 @@ def text_model(docs: DataFrame, declared: str, text: str, key: str, sample: int
     return names, (model - model.mean(1, keepdims=True)).astype(np.float32)
 
 
+def suffix_of(host: Column) -> Column:
+    """The last label of a host or address in lower case; null for a name without a dot and for a number (an IP address)."""
+    name = F.regexp_extract(F.lower(F.trim(host)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    last = F.regexp_extract(name, r"\.([^.]*[^.0-9][^.]*)\.?$", 1)
+    return F.when(last != "", last)
+
+
 def _best(scores: Column) -> Column:
     """Index of the largest score, the first of equal ones."""
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1
@@ -123,7 +133,7 @@ def identify(
     """keep, language, posterior, text_language, n_trigrams, kept for each row of docs.
 
     declared names the column whose values also mark the sample that the text model is fitted on; suffix the one with the
-    address suffix (None: the corpus is the only level above the hosts). Scored rows are written once, for the priors and for
+    address suffix (None: it is the last label of the host). Scored rows are written once, for the priors and for
     the result; with wide, for a keep that holds texts, only what the priors need is written and the texts are scored twice.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -133,7 +143,7 @@ def identify(
     if not n:
         return docs.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
     none = F.lit(None).cast("string")
-    own = docs.select(*[F.col(k).alias(k) for k in keep], F.col(declared).alias("__declared"), (F.col(host) if host else none).alias("__host"), (F.col(suffix) if suffix else none).alias("__suffix"), F.col(text).alias("__t"))
+    own = docs.select(*[F.col(k).alias(k) for k in keep], F.col(declared).alias("__declared"), (F.col(host) if host else none).alias("__host"), (F.col(suffix) if suffix else suffix_of(F.col(host)) if host else none).alias("__suffix"), F.col(text).alias("__t"))
     # only the text goes to Python
     scored = own.withColumn("__score", _scorer(model)("__t")).select(*own.columns[:-1], F.col("__score.text").alias("__text"), F.col("__score.n").alias("n_trigrams"))
     at = F.create_map(*[F.lit(v) for i, x in enumerate(names) for v in (x, i)])[F.col("__declared")]
@@ -155,13 +165,14 @@ def identify(
     share = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
     base_ = F.array(*[F.lit(float(x)) for x in base])
     suffixes = seen.where("__suffix is not null").groupBy("__suffix").agg(*each)
-    suffixes = scratch.write("language-suffixes", suffixes.select(F.col("__suffix").alias("__s"), share(prior(counts(suffixes), base_)).alias("__sp")))
+    suffixes = scratch.write("language-suffixes", suffixes.select(F.col("__suffix").alias("__s"), counts(suffixes).alias("__sc")))
     hosts = seen.where("__host is not null").groupBy("__host").agg(*each)
     hosts = scratch.write("language-hosts", hosts.select(F.col("__host").alias("__h"), counts(hosts).alias("__hc")))
     both = scored.join(hosts, scored["__host"] == hosts["__h"], "left").join(suffixes, scored["__suffix"] == suffixes["__s"], "left")
-    parent = F.coalesce("__sp", base_)
-    others = F.transform(F.coalesce("__hc", F.array(*[F.lit(0.0)] * n)), lambda c, i: F.greatest(c - F.when(F.col("__hc").isNotNull() & (F.col("__found") == i), 1.0).otherwise(0.0), F.lit(0.0)))
-    host_prior = F.transform(share(prior(others, parent)), lambda x: F.log(x))
+    others = lambda a: F.transform(a, lambda c, i: F.greatest(c - F.when(F.col("__found") == i, 1.0).otherwise(0.0), F.lit(0.0)))
+    both = both.withColumn("__parent", F.coalesce(share(prior(others(F.col("__sc")), base_)), base_))
+    both = both.withColumn("__prior", F.coalesce(share(prior(others(F.col("__hc")), F.col("__parent"))), F.col("__parent")))
+    host_prior = F.transform("__prior", lambda x: F.log(x))
     spoken = F.get(F.array(*[F.array(*[F.lit(float(said[i, j])) for i in range(n)]) for j in range(n)]), F.col("__at"))
     fused = F.zip_with(F.zip_with("__text", host_prior, lambda a, b: a + b), F.coalesce(spoken, F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
     both = both.withColumn("__fused", fused)

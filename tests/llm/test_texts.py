@@ -120,6 +120,17 @@ def test_language(spark):
     assert [r["language"] for r in language.identify(docs(spark, [(1, "abc", None, "h")])).collect()] == [None]
 
 
+def test_the_suffix_decides_on_rare_hosts(spark):
+    rng = random.Random(5)
+    own = {"en": ["the", "and", "thing", "with", "house"], "de": ["der", "und", "nicht", "haus", "schön"], "fr": ["le", "été", "maison", "avec", "que"]}
+    rows = [(i, prose(rng, 30, own[x]), x, f"a{i}.example.{dict(en='uk').get(x, x)}") for i, x in enumerate(["en", "de", "fr"] * 60)]
+    asked = [(900, "xx", None, "new.example.fr"), (901, "xx", None, "https://me@new.example.DE.:80/x.fr?y=a.fr"), (902, "xx", None, "new.example.uk")]
+    got = {r["doc_id"]: r["language"] for r in language.identify(docs(spark, rows + asked)).collect()}
+    assert (got[900], got[901], got[902]) == ("fr", "de", "en")
+    hosts = spark.createDataFrame([(x,) for x in ("src0", "10.0.0.1", "a.b.fr", "", None, "http://x.com/a.b", "fr.")], "h string")
+    assert [r[0] for r in hosts.select(language.suffix_of(hosts["h"])).collect()] == [None, None, "fr", None, None, "com", None]
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

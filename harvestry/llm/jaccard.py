@@ -188,10 +188,11 @@ def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int) -> np.ndarr
 
 
 def _solver(num: int):
-    def solved(side: dict[int, list]) -> pa.RecordBatch | None:
+    def solved(side: dict[int, list], same: bool) -> pa.RecordBatch | None:
         a, b = side[0], side[1]
         own = a + b
-        if len(own) < 2:
+        # of two blocks one may be empty; what is within the other is the task of that block with itself
+        if len(own) < 2 or (not same and not (a and b)):
             return None
         found = links([r[2] for r in a], [r[2] for r in b] if b else None, num)
         if not len(found):
@@ -218,15 +219,15 @@ def _solver(num: int):
         return pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in linked], pa.binary()), pa.array([own[find(i)][0] for i in linked], pa.binary()), pa.array(n_links[linked])], ["node", "neighbour", "n_links"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, side = None, {0: [], 1: []}
+        now, same, side = None, True, {0: [], 1: []}
         for b in batches:
-            for key, part, node, weight, tokens in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for key, part, node, weight, tokens, one in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if key != now:
-                    if now is not None and (out := solved(side)) is not None:
+                    if now is not None and (out := solved(side, same)) is not None:
                         yield out
-                    now, side = key, {0: [], 1: []}
+                    now, same, side = key, one, {0: [], 1: []}
                 side[part].append((node, weight, np.frombuffer(tokens, dtype=np.uint64)))
-        if now is not None and (out := solved(side)) is not None:
+        if now is not None and (out := solved(side, same)) is not None:
             yield out
 
     return solve
@@ -312,7 +313,7 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     full = full.withColumn("__own", block).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     pair = F.struct("__group", F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"))
     full = full.select(pair.alias("__pair"), F.when(F.col("__own") > F.col("__other"), 1).otherwise(0).alias("__side"), "node", "__weight", "tokens", (F.col("__own") == F.col("__other")).alias("__same"))
-    full = full.select(F.md5(F.concat_ws("|", F.hex("__pair.__group"), "__pair.i", "__pair.j")).alias("__task"), "__side", "node", "__weight", "tokens")
+    full = full.select(F.md5(F.concat_ws("|", F.hex("__pair.__group"), "__pair.i", "__pair.j")).alias("__task"), "__side", "node", "__weight", "tokens", "__same")
     tasks = full.repartition("__task").sortWithinPartitions("__task", "__side")
     found = scratch.write("jaccard-links", tasks.mapInArrow(_solver(percent), "node binary, neighbour binary, n_links long"))
     scratch.drop(sets) if count else None

@@ -85,6 +85,13 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute_links(rows, 3, 90)
 
 
+def test_few_long_sets_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 200)  # about a block a set, so some blocks are empty
+    rows = [(10 * g + k, " ".join([f"g{g}w{i}" for i in range(200)] + [f"k{k}"]), "en", "s") for g in range(20) for k in range(3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(docs(spark, rows)).collect()}
+    assert got == brute_links(rows, 3, 90)
+
+
 def test_links_of_repeated_rows_and_null_ids(spark):
     got = sorted(((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.join(docs(spark, [(3, "a b c d", "", ""), (3, "a b c d", "", ""), (None, "a b c d", "", ""), (None, "z z z", "", ""), (4, None, "", ""), (4, "", "", "")])).collect()), key=str)
     assert got == sorted([(3, 3, 2), (3, 3, 2), (None, 3, 2), (None, None, 0), (4, 4, 0), (4, 4, 0)], key=str)

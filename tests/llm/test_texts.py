@@ -127,6 +127,20 @@ def test_language(spark):
     assert [r["language"] for r in language.identify(docs(spark, [(1, "abc", None, "h")])).collect()] == [None]
 
 
+def test_more_languages_than_a_dense_table_has(spark):
+    rng = random.Random(9)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(80)}
+    rows = [(100 * k + i, prose(rng, 30, own[x]), x, f"{x}-host") for k, x in enumerate(own) for i in range(4)]
+    hidden = [(9000 + k, prose(rng, 30, own[x]), None, None) for k, x in enumerate(own)]
+    got = {r["doc_id"]: r for r in language.identify(docs(spark, rows + hidden)).collect()}
+    assert all(got[9000 + k]["language"] == x and got[100 * k]["language"] == x and got[9000 + k]["kept"] for k, x in enumerate(own))
+    cells = np.unique(np.random.default_rng(1).integers(0, 3 * language.BUCKETS, 5000))
+    table = cells // language.BUCKETS, cells % language.BUCKETS, np.arange(len(cells)) % 7 + 1
+    grams = table[1][:900]
+    a, b = language.Dense(*table, 3)(grams), language.Sparse(*table, 3)(grams)
+    assert np.allclose(a - a.mean(), b - b.mean(), atol=1e-2)
+
+
 def test_the_suffix_decides_on_rare_hosts(spark):
     rng = random.Random(5)
     own = {"en": ["the", "and", "thing", "with", "house"], "de": ["der", "und", "nicht", "haus", "schön"], "fr": ["le", "été", "maison", "avec", "que"]}

@@ -1,32 +1,31 @@
 """Language-model scoring with hierarchical Pitman-Yor restaurants (operator 4).
 
-The model of a text is a model of its tokens, the lower-cased words and an end, in three levels of restaurants:
-
-- tokens: every word of training, and the end, has a context restaurant over the words that follow it; all share one root,
-  over the DISHES - 1 most frequent words, the end and a dish for all rarer words together;
-- rare words: one restaurant over all words that are not listed, however many;
-- spelling: the base of the rare words, a chain of restaurants over the next byte by the last four, three, two, one and no
-  bytes, in hashed contexts whose parents are hashes of shorter ones; it gives every unseen word a probability.
-
-A text's score is over the words of training and the unknown word, as the base score is: a word that training does not have
-counts as the event that such a word comes, which the rare words' restaurant and the spelling of all known words tell.
-The column open_score has the log probability with such words spelt out.
-
-Seatings are sampled by Gibbs sweeps: the tables of one dish in one restaurant are seated anew, customer by customer, given
-the tables of all others from the sweep before and the parent's prediction. Within a sweep the dishes are independent, so
-pairs and rare words are sampled where they are stored. Spelling and root are swept BURN + SWEEPS times, the last SWEEPS
-averaged; pairs have BURN passes and rare words BURN + 1, each of SWEEPS draws at fixed totals, of which the mean of the last
-pass counts. A root's and a rare word's customers are the tables of a pass's last draw. A pair that occurs once has one table
-always. Beyond the first thousand customers of a dish in a restaurant, customers are seated a block at a time.
-
-Counts cover all training documents, words and pairs alike. They grow with the corpus: they are grouped and joined by 64-bit
-hashes, not collected. What is collected and broadcast has a fixed bound: the DISHES listed words, a table of spelling counts,
-numbers of at most COMMON words, and the scores of at most HOT pairs, those that occur most. Since frequent words and pairs are
-settled by these, joins have no hot key.
+Tokens are the lower-cased words and an end after each text. Every word of the training texts, and the end, is a context with
+a restaurant of its own over the tokens that follow it; all these share one parent, the root restaurant over all words. A
+customer that a context seats at a new table is a customer of the root. The root's base is diffuse: each of its tables is
+another word, and a new table is a word that training does not have. So the root gives word w (customers - d0) / (s0 + all
+customers), and all unknown words together (s0 + d0 * words) / (s0 + all customers); the outcomes are those of the base score.
+
+Gibbs sampling: a state is the number of tables of every pair of words, for the rest of a seating does not matter (seating.py).
+A pair that occurs once has one table. Each sweep draws the tables of every other pair given the tables of all other pairs in
+its context and at the root as they were after the sweep before: pairs are drawn side by side, as distributed samplers do. After
+BURN sweeps, SWEEPS more are averaged: what a context keeps for a word, what it leaves to its parent, and the root's probability.
+Averages of the last two are multiplied for a token, so the probabilities of a context's outcomes sum to one. A text is scored
+with these averages and its perplexity follows. The discounts follow from how many counts are one and two.
+
+Nothing that grows with the corpus is collected. Words are 64-bit hashes. Pairs live in buckets by their context, words in
+buckets of their own; buckets ask each other for counts by rows of packed arrays (blobs.py), one row for all that a bucket
+wants of another, so a hot word is one entry a bucket. A context with more than a bucket's share of tokens is split into
+several by the word that follows. Buckets hold about BUCKET bytes of text. Documents are scored in ROUNDS parts, which bounds
+the disk for their tokens. What is broadcast has a fixed bound: short codes of at most CODES frequent words (found in a
+sample; they only save space) with their counts, and the scores of at most HOT pairs, those that occur most, which therefore
+never travel.
 
 Cases: a null or empty text is the end token alone. A null id is neither held out nor trained on. Repeated rows are scored
 each, and counted each in training. Without training rows all counts are 0 and N and V too; the base is then
-log10(0.5/0.5) = 0 a token. Only ``key`` and ``text`` are read. Empty input gives an empty result.
+log10(0.5/0.5) = 0 a token, and so is the score. A long text may have more tokens than a batch; it is then a batch of its own.
+Only ``key`` and ``text`` are read, whatever other columns there are. Empty input gives an empty result. Two words with one
+hash count as one word: the chance is below 1e-4 for 50 million words.
 """
 
 from __future__ import annotations
@@ -41,482 +40,639 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from harvestry.llm.blobs import ROWS, Out, grouped, mixed, pack, pack_counts, placed, split, unpack, unpack_counts
+from harvestry.llm.seating import draw
 from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
-CONTEXTS, DISHES = 255, 4095
-#: Words at most that are broadcast to the joins of pairs with words, and pairs at most whose scores every worker has.
-COMMON, HOT = 200_000, 400_000
-#: Counts from which on histograms of counts do not tell them apart.
-CAP = 100_000
-#: Words whose hashes a worker remembers.
-REMEMBER = 120_000
-#: Discount and strength of each level; the discount of rare words follows from how many occur once and twice.
-TOKEN, RARE, SPELL = (0.75, 5.0), 50.0, (0.6, 1.0)
+#: Bytes of text a bucket, parts that documents are scored in.
+BUCKET, ROUNDS = 6 << 20, 3
+#: Words at most that have a short code, rows about of the sample that they are found in, and the longest such word.
+CODES, SAMPLE, LONGEST = 1 << 16, 4000, 64
+#: Pairs at most whose scores are broadcast, and the count from which on a histogram does not tell counts apart.
+HOT, CAP = 400_000, 100_000
+#: Words whose keys a worker remembers, tokens that it counts before it hands the counts on.
+REMEMBER, FLUSH = 250_000, 2_000_000
+#: Strength of the contexts' restaurants and of the root.
+STRENGTH, ROOT = 5.0, 50.0
 BURN, SWEEPS = 2, 3
-#: Tokens that a worker counts before it hands the counts on.
-FLUSH = 400_000
-END = b"\n"  # no word holds it
-#: Contexts of 0 to 4 bytes.
-LEVELS = (1, 64, 1024, 8192, 32768)
+END = b"\n"  # no word holds it; its code is 0
 
+# Kinds of rows. A bucket reads its rows in this order.
+PAIRS, MULTI, FIXED, TABLES, REPLY, ASK, DISH, WORD, HISTORY, TOLD, KNOWN, TRAIN, HELD, OWN, SCORE, WANT, REST, HOTPAIR, CODE, CONTEXT, STAT, COUNTS = range(22)
 
-# --- seating
 
+class Keys(dict):
+    """The key of each word: its code, or a hash that is no code."""
 
-def seat(n: np.ndarray, base: np.ndarray, discount: float, free: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with n customers each: a customer takes a new table with weight free * base, against n - d * tables.
-
-    free is the restaurant's strength + discount * tables of all dishes.
-    """
-    tables = (n > 0).astype(np.float64)
-    left = np.flatnonzero(n > 1)
-    weight = np.maximum(free * base, 1e-300)
-    seated, block = 1, 1
-    while len(left):
-        here, w = n[left], weight[left]
-        step = np.minimum(block, here - seated)
-        p = w / (w + seated - discount * tables[left])
-        tables[left] += rng.binomial(step.astype(np.int64), np.clip(p, 0, 1)) if block > 1 else rng.random(len(left)) < p
-        seated += block
-        block = 1 if seated < 1000 else seated // 32
-        left = left[n[left] > seated]
-    return np.minimum(tables, n)
-
-
-# --- spelling
-
-
-def _contexts(word_bytes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Restaurants, one column a level, for each byte given those before it in its word; place: index within the word."""
-    n = len(word_bytes)
-    out = np.zeros((n, len(LEVELS)), dtype=np.int64)
-    padded = np.zeros(n, dtype=np.int64)
-    for k in range(1, len(LEVELS)):
-        back = np.r_[np.zeros(k, dtype=np.int64), word_bytes[:-k].astype(np.int64) + 1][:n] if n > k else padded
-        back = np.where(place >= k, back, 0)
-        fan = LEVELS[k] // LEVELS[k - 1]
-        out[:, k] = out[:, k - 1] * fan + ((back * 2654435761) >> 7) % fan
-    return out
+    def __init__(self, codes: dict[bytes, int]):
+        super().__init__(codes)
+        self.codes = codes
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = h if h >= CODES else h | 1 << 62
+        return h
 
-def _spelled(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the words, each ended by a zero; index within the word; index of each word's first byte."""
-    data = np.frombuffer(b"\0".join(ws) + b"\0", dtype=np.uint8)
-    n = np.array([len(w) + 1 for w in ws])
-    first = np.r_[0, np.cumsum(n)[:-1]]
-    return data, np.arange(len(data)) - np.repeat(first, n), first
-
-
-class Spelling:
-    """Byte restaurants: share[level][context, byte] of the customers, and lift[level][context] of the parent."""
-
-    def __init__(self, share: list[np.ndarray], lift: list[np.ndarray]):
-        self.share, self.lift = share, lift
-
-    def __reduce__(self):
-        # most cells are empty and need not travel
-        return _unpacked, ([(x.shape, np.flatnonzero(x).astype(np.int32), x[x != 0]) for x in self.share], self.lift)
-
-    def log10(self, ws: list[bytes]) -> np.ndarray:
-        if not ws:
-            return np.zeros(0)
-        data, place, first = _spelled(ws)
-        contexts = _contexts(data, place)
-        p = np.full(len(data), 1 / 256)
-        for k in range(len(LEVELS)):
-            c = contexts[:, k]
-            p = self.share[k][c, data] + self.lift[k][c] * p
-        return np.add.reduceat(np.log10(p), first)
-
-
-def _unpacked(parts: list, lift: list[np.ndarray]) -> Spelling:
-    share = [np.zeros(shape, dtype=np.float32) for shape, _, _ in parts]
-    for x, (_, at, values) in zip(share, parts, strict=True):
-        x.ravel()[at] = values
-    return Spelling(share, lift)
-
-
-def spelling(cells: np.ndarray, counts: np.ndarray, seed: int = 0) -> Spelling:
-    """From counts of (deepest context * 256 + byte) cells."""
-    rng = np.random.default_rng(seed)
-    (d, strength), top = SPELL, len(LEVELS) - 1
-    share, lift = [np.zeros((n, 256), dtype=np.float32) for n in LEVELS], [np.zeros(n) for n in LEVELS]
-    at, up = [cells], []  # occupied cells by level, deepest first, and the parent of each
-    for k in range(top, 0, -1):
-        parents, where = np.unique((at[-1] >> 8) // (LEVELS[k] // LEVELS[k - 1]) * 256 + (at[-1] & 255), return_inverse=True)
-        at.append(parents), up.append(where)
-    at, up = at[::-1], [None, *up[::-1]]
-    context = [c >> 8 for c in at]
-    guess, tables, n = [np.full(len(c), 1 / 256) for c in at], [np.ones(len(c)) for c in at], [counts] * (top + 1)
-    for sweep in range(BURN + SWEEPS):
-        for k in range(top, -1, -1):
-            base = guess[k - 1][up[k]] if k else np.full(len(at[0]), 1 / 256)
-            free = strength + d * np.bincount(context[k], tables[k], LEVELS[k])[context[k]]
-            tables[k] = seat(n[k], base, d, free, rng)
-            if k:
-                n[k - 1] = np.bincount(up[k], tables[k], len(at[k - 1]))
-        for k in range(top + 1):
-            own = strength + np.bincount(context[k], n[k], LEVELS[k])
-            more = (strength + d * np.bincount(context[k], tables[k], LEVELS[k])) / own
-            mine = (n[k] - d * tables[k]) / own[context[k]]
-            guess[k] = mine + more[context[k]] * (guess[k - 1][up[k]] if k else 1 / 256)
-            if sweep >= BURN:
-                share[k][context[k], at[k] & 255] += (mine / SWEEPS).astype(np.float32)
-                lift[k] += more / SWEEPS
-    return Spelling(share, lift)
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all tokens, of the tokens before them (a text begins after an end), and the number of tokens of each text."""
+        if len(self) > REMEMBER + len(self.codes):
+            self.clear()
+            self.update(self.codes)
+        ws: list[bytes] = []
+        ends = []
+        for t in texts:
+            ws += words(t)
+            ws.append(END)
+            ends.append(len(ws))
+        w = np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws)).view(np.int64)
+        return w, np.r_[0, w[:-1]], np.diff(np.r_[0, ends])
 
 
-# --- tokens
+def named(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of a pair of words: four bytes for two codes, else a negative hash."""
+    both = (u >= 0) & (u < CODES) & (w >= 0) & (w < CODES)
+    far = (mixed(u) ^ (w.view(np.uint64) * np.uint64(0x94D049BB133111EB))) | np.uint64(1 << 63)
+    return np.where(both, (u << 16) | w, far.view(np.int64))
 
 
-class Tokens:
-    """Listed words and the predictive distribution over dishes by context (the last row: no restaurant of its own)."""
+class Places:
+    """The bucket of each pair: that of its context, or one of several where a context is hot."""
 
-    def __init__(self, listed: list[bytes], log10: np.ndarray):
-        self.place = {w: i for i, w in enumerate(listed)}
-        self.log10 = log10
+    def __init__(self, buckets: int, parts: np.ndarray):
+        self.buckets, self.parts = buckets, parts
 
+    def __call__(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        code = (u >= 0) & (u < len(self.parts))
+        parts = np.where(code, self.parts[np.where(code, u, 0)], 1) if len(self.parts) else np.ones(len(u), dtype=np.int64)
+        salt = (mixed(w) % parts.astype(np.uint64)).view(np.int64)
+        return placed(u + salt * np.int64(0x5851F42D4C957F2D), self.buckets)
 
-def tokens(listed: list[bytes], cells: np.ndarray, counts: np.ndarray, seed: int = 0) -> Tokens:
-    """From counts of (context * (DISHES + 1) + dish) cells; context CONTEXTS is every other, dish len(listed) a rare word."""
-    rng = np.random.default_rng(seed)
-    d, strength = TOKEN
-    width = len(listed) + 1
-    context, dish = cells // (DISHES + 1), cells % (DISHES + 1)
-    own = context < CONTEXTS
-    total = np.zeros((CONTEXTS + 1, width))
-    root = np.full(width, 1 / width)
-    t = np.ones(len(cells))
-    t_root = np.ones(width)
-    for sweep in range(BURN + SWEEPS):
-        before = np.bincount(context, t, CONTEXTS + 1)
-        t = seat(counts.astype(np.float64), root[dish], d, strength + d * before[context], rng)
-        customers = np.bincount(dish, np.where(own, t, counts), width)
-        t_root = seat(customers, np.full(width, 1 / width), d, np.full(width, strength + d * t_root.sum()), rng)
-        root = (customers - d * t_root + (strength + d * t_root.sum()) / width) / (strength + customers.sum())
-        if sweep < BURN:
-            continue
-        n, all_t = np.bincount(context[own], counts[own], CONTEXTS + 1), np.bincount(context[own], t[own], CONTEXTS + 1)
-        p = ((strength + d * all_t) / (strength + n))[:, None] * root[None, :]
-        p[context[own], dish[own]] += (counts[own] - d * t[own]) / (strength + n[context[own]])
-        p[CONTEXTS] = root
-        total += p / SWEEPS
-    return Tokens(listed, np.log10(total))
-
-
-class Hashes(dict):
-    """64-bit hashes of words, each made once."""
+    def hot(self, u: np.ndarray) -> np.ndarray:
+        code = (u >= 0) & (u < len(self.parts))
+        return code & (self.parts[np.where(code, u, 0)] > 1) if len(self.parts) else np.zeros(len(u), dtype=bool)
+
+
+# --- counting
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches):
+        n = Counter(w for t in as_bytes(b.column(0)) for w in words(t) if len(w) <= LONGEST)
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
-def _read(texts: list[bytes], known: Hashes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, an end after each text; their hashes; those of the tokens before, a text beginning after an end; and where each text begins."""
-    if len(known) > REMEMBER:
-        known.clear()
-    ws: list[bytes] = []
-    starts = []
-    for t in texts:
-        starts.append(len(ws))
-        ws += words(t)
-        ws.append(END)
-    h = np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws)).view(np.int64)
-    return ws, h, np.r_[known[END], h[:-1].view(np.uint64)].astype(np.uint64).view(np.int64), np.array(starts, dtype=np.int64)
-
-
-def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The name of a pair of words: the first hash, rotated by a bit, xor the second; the same as _pair_column."""
-    u = before.view(np.uint64)
-    return ((u << np.uint64(1)) | (u >> np.uint64(63))).view(np.int64) ^ h
-
-
-def _pair_column(before: str, h: str) -> Column:
-    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(F.col(h))
-
-
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (with their hashes) and of pairs (hashes of both), a part at a time."""
-    seen, known, held, many = Counter(), Hashes(), [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, many
-        ws = list(seen)
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in ws], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.nulls(len(ws), pa.int64()), pa.array(h), pa.array(list(seen.values()), pa.int64())], ["word", "u", "w", "n"])
-        u, w = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, first, n = np.unique(_pair(u, w), return_index=True, return_counts=True)
-        u, w = u[first], w[first]
-        for at in range(0, len(n), 1 << 17):
-            part = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n[part]), pa.binary()), pa.array(u[part]), pa.array(w[part]), pa.array(n[part])], ["word", "u", "w", "n"])
-        seen.clear()
-        held, many = [], 0
-
-    for b in pieces(batches, 1 << 20):
-        if not b.num_rows:
-            continue
-        ws, h, before, _ = _read(as_bytes(b.column(0)), known)
-        seen.update(ws)
-        held.append((before, h))
-        many += len(h)
-        if many > FLUSH:
+
+def _counter(codes: dict[bytes, int], places: Places):
+    """Counts of the pairs of some millions of tokens at a time, to their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, out, held, many = Keys(codes), Out(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            u, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, n = np.unique(named(u, w), return_index=True, return_counts=True)
+            u, w = u[first], w[first]
+            order, parts = split(places(u, w))
+            u, w, n = u[order], w[order], n[order]
+            for to, a, b in parts:
+                out.add(to, PAIRS, p=pack(u[a:b]), q=pack(w[a:b]), r=pack_counts(n[a:b]))
+                yield from out.ready()
+            held.clear()
+
+        for b in pieces(batches, 1 << 20):
+            if b.num_rows:
+                w, u, _ = keys.tokens(as_bytes(b.column(0)))
+                held.append((u, w))
+                many += len(w)
+                if many > FLUSH:
+                    yield from flush()
+                    many = 0
+        if held:
             yield from flush()
-    if held:
-        yield from flush()
-
-
-def _speller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of spelling cells over the distinct words: a word that is not listed is spelt once, however many its tables."""
-    total = np.zeros(LEVELS[-1] * 256, dtype=np.int64)
-    for b in batches:
-        ws = as_bytes(b.column(0))
-        if ws:
-            data, place, _ = _spelled(ws)
-            np.add.at(total, _contexts(data, place)[:, -1] * 256 + data, 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-
-def _wide(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """The same rows in larger batches, for work that has a cost a batch."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.concat_batches(held)
-
-
-def _rarity(model: Spelling, listed: set[bytes]):
-    """The spelling of rare words, 0 of listed ones."""
+        yield from out.ready(last=True)
+
+    return run
+
+
+def _asked(out: Out, kind: int, b: int, w: np.ndarray, buckets: int, **counts: np.ndarray) -> None:
+    """Rows to the words' buckets about distinct words in ascending order."""
+    order, parts = split(placed(w, buckets))
+    for to, lo, hi in parts:
+        at = order[lo:hi]
+        out.add(to, kind, src=b, p=pack(w[at]), **{k: pack_counts(x[at]) for k, x in counts.items()})
+
+
+def _answered(rows: list[np.ndarray], w: np.ndarray, buckets: int) -> np.ndarray:
+    """What the words' buckets have answered, for distinct words in ascending order."""
+    order, _ = split(placed(w, buckets))
+    out = np.empty(len(w), dtype=rows[0].dtype if rows else np.int64)
+    out[order] = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    return out
+
+
+def _merger(places: Places):
+    """The pairs of a bucket with their counts, by context, and what its words' buckets must know."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, buckets, stat, counts = Out(), places.buckets, Counter(), Counter()
+
+        def end(state: tuple[int, list]) -> None:
+            bucket, parts = state
+            u, w, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, first, which = np.unique(named(u, w), return_index=True, return_inverse=True)
+            c = np.bincount(which, c).astype(np.int64)
+            u, w = u[first], w[first]
+            order = np.argsort(u, kind="stable")
+            u, w, c = u[order], w[order], c[order]
+            once, n = np.unique(u, return_counts=True)
+            out.add(bucket, PAIRS, p=pack(once), q=pack_counts(n), r=pack(w), s=pack_counts(c))
+            more = c > 1
+            context = np.repeat(np.arange(len(once)), n)
+            alone, all_ = np.bincount(context[~more], minlength=len(once)), np.bincount(context, c, len(once)).astype(np.int64)
+            used = np.unique(context[more])
+            out.add(bucket, MULTI, p=pack(once[used]), q=pack_counts(np.bincount(context[more], minlength=len(once))[used]), r=pack(w[more]), s=pack_counts(c[more]))
+            out.add(bucket, FIXED, p=pack_counts(alone[used]), q=pack_counts(all_[used]))
+            dishes, which = np.unique(w, return_inverse=True)
+            _asked(out, DISH, bucket, dishes, buckets, q=np.bincount(which, c).astype(np.int64), r=np.bincount(which, ~more).astype(np.int64))
+            dishes, which = np.unique(w[more], return_inverse=True)
+            _asked(out, ASK, bucket, dishes, buckets, q=np.bincount(which, minlength=len(dishes)))
+            for i in np.flatnonzero(places.hot(once)):
+                out.add(int(once[i]), CONTEXT, src=0, i=int(all_[i]))
+                out.add(int(once[i]), CONTEXT, src=1, i=int(n[i]))
+                out.add(int(once[i]), CONTEXT, src=2, i=int(alone[i]))
+            stat["once"] += int((c == 1).sum())
+            stat["twice"] += int((c == 2).sum())
+            counts.update(dict(zip(*(x.tolist() for x in np.unique(np.minimum(c, CAP), return_counts=True)), strict=True)))
+
+        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from batches
+            for i, k in enumerate(("once", "twice")):
+                out.add(i, STAT, i=stat[k])
+            for c, n in counts.items():
+                out.add(c, COUNTS, i=n)
+            yield from out.ready(last=True)
+
+        each = lambda state, row: state[1].append((unpack(row[4]), unpack(row[5]), unpack_counts(row[6])))
+        yield from last(grouped(batches, 0, lambda b: (b, []), each, end, out))
+
+    return run
+
+
+# --- seating
+
+
+class Root:
+    """The root's parameters: discount, customers and words."""
+
+    def __init__(self, stat: dict[int, int]):
+        self.all, once, twice, self.words = (stat.get(k, 0) for k in range(4))
+        self.d = min(max(once / max(once + 2 * twice, 1), 0.05), 0.9)
+
+
+def _word_seats(buckets: int, sweep: int, first: bool):
+    """Customers of the root by word, from what the pairs' buckets say, and the answer to these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, stat = Out(), Counter()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == ASK:
+                state["ask"].append((row[2], unpack(row[4]), unpack_counts(row[5])))
+            elif row[1] == DISH:
+                state["dish"].append((unpack(row[4]), unpack_counts(row[5]), unpack_counts(row[6])))
+            else:
+                state["w"], state["alone"] = unpack(row[4]), unpack_counts(row[6])
+
+        def end(state: dict) -> None:
+            if first:
+                w, c, alone = (np.concatenate(x) for x in zip(*state["dish"], strict=True))
+                state["w"], which = np.unique(w, return_inverse=True)
+                c, state["alone"] = (np.bincount(which, x).astype(np.int64) for x in (c, alone))
+                out.add(state["to"], WORD, p=pack(state["w"]), q=pack_counts(c), r=pack_counts(state["alone"]))
+                stat[4] += int(c.sum())
+                for k in np.flatnonzero((state["w"] >= 0) & (state["w"] < CODES)):
+                    out.add(int(state["w"][k]), CODE, i=int(c[k]))
+            w = state["w"]
+            customers = state["alone"].copy()
+            for _, asked, tables in state["ask"]:
+                customers[np.searchsorted(w, asked)] += tables
+            for to, asked, _ in state["ask"]:
+                out.add(to, REPLY, src=state["to"], p=pack_counts(customers[np.searchsorted(w, asked)]))
+            if sweep >= BURN:
+                out.add(state["to"], HISTORY, src=sweep, p=pack_counts(customers))
+            for k, x in enumerate((customers.sum(), (customers == 1).sum(), (customers == 2).sum(), len(w))):
+                stat[k] += int(x)
+
+        yield from grouped(batches, 0, lambda to: {"to": to, "ask": [], "dish": []}, each, end, out)
+        for k, x in stat.items():
+            out.add(k, STAT, i=x)
+        yield from out.ready(last=True)
+
+    return run
+
+
+def _pair_seats(places: Places, d: float, root: Root, tables: dict[int, int], sweep: int):
+    """A sweep over the pairs of a bucket; tables: of the hot contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _wide(batches):
-            ws = as_bytes(b.column(0))
-            rare = np.array([w not in listed for w in ws], dtype=bool)
-            spelt = np.zeros(len(ws))
-            spelt[rare] = 10 ** model.log10([w for w in ws if w not in listed])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spelt)], [*b.schema.names, "spelt"])
+        out = Out()
+
+        def each(state: dict, row: tuple) -> None:
+            kind = row[1]
+            if kind == MULTI:
+                state["u"], state["n"], state["w"], state["c"] = unpack(row[4]), unpack_counts(row[5]), unpack(row[6]), unpack_counts(row[7])
+            elif kind == FIXED:
+                state["alone"] = unpack_counts(row[4])
+            elif kind == TABLES:
+                state["t"], state["sum"] = unpack_counts(row[4]), unpack_counts(row[5])
+            else:
+                state["answer"].append(unpack_counts(row[4]))
+
+        def end(state: dict) -> None:
+            u, w, c = state["u"], state["w"], state["c"]
+            t = state.get("t", np.ones(len(c), dtype=np.int64))
+            context = np.repeat(np.arange(len(u)), state["n"])
+            dishes, which = np.unique(w, return_inverse=True)
+            customers = _answered(state["answer"], dishes, places.buckets)[which]
+            hot = places.hot(u)
+            now = np.bincount(context, t, len(u)) + state["alone"]
+            now[hot] = [tables[x] for x in u[hot].tolist()]
+            rng = np.random.default_rng([sweep, state["to"]])
+            t = draw(c, t, d, STRENGTH, now[context] - t, customers - t - root.d, root.all - t + ROOT, rng)
+            sums = state.get("sum", 0) + (t if sweep >= BURN else 0) + np.zeros(len(t), dtype=np.int64)
+            out.add(state["to"], TABLES, p=pack_counts(t), q=pack_counts(sums))
+            _asked(out, ASK, state["to"], dishes, places.buckets, q=np.bincount(which, t, len(dishes)).astype(np.int64))
+            now = np.bincount(context, t, len(u)).astype(np.int64)
+            for i in np.flatnonzero(hot):
+                out.add(int(u[i]), CONTEXT, src=1, i=int(now[i]))
+
+        yield from grouped(batches, 0, lambda to: {"to": to, "answer": []}, each, end, out)
 
     return run
 
 
-def _seater(d: float, tables: float, listed: dict[bytes, float], seed: int):
-    """Tables of rare words, by the customers that the contexts send and their spelling; of listed words what the root gives them."""
-    strength = RARE
+# --- what the model says
+
+
+def _word_told(roots: list[Root]):
+    """The root's averaged probability of each word, and the answer to the buckets that have it in a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _wide(batches):
-            ws, n, base = as_bytes(b.column(0)), *(b.column(x).to_numpy(zero_copy_only=False).astype(np.float64) for x in ("n0", "spelt"))
-            rare = np.array([w not in listed for w in ws])
-            rng = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(ws[0])])
-            sums = np.zeros(len(ws))
-            for _ in range(SWEEPS):
-                sums[rare] += seat(n[rare], base[rare], d, np.full(int(rare.sum()), strength + d * tables), rng)
-            root = pa.array([listed.get(w) for w in ws], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums / SWEEPS), root], [*b.schema.names, "tables", "root"])
+        out = Out()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == DISH:
+                state["dish"].append((row[2], unpack(row[4])))
+            elif row[1] == WORD:
+                state["w"], state["c"] = unpack(row[4]), unpack_counts(row[5])
+            else:
+                state["p"].append((unpack_counts(row[4]) - roots[row[2] - BURN].d) / (ROOT + roots[row[2] - BURN].all))
+
+        def end(state: dict) -> None:
+            w, c, p = state["w"], state["c"], sum(state["p"]) / SWEEPS
+            out.add(state["to"], KNOWN, p=pack(w), q=pack_counts(c), r=p.astype("<f8").tobytes())
+            for to, asked in state["dish"]:
+                at = np.searchsorted(w, asked)
+                out.add(to, TOLD, src=state["to"], p=p[at].astype("<f8").tobytes(), q=pack_counts(c[at]))
+
+        yield from grouped(batches, 0, lambda to: {"to": to, "dish": [], "p": []}, each, end, out)
 
     return run
 
 
-def _pair_seater(seed: int):
-    """Tables of pairs that occur more than once: the last draw, and the mean of SWEEPS draws."""
-    d, strength = TOKEN
+class Told:
+    """The pairs of a bucket: keys in order, log10 of the probability and the count of the word; contexts: what each leaves to the root."""
+
+    def __init__(self, state: dict, places: Places, d: float, hot: dict[int, tuple[float, float]]):
+        self.u, n, w, self.c = unpack(state["pairs"][4]), unpack_counts(state["pairs"][5]), unpack(state["pairs"][6]), unpack_counts(state["pairs"][7])
+        t = np.ones(len(w))
+        t[self.c > 1] = unpack_counts(state["tables"]) / SWEEPS
+        context = np.repeat(np.arange(len(self.u)), n)
+        customers, tables = np.bincount(context, self.c, len(self.u)), np.bincount(context, t, len(self.u))
+        for i in np.flatnonzero(places.hot(self.u)):
+            customers[i], tables[i] = hot[int(self.u[i])]
+        self.left = (STRENGTH + d * tables) / (STRENGTH + customers)
+        dishes, which = np.unique(w, return_inverse=True)
+        p, count = (_answered([x[k] for x in state["told"]], dishes, places.buckets)[which] for k in (0, 1))
+        p = (self.c - d * t) / (STRENGTH + customers)[context] + self.left[context] * p
+        key = named(self.u[context], w)
+        order = np.argsort(key)
+        self.key, self.log10, self.count, self.coded = key[order], np.log10(p[order]), count[order], ((w >= 0) & (w < CODES))[order]
+        self.times = self.c[order]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+
+def _read_model(state: dict, row: tuple) -> bool:
+    """Keep a row of the model in a bucket's state."""
+    if row[1] == PAIRS:
+        state["pairs"] = row
+    elif row[1] == TABLES:
+        state["tables"] = row[5]
+    elif row[1] == TOLD:
+        state["told"].append((np.frombuffer(row[4], "<f8"), unpack_counts(row[5])))
+    else:
+        return False
+    return True
+
+
+def _hottest(places: Places, d: float, hot: dict, least: int):
+    """The pairs that occur least times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _wide(batches):
-            n, base, tables = (b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3, 4))
-            rng = np.random.default_rng([seed, b.column(0)[0].as_py() & 0xFFFFFFFF, b.column(1)[0].as_py() & 0xFFFFFFFF])
-            sums = np.zeros(len(n))
-            for _ in range(SWEEPS):
-                t = seat(n, base, d, strength + d * tables, rng)
-                sums += t
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(t.astype(np.int64)), pa.array(sums / SWEEPS)], ["u", "w", "c", "last", "t"])
+        out = Out()
+
+        def end(state: dict) -> None:
+            told = Told(state, places, d, hot)
+            at = np.flatnonzero(told.times >= least)
+            out.add(0, HOTPAIR, p=pack(told.key[at], 4), q=told.log10[at].astype("<f8").tobytes(), r=pack_counts(told.count[at]))
+
+        yield from grouped(batches, 0, lambda to: {"to": to, "told": []}, _read_model, end, out)
 
     return run
 
 
-def _scorer(spell: Spelling, hot: np.ndarray, hot_score: np.ndarray, hot_base: np.ndarray, kind: pa.DataType):
-    """Rows by document: one with what the hot pairs settle on the spot, and one for each token of another pair.
+def _base(c: np.ndarray, n: int, v: int) -> np.ndarray:
+    return np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
-    hot: names of the hot pairs, sorted; hot_score, hot_base: the log10 of each. Rows of texts that are no training texts have the
-    hashes of both words and the spelling too, for their pairs may be new.
-    """
-    own_type = pa.struct([("id", kind), ("score", pa.float64()), ("base", pa.float64()), ("n_known", pa.int64()), ("n_tokens", pa.int64())])
+
+def _asker(codes: dict[bytes, int], counts: np.ndarray, places: Places, hot: tuple[np.ndarray, ...], n: int, v: int):
+    """The tokens of texts, to the buckets of their pairs; what codes and hot pairs settle stays in a row of the batch."""
+    hot_key, hot_log10, hot_count = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known = Hashes()
-        row = TaskContext.get().partitionId() << 40
+        keys, out = Keys(codes), Out()
+        batch = TaskContext.get().partitionId() << 24
         for b in pieces(batches, 1 << 20):
             if not b.num_rows:
                 continue
-            ws, h, before, starts = _read(as_bytes(b.column(1)), known)
+            w, u, tokens = keys.tokens(as_bytes(b.column(1)))
             m = b.num_rows
-            pair = _pair(before, h)
-            place = np.minimum(np.searchsorted(hot, pair), max(len(hot) - 1, 0))
-            told = hot[place] == pair if len(hot) else np.zeros(len(pair), dtype=bool)
-            zero = np.zeros(len(pair))
-            parts = [np.where(told, x[place], 0.0) if len(hot) else zero for x in (hot_score, hot_base)]
-            sums = [np.add.reduceat(x, starts) for x in (*parts, told.astype(np.int64), np.ones(len(pair), dtype=np.int64))]
-            left = np.flatnonzero(~told)
-            docs = np.searchsorted(starts, left, side="right") - 1
-            trained = b.column(2).to_numpy(zero_copy_only=False).astype(bool)[docs]
-            new = left[~trained]
-            distinct = list({ws[i] for i in new.tolist()})
-            spelt = dict(zip(distinct, spell.log10(distinct).tolist(), strict=True))
-            spelt_ = np.zeros(len(left))
-            spelt_[~trained] = [spelt[ws[i]] for i in new.tolist()]
-            mine = pa.StructArray.from_arrays([b.column(0).cast(kind), *[pa.array(x).cast(t.type) for x, t in zip(sums, list(own_type)[1:], strict=True)]], fields=list(own_type))
-            pad = np.zeros(m, dtype=np.int64)
-            none = np.r_[np.zeros(len(left), dtype=bool), np.ones(m, dtype=bool)]
-            hidden = np.r_[trained, np.ones(m, dtype=bool)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.r_[docs, np.arange(m)]), pa.array(np.r_[pair[left], pad], mask=none), pa.array(np.r_[before[left], pad], mask=hidden), pa.array(np.r_[h[left], pad], mask=hidden),
-                    pa.array(np.r_[spelt_, pad], mask=hidden), mine.take(pa.array(np.r_[np.zeros(len(left), dtype=np.int64), np.arange(m)], mask=~none)),
-                ],
-                ["row", "pair", "u", "w", "spell", "own"],
-            )
-            row += m
+            held = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            doc = np.repeat(np.arange(m), tokens)
+            coded = (w >= 0) & (w < CODES)
+            c = np.where(coded, counts[np.where(coded, w, 0)], 0)
+            key = named(u, w)
+            at = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
+            told = hot_key[at] == key if len(hot_key) else np.zeros(len(key), dtype=bool)
+            score, clear = np.zeros(len(w)), coded | told
+            if told.any():
+                score[told], c[told] = hot_log10[at[told]], hot_count[at[told]]
+            sums = [np.bincount(doc, x, m) for x in (np.where(clear, _base(c, n, v), 0.0), score, clear & (c > 0))]
+            rest = np.flatnonzero(~told)
+            order, parts = split(2 * places(u[rest], w[rest]).astype(np.int64) + held[doc[rest]])
+            rest = rest[order]
+            for src, lo, hi in parts:
+                own = rest[lo:hi]
+                if src & 1:
+                    out.add(src >> 1, HELD, src=src, i=batch, p=pack(u[own]), q=pack(w[own]))
+                else:
+                    out.add(src >> 1, TRAIN, src=src, i=batch, p=pack(key[own], 4))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([b.schema.field(0)])) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays([b.column(0)], schema=pa.schema([b.schema.field(0)])))
+            out.add(batch % places.buckets, OWN, i=batch, p=sink.getvalue().to_pybytes(), q=np.stack([*sums, tokens, held]).astype("<f8").tobytes(), r=doc[rest].astype("<u2" if m < 1 << 16 else "<u4").tobytes(), s=np.packbits(coded[rest]).tobytes())
+            yield from out.ready()
+            batch += 1
+        yield from out.ready(last=True)
+
+    return run
+
+
+def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]]):
+    """The scores of the pairs that a bucket is asked for; what it does not know goes to the words' buckets."""
+    left_of = {k: np.log10((STRENGTH + d * t) / (STRENGTH + n)) for k, (n, t) in hot.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out()
+
+        def each(state: dict, row: tuple) -> None:
+            if _read_model(state, row):
+                return
+            to, kind, src, batch = row[:4]
+            if kind == OWN:
+                out.add(to, OWN, 0, batch, *row[4:])
+                return
+            if "model" not in state:
+                state["model"] = Told(state, places, d, hot) if "pairs" in state else None
+                for k in ("pairs", "tables", "told"):
+                    state.pop(k, None)
+            model = state["model"]
+            if kind == TRAIN:
+                at, _ = model.find(unpack(row[4], 4))
+                score, count = model.log10[at], model.count[at][~model.coded[at]]
+            else:
+                u, w = unpack(row[4]), unpack(row[5])
+                coded = (w >= 0) & (w < CODES)
+                score, count, known = np.zeros(len(u)), np.zeros(len(u), dtype=np.int64), np.zeros(len(u), dtype=bool)
+                if model is not None:
+                    at, known = model.find(named(u, w))
+                    score[known], count[known] = model.log10[at[known]], model.count[at[known]]
+                    place = np.minimum(np.searchsorted(model.u, u), len(model.u) - 1)
+                    some = ~known & (model.u[place] == u)
+                    score[some] = np.log10(model.left[place[some]])
+                few = np.flatnonzero(~known & places.hot(u))
+                score[few] = [left_of.get(x, 0.0) for x in u[few].tolist()]
+                new = np.flatnonzero(~known)
+                order, parts = split(placed(w[new], places.buckets))
+                for wb, lo, hi in parts:
+                    own = new[order[lo:hi]]
+                    out.add(wb, WANT, src=src, i=batch, p=own.astype("<u4").tobytes(), q=pack(w[own]))
+                count = count[~coded]
+            out.add(to, SCORE, src=src, i=batch, p=score.astype("<f4").tobytes(), q=pack_counts(count))
+
+        yield from grouped(batches, 0, lambda to: {"to": to, "told": []}, each, lambda state: None, out)
 
     return run
 
 
-def _looked_up(rows: DataFrame, on: str, words_: DataFrame, least: int, **columns: str) -> DataFrame:
-    """rows with columns of the words whose hash is in on: the frequent words are broadcast, so that the join has no hot key."""
-    picked = words_.select(F.col("w").alias("__h"), "c", *[F.col(c).alias(name) for name, c in columns.items()])
-    few, rest = (picked.where(x).withColumnRenamed("c", "__c") for x in (F.col("c") >= least, F.col("c") < least))
-    hit = rows.join(F.broadcast(few), F.col(on) == F.col("__h"))
-    miss = rows.join(F.broadcast(few.select("__h")), F.col(on) == F.col("__h"), "left_anti").join(rest, F.col(on) == F.col("__h"), "left")
-    return hit.unionByName(miss).select(*rows.columns, *columns)
+def _word_scorer(unknown: float):
+    """The root's share of the score of pairs that training does not have."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == KNOWN:
+                state["w"], state["c"], state["p"] = unpack(row[4]), unpack_counts(row[5]), np.frombuffer(row[6], "<f8")
+                return
+            w = unpack(row[5])
+            p, c = np.full(len(w), unknown), np.zeros(len(w), dtype=np.int64)
+            if "w" in state:
+                at = np.minimum(np.searchsorted(state["w"], w), len(state["w"]) - 1)
+                known = state["w"][at] == w
+                p[known], c[known] = state["p"][at[known]], state["c"][at[known]]
+            out.add(0, REST, src=row[2], i=row[3], p=row[4], q=np.log10(p).astype("<f4").tobytes(), r=pack_counts(c))
+
+        yield from grouped(batches, 0, lambda to: {"to": to}, each, lambda state: None, out)
+
+    return run
 
-def _listed(last: tuple[int, bytes] | None) -> Column:
-    """Whether a word is the end or no rarer, and at an equal count no later, than the last listed one."""
-    end = F.col("word") == F.lit(END)
-    return end if last is None else end | (F.col("c") > last[0]) | ((F.col("c") == last[0]) & (F.col("word") <= F.lit(last[1])))
 
+class _Results(Out):
+    """Finished batches of documents."""
 
-def _from(histogram: list, most: int) -> int:
-    """The least count such that at most most things have it or more, by (count, things) rows, the last count standing for more."""
+    def ready(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        yield from self.rows
+        self.rows = []
+
+
+def _summer(n: int, v: int):
+    """The documents of a batch with the sums over their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Results()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == OWN:
+                state["ids"] = pa.ipc.open_stream(row[4]).read_all().column(0).combine_chunks()
+                state["sums"] = np.frombuffer(row[5], "<f8").reshape(5, -1)
+                m = state["sums"].shape[1]
+                state["doc"] = np.frombuffer(row[6], "<u2" if m < 1 << 16 else "<u4").astype(np.int64)
+                state["coded"] = np.unpackbits(np.frombuffer(row[7], np.uint8), count=len(state["doc"])).astype(bool)
+            elif row[1] == SCORE:
+                x = np.frombuffer(row[4], "<f4").astype(np.float64)
+                state["at"][row[2]] = state["many"]
+                state["many"] += len(x)
+                state["score"].append(x), state["count"].append(unpack_counts(row[5]))
+            else:
+                state["rest"].append((state["at"][row[2]] + np.frombuffer(row[4], "<u4").astype(np.int64), np.frombuffer(row[5], "<f4"), unpack_counts(row[6])))
+
+        def end(state: dict) -> None:
+            doc, coded = state["doc"], state["coded"]
+            base, score, known, tokens, held = (x.copy() for x in state["sums"])
+            s, c = np.zeros(len(doc)), np.zeros(len(doc), dtype=np.int64)
+            if state["score"]:
+                s[:], c[~coded] = np.concatenate(state["score"]), np.concatenate(state["count"])
+            for at, x, count in state["rest"]:
+                s[at] += x
+                c[at] = count
+            m = len(base)
+            score += np.bincount(doc, s, m)
+            base += np.bincount(doc, np.where(coded, 0.0, _base(c, n, v)), m)
+            known += np.bincount(doc, ~coded & (c > 0), m)
+            whole = lambda x: pa.array(x.astype(np.int64))
+            out.rows.append(pa.RecordBatch.from_arrays([state["ids"], pa.array(held > 0), whole(tokens), whole(known), pa.array(np.full(m, n, dtype=np.int64)), pa.array(base), pa.array(score)], ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+
+        begin = lambda batch: {"score": [], "count": [], "rest": [], "at": {}, "many": 0}
+        yield from grouped(batches, 3, begin, each, end, out)
+
+    return run
+
+
+# --- all of it
+
+
+def remainder(key: Column) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % 5
+
+
+def _from(histogram: dict[int, int], most: int) -> int:
+    """The least count such that at most most things have it or more, the last count standing for more."""
     least, many = CAP + 1, 0
-    for r in sorted(histogram, key=lambda r: -r["c"]):
-        many += r["n"]
+    for c in sorted(histogram, reverse=True):
+        many += histogram[c]
         if many > most:
             break
-        least = r["c"]
+        least = c
     return least
 
 
-def remainder(key: Column) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % 5
+def _numbers(rows: DataFrame, kind: int) -> dict[tuple[int, int], int]:
+    """Sums of i by (to, src) of rows of a kind; few, by the bounds of what is put in them."""
+    return {(r["to"], r["src"]): int(r["n"]) for r in rows.where(F.col("kind") == kind).groupBy("to", "src").agg(F.sum("i").alias("n")).collect()}
+
+
+def _dealt(rows: DataFrame, *kinds: int) -> DataFrame:
+    """Rows of these kinds, those of a bucket together and in order."""
+    return rows.where(F.col("kind").isin(*kinds)).repartition("to").sortWithinPartitions("to", "kind", "i", "src")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score, perplexity (of score) for each row of docs."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
+    arrow = to_arrow_type(docs.schema[key].dataType)
     own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    train = own.where(remainder(F.col("__id")) != 1)
-    # all counts of the training texts, of words and of pairs
-    counted = scratch.write("lm-counts", train.select("__text").mapInArrow(_counter, "word binary, u long, w long, n long").groupBy("word", "u", "w").agg(F.sum("n").alias("c")))
-    found, pairs = counted.where("word is not null").select("word", "w", "c"), counted.where("word is null").select("u", "w", "c")
-    sizes = found.agg(F.sum("c"), F.count("*")).first()
-    n_all, v_all = int(sizes[0] or 0), int(sizes[1] or 0)
-    most = found.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").select("word", "c").limit(DISHES - 1).collect()
-    last = (most[-1]["c"], bytes(most[-1]["word"])) if most else None
-    listed = [END, *[bytes(r["word"]) for r in most]]
-    # pairs that occur once have one table in every sweep
-    single = F.count_if(F.col("c") == 1).alias("single")
-    after = pairs.groupBy("w").agg(single, F.count("*").alias("n0")).select(F.col("w").alias("__w"), F.col("single").alias("single_w"), "n0")
-    before = pairs.groupBy("u").agg(single, F.count("*").cast("double").alias("t")).select(F.col("u").alias("__u"), F.col("single").alias("single_u"), "t")
-    vocabulary = found.join(after, F.col("w") == F.col("__w")).join(before, F.col("w") == F.col("__u"))
-    vocabulary = scratch.write("lm-words", vocabulary.select("word", "n0", "w", "c", "single_w", "single_u", "t"))
-    capped = lambda df: df.groupBy(F.least("c", F.lit(CAP)).alias("c")).agg(F.count("*").alias("n")).collect()
-    least = _from(capped(vocabulary), COMMON)
-    spelt = vocabulary.where(~_listed(last)).select("word").mapInArrow(_speller, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")  # LEVELS[-1] * 256 rows at most
-    spell = spelling(spelt["cell"].to_numpy(), spelt["n"].to_numpy().astype(np.float64))
-    fields = "word binary, n0 long, w long, c long, single_w long, single_u long, t double, spelt double"
-    seats = scratch.write("lm-words", vocabulary.mapInArrow(_rarity(spell, set(listed)), fields))
-    scratch.drop(vocabulary)
-    vocabulary = seats
-    many, strength, (d_pair, s_pair) = pairs.where("c > 1"), RARE, TOKEN
-    tables: float | None = None
-    for sweep in range(BURN + 1):
-        # the root and the rare words, given the customers that all contexts send
-        sent = {bytes(r["word"]): r["n0"] for r in vocabulary.where(_listed(last)).select("word", "n0").collect()}  # DISHES rows at most
-        rare = vocabulary.where(~_listed(last))
-        r = rare.agg(F.sum("n0"), F.count("*"), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2)).first()
-        n_rare, v_rare = int(r[0] or 0), int(r[1] or 0)
-        d = min(max(r[2] / max(r[2] + 2 * r[3], 1), 0.05), 0.95)
-        customers = np.array([*[sent.get(w, 0) for w in listed], n_rare])
-        at = np.flatnonzero(customers)
-        root = 10 ** tokens(listed, CONTEXTS * (DISHES + 1) + at, customers[at], sweep).log10[CONTEXTS]
-        to_rare = float(root[-1])
-        seats = scratch.write("lm-seats", vocabulary.mapInArrow(_seater(d, float(v_rare) if tables is None else tables, dict(zip(listed, root.tolist(), strict=False)), sweep), f"{fields}, tables double, root double"))
-        scratch.drop(vocabulary)
-        sums = seats.agg(F.sum("tables"), F.sum("spelt")).first()
-        tables, spelt_rare = float(sums[0] or 0), float(sums[1] or 0)
-        lift = (strength + d * tables) / (strength + n_rare)
-        in_rare = F.greatest(F.col("n0") - d * F.col("tables"), F.lit(0.0)) / (strength + n_rare) + lift * F.col("spelt")
-        vocabulary = seats.withColumn("p0", F.coalesce("root", to_rare * in_rare))
-        if sweep == BURN:
-            break
-        asked = _looked_up(_looked_up(many.select("u", "w", "c"), "w", vocabulary, least, p0="p0"), "u", vocabulary, least, t="t")
-        seated = scratch.write("lm-pairs", asked.mapInArrow(_pair_seater(sweep), "u long, w long, c long, last long, t double"))
-        if sweep:
-            scratch.drop(many)
-        many = seated
-        to_word = many.groupBy("w").agg(F.sum("last").alias("m")).select(F.col("w").alias("__w"), "m")
-        of_word = many.groupBy("u").agg(F.sum("t").alias("k")).select(F.col("u").alias("__u"), "k")
-        more = vocabulary.join(to_word, F.col("w") == F.col("__w"), "left").join(of_word, F.col("w") == F.col("__u"), "left")
-        zero_ = F.lit(0).cast("long")
-        vocabulary = scratch.write("lm-words", more.select("word", (F.col("single_w") + F.coalesce("m", zero_)).alias("n0"), "w", "c", "single_w", "single_u", (F.col("single_u") + F.coalesce("k", F.lit(0.0))).alias("t"), "spelt"))
-        scratch.drop(seats)
-    # a context's own share of each of its pairs and what it leaves to the root; a word is a context as often as it occurs
-    context = (s_pair + d_pair * F.col("t")) / (s_pair + F.col("c"))
-    base_ = lambda c: F.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-    vocabulary = vocabulary.withColumns({"up": context, "n": F.col("c"), "base": base_(F.col("c"))})
-    told = pairs.where("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).unionByName(many.select("u", "w", "c", "t"))
-    told = _looked_up(_looked_up(told, "w", vocabulary, least, p0="p0", base="base"), "u", vocabulary, least, up="up", n="n")
-    p = F.greatest(F.col("c") - d_pair * F.col("t"), F.lit(0.0)) / (s_pair + F.col("n")) + F.col("up") * F.col("p0")
-    told = scratch.write("lm-told", told.select(_pair_column("u", "w").alias("name"), "c", F.log10(p).alias("known_score"), F.col("base").alias("known_base")))
-    scratch.drop(counted, many)
-    unseen = max(1 - spelt_rare - float((10 ** spell.log10(listed)).sum()), 1e-6)
-    hot_from = _from(capped(told), HOT)
-    hot = told.where(F.col("c") >= hot_from).drop("c").toArrow().sort_by("name")  # HOT rows at most
-    scorer = _scorer(spell, *[hot[x].to_numpy() for x in ("name", "known_score", "known_base")], to_arrow_type(docs.schema[key].dataType))
+    train = own.where(remainder(F.col("__id")) != 1).select("__text")
+    sizes = own.agg(F.sum(F.octet_length("__text")).alias("bytes"), F.count("*").alias("n")).first()
+    buckets = max(1, -(-int(sizes["bytes"] or 0) // BUCKET))
+    # short codes of words that are frequent in a sample
+    share = min(1.0, SAMPLE / max(sizes["n"], 1))
+    some = own.where(F.pmod(F.xxhash64("__id", F.lit(13)), F.lit(1 << 20)) < share * (1 << 20)).select("__text")
+    found = some.mapInArrow(_word_counter, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = scratch.write("lm-sample", found.where("n > 1"))
+    seen = found.orderBy(F.desc("n"), "word").limit(CODES - 1).collect()  # CODES words of LONGEST bytes at most
+    codes = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(seen)}
+    times = np.array([sum(r["n"] for r in seen) // 20, *[r["n"] for r in seen]], dtype=np.float64)
+    places = Places(buckets, np.ceil(times / max(times.sum(), 1) * buckets).clip(1).astype(np.int64))
+    scratch.drop(found)
+    # all pairs of the training texts
+    pairs = scratch.write("lm-pairs", _dealt(train.mapInArrow(_counter(codes, places), ROWS), PAIRS).mapInArrow(_merger(places), ROWS))
+    stat, histogram = _numbers(pairs, STAT), {c: n for (c, _), n in _numbers(pairs, COUNTS).items()}
+    once, twice = stat.get((0, 0), 0), stat.get((1, 0), 0)
+    d = min(max(once / max(once + 2 * twice, 1), 0.05), 0.9)
+    contexts = _numbers(pairs, CONTEXT)
+    total, tables, alone = ({c: n for (c, src), n in contexts.items() if src == k} for k in range(3))
+    tables_sum = dict.fromkeys(tables, 0)
+    words_ = scratch.write("lm-words", _dealt(pairs, ASK, DISH).mapInArrow(_word_seats(buckets, -1, True), ROWS))
+    stat = {k: n for (k, _), n in _numbers(words_, STAT).items()}
+    root, n_all, v_all = Root(stat), stat.get(4, 0), stat.get(3, 0)
+    counts = np.zeros(CODES, dtype=np.int64)
+    for (code, _), n in _numbers(words_, CODE).items():
+        counts[code] = n
+    roots, history, answers, seats = [], [], words_, None
+    for sweep in range(BURN + SWEEPS):
+        state = pairs.where(F.col("kind").isin(MULTI, FIXED)).unionByName(answers.where(F.col("kind") == REPLY))
+        state = state if seats is None else state.unionByName(seats.where(F.col("kind") == TABLES))
+        now = scratch.write("lm-seats", _dealt(state, MULTI, FIXED, TABLES, REPLY).mapInArrow(_pair_seats(places, d, root, tables, sweep), ROWS))
+        tables = alone | {c: n + alone[c] for (c, _), n in _numbers(now, CONTEXT).items()}
+        asked = words_.where(F.col("kind") == WORD).unionByName(now.where(F.col("kind") == ASK))
+        next_ = scratch.write("lm-answers", _dealt(asked, WORD, ASK).mapInArrow(_word_seats(buckets, sweep, False), ROWS))
+        if answers is not words_ and sweep <= BURN:
+            scratch.drop(answers)
+        if seats is not None:
+            scratch.drop(seats)
+        answers, seats = next_, now
+        root = Root({k: n for (k, _), n in _numbers(answers, STAT).items()})
+        if sweep >= BURN:
+            roots.append(root)
+            history.append(answers)
+            tables_sum = {c: n + tables[c] for c, n in tables_sum.items()}
+    told = words_.where(F.col("kind") == WORD).unionByName(pairs.where(F.col("kind") == DISH))
+    for h in history:
+        told = told.unionByName(h.where(F.col("kind") == HISTORY))
+    told = scratch.write("lm-told", _dealt(told, DISH, WORD, HISTORY).mapInArrow(_word_told(roots), ROWS))
+    scratch.drop(words_, *history)
+    unknown = float(np.mean([(ROOT + r.d * r.words) / (ROOT + r.all) for r in roots]))
+    hot_contexts = {c: (total[c], n / SWEEPS) for c, n in tables_sum.items()}
+    # the model's rows by bucket, and the scores of its most frequent pairs
+    model = pairs.where(F.col("kind") == PAIRS).unionByName(seats.where(F.col("kind") == TABLES)).unionByName(told.where(F.col("kind") == TOLD))
+    least = _from(histogram, HOT)
+    parts = _dealt(model, PAIRS, TABLES, TOLD).mapInArrow(_hottest(places, d, hot_contexts, least), ROWS).select("p", "q", "r").collect()  # HOT pairs at most
+    hot = [np.concatenate([f(r[k]) for r in parts] or [np.zeros(0)]) for k, f in (("p", lambda x: unpack(x, 4)), ("q", lambda x: np.frombuffer(x, "<f8")), ("r", unpack_counts))]
+    order = np.argsort(hot[0])
+    hot = (hot[0][order].astype(np.int64), hot[1][order].astype(np.float32), hot[2][order].astype(np.int64))
+    asker = _asker(codes, counts, places, hot, n_all, v_all)
     asked = own.withColumn("__trained", F.coalesce(remainder(F.col("__id")) != 1, F.lit(False)))
-    lines = asked.mapInArrow(scorer, f"row long, pair long, u long, w long, spell double, own struct<id: {kind}, score: double, base: double, n_known: long, n_tokens: long>")
-    # a text's own row has no pair; a number of its own takes it to some partition
-    lines = lines.withColumn("__key", F.coalesce("pair", F.xxhash64("row", F.lit(1))))
-    lines = lines.join(told.where(F.col("c") < hot_from).drop("c"), (F.col("__key") == F.col("name")) & F.col("pair").isNotNull(), "left")
-    lines = scratch.write("lm-lines", lines.select("row", "pair", "u", "w", "spell", "own", "known_score", "known_base"))
-    settled = F.col("pair").isNull() | F.col("known_score").isNotNull()
-    clear = lines.where(settled).select("row", "own", F.col("known_score").alias("s"), F.col("known_score").alias("o"), F.col("known_base").alias("b"), F.when(F.col("pair").isNotNull(), 1).alias("k"))
-    # pairs that training does not have: the context, if it has one, leaves them to the root
-    new = _looked_up(_looked_up(lines.where(~settled).select("row", "u", "w", "spell"), "u", vocabulary, least, up="up"), "w", vocabulary, least, p0="p0", base="base")
-    up = F.log10(F.coalesce("up", F.lit(1.0)))
-    spelt_out = F.log10(F.lit(to_rare * lift)) + F.col("spell")
-    new = new.select(
-        "row", F.lit(None).cast(lines.schema["own"].dataType).alias("own"), (up + F.log10(F.coalesce("p0", F.lit(to_rare * lift * unseen)))).alias("s"), (up + F.coalesce(F.log10("p0"), spelt_out)).alias("o"),
-        F.coalesce("base", base_(F.lit(0))).alias("b"), F.when(F.col("p0").isNotNull(), 1).alias("k"),
-    )
-    both = clear.unionByName(new)
-    summed = both.groupBy("row").agg(F.max("own").alias("own"), F.count("k").alias("known"), F.sum("b").alias("base"), F.sum("s").alias("score"), F.sum("o").alias("open"))
-    own_id, zero = F.col("own.id"), F.lit(0.0)
-    out = summed.select(
-        own_id.alias(key), F.coalesce(remainder(own_id) == 1, F.lit(False)).alias("held_out"), F.col("own.n_tokens").alias("n_tokens"), (F.col("own.n_known") + F.col("known")).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("own.base") + F.coalesce("base", zero)).alias("base_score"), (F.col("own.score") + F.coalesce("score", zero)).alias("score"),
-        (F.col("own.score") + F.coalesce("open", zero)).alias("open_score"),
-    )
-    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    results = []
+    for part in range(ROUNDS):
+        mine = asked.where(F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(ROUNDS)) == part)
+        rows = model.unionByName(mine.mapInArrow(asker, ROWS))
+        scores = scratch.write("lm-scores", _dealt(rows, PAIRS, TABLES, TOLD, TRAIN, HELD, OWN).mapInArrow(_pair_scorer(places, d, hot_contexts), ROWS))
+        wanted = told.where(F.col("kind") == KNOWN).unionByName(scores.where(F.col("kind") == WANT))
+        rest = _dealt(wanted, KNOWN, WANT).mapInArrow(_word_scorer(unknown), ROWS)
+        batches = scores.where(F.col("kind").isin(OWN, SCORE)).unionByName(rest).repartition("i").sortWithinPartitions("i", "kind", "src")
+        results.append(scratch.write("lm-results", batches.mapInArrow(_summer(n_all, v_all), f"__id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")))
+        scratch.drop(scores)
+    scratch.drop(pairs, seats, told)
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    trained_null = F.when(F.col("__id").isNull(), F.lit(False)).otherwise(F.col("held_out"))
+    return out.select(F.col("__id").alias(key), trained_null.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of a row group: small ones need little memory to write and can be read by many tasks.
 ROW_GROUP = 16 << 20
 _LOCAL: list[str] = []
+#: Whether Spark removes the shuffle files of a plan when it has run; nothing reads those of a table that is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -40,7 +42,12 @@ class Scratch:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before) if before is not None else self.spark.conf.unset(CLEAN)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from harvestry.llm import extract, jaccard, language, lmscore, nearest, packing, toxicity
+from harvestry.llm import extract, jaccard, language, lmscore, nearest, packing, seating, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, node string, score double"
 
@@ -220,23 +220,100 @@ def test_every_word_is_a_context(spark):
     assert all(got[held[k]] > got[held[n + k]] + 1.5 for k in range(n))
 
 
-def test_listed_words_come_from_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "DISHES", 4)
-    seen = []
-    monkeypatch.setattr(lmscore, "tokens", lambda listed, *a, own=lmscore.tokens: seen.append(listed) or own(listed, *a))
-    rows = [(i, f"x{i} x{i} x{i}", "", "") for i in range(6000)] + [(i, "seldom", "", "") for i in range(6000, 6010)] + [(i, "never", "", "") for i in range(6010, 6030)]
-    lmscore.score(docs(spark, rows))
-    assert seen[0][:3] == [lmscore.END, b"never", b"seldom"]
+def test_tables_are_drawn_from_their_distribution():
+    rng = np.random.default_rng(5)
+    for c, d, strength, others, sent, up in ((6, 0.6, 5.0, 20, 3.4, 900.0), (30, 0.3, 2.0, 0, 0.7, 60.0), (70, 0.75, 5.0, 300, 40.0, 2000.0), (200, 0.5, 5.0, 50, 9.5, 400.0)):
+        t = np.arange(1, c + 1)
+        rise = [sum(math.log(strength + d * (others + j)) + math.log((sent + j) / (up + j)) for j in range(k)) for k in t]
+        p = seating.stirling(d, c)[c, 1:] + rise
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        n, now = 20_000, np.ones(20_000, dtype=np.int64)
+        for _ in range(1 if c <= seating.EXACT else 25):
+            now = seating.draw(np.full(n, c), now, d, strength, *(np.full(n, float(x)) for x in (others, sent, up)), rng)
+        mean, deviation = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        assert abs(now.mean() - mean) < 0.05 * deviation + 0.01 and abs(now.std() - deviation) < 0.08 * deviation + 0.01
+        assert np.abs(np.bincount(now, minlength=c + 1)[1:] / n - p).max() < 0.03
 
 
-def test_dishes_sum_to_one():
-    rng = np.random.default_rng(1)
-    listed = [lmscore.END, *[str(i).encode() for i in range(40)]]
-    cells = np.unique(rng.integers(0, 30, 300) * (lmscore.DISHES + 1) + rng.integers(0, 42, 300))
-    p = 10 ** lmscore.tokens(listed, cells, rng.integers(1, 50, len(cells))).log10
-    assert np.allclose(p.sum(axis=1), 1)
-    s = lmscore.spelling(np.array([], dtype=np.int64), np.array([]))
-    assert np.allclose(s.log10([b"ab"]), 3 * math.log10(1 / 256))
+def test_seatings_are_counted_right():
+    for d in (0.1, 0.5, 0.8):
+        table = seating.stirling(d, 300)
+        for c in (41, 300):
+            t = np.arange(1, c + 1)
+            assert np.abs(seating.log_stirling(np.full(c, c), t, d) - table[c, 1 : c + 1]).max() < 0.1
+
+
+def held_ids(n, start=10**6):
+    return [i for i in range(start, start + 12 * n) if zlib.crc32(str(i).encode()) % 5 == 1][:n]
+
+
+def trained_ids(n):
+    return [i for i in range(2 * n + 20) if zlib.crc32(str(i).encode()) % 5 != 1][:n]
+
+
+def seated_by_customer(texts, asked, sweeps=120, burn=40, seed=0):
+    """The average over sweeps of the log10 probabilities of texts, by a sampler that moves one customer after the other."""
+    rng = random.Random(seed)
+    pairs = [(u, w) for t in texts for u, w in zip(["$", *t], [*t, "$"], strict=True)]
+    counts = Counter(Counter(pairs).values())
+    d = min(max(counts[1] / max(counts[1] + 2 * counts[2], 1), 0.05), 0.9)
+    sizes, of = defaultdict(list), [None] * len(pairs)
+    at_root, tables = Counter(), Counter()
+    n_root, words = 0, set(w for _, w in pairs)
+
+    def root(w, d0):
+        return (at_root[w] - d0) / (lmscore.ROOT + n_root) if at_root[w] else 1e-9
+
+    def root_discount():
+        n = Counter(at_root.values())
+        return min(max(n[1] / max(n[1] + 2 * n[2], 1), 0.05), 0.9)
+
+    total = defaultdict(list)
+    for sweep in range(sweeps):
+        d0 = root_discount()
+        for k, (u, w) in enumerate(pairs):
+            mine = sizes[u, w]
+            if of[k] is not None:
+                mine[of[k]] -= 1
+                if not mine[of[k]]:
+                    tables[u] -= 1
+                    at_root[w] -= 1
+                    n_root -= 1
+            weights = [max(x - d, 0) if x else 0 for x in mine] + [(lmscore.STRENGTH + d * tables[u]) * root(w, d0)]
+            pick = rng.choices(range(len(weights)), weights)[0]
+            if pick == len(mine):
+                pick = mine.index(0) if 0 in mine else len(mine)
+                if pick == len(mine):
+                    mine.append(0)
+                tables[u] += 1
+                at_root[w] += 1
+                n_root += 1
+            mine[pick] += 1
+            of[k] = pick
+        if sweep < burn:
+            continue
+        d0, n = root_discount(), Counter(u for u, _ in pairs)
+        for i, t in asked.items():
+            for k, (u, w) in enumerate(zip(["$", *t], [*t, "$"], strict=True)):
+                p0 = (at_root[w] - d0) / (lmscore.ROOT + n_root) if w in words else (lmscore.ROOT + d0 * len(words)) / (lmscore.ROOT + n_root)
+                own, up = (max(sum(sizes[u, w]) - d * sum(x > 0 for x in sizes[u, w]), 0) / (lmscore.STRENGTH + n[u]), (lmscore.STRENGTH + d * tables[u]) / (lmscore.STRENGTH + n[u])) if n[u] else (0, 1)
+                total[i, k].append(own + up * p0)
+    return {i: sum(math.log10(np.mean(total[i, k])) for k in range(len(t) + 1)) for i, t in asked.items()}
+
+
+def test_scores_agree_with_a_sampler_of_single_customers(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(20)]
+    texts = [[vocabulary[min(int(rng.expovariate(0.25)), 19)] for _ in range(rng.randrange(1, 12))] for _ in range(120)]
+    asked = dict(zip(held_ids(40), [t + ["new"] * (k % 3 == 0) for k, t in enumerate(texts[:20] + [[rng.choice(vocabulary) for _ in range(6)] for _ in range(20)])], strict=True))
+    rows = [(i, " ".join(t), "", "") for i, t in [*zip(trained_ids(len(texts)), texts, strict=True), *asked.items()]]
+    got = {r["doc_id"]: r for r in lmscore.score(docs(spark, rows)).collect()}
+    told = seated_by_customer(texts, asked)
+    for i, t in asked.items():
+        assert abs(got[i]["score"] - told[i]) < 0.05 * (len(t) + 1), (t, got[i]["score"], told[i])
+        assert math.isclose(got[i]["perplexity"], 10 ** (-got[i]["score"] / (len(t) + 1)), rel_tol=1e-9)
+    assert abs(sum(got[i]["score"] - told[i] for i in asked)) < 0.01 * sum(len(t) + 1 for t in asked.values())
 
 
 def toxic_rows(n=240):

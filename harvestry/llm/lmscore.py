@@ -38,7 +38,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from harvestry.llm.blobs import ROWS, Out, grouped, mixed, pack, pack_counts, placed, split, unpack, unpack_counts
 from harvestry.llm.seating import draw
@@ -46,11 +45,15 @@ from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
 #: Bytes of text a bucket, parts that documents are scored in.
-BUCKET, ROUNDS = 6 << 20, 3
+BUCKET, ROUNDS = 16 << 20, 2
+#: Tokens about that a batch of documents sends to a bucket, and the least and most tokens of a batch.
+ROW, BATCH = 1 << 14, (1 << 17, 1 << 21)
 #: Words at most that have a short code, rows about of the sample that they are found in, and the longest such word.
 CODES, SAMPLE, LONGEST = 1 << 16, 4000, 64
 #: Pairs at most whose scores are broadcast, and the count from which on a histogram does not tell counts apart.
 HOT, CAP = 400_000, 100_000
+#: Bits of the table in which hot pairs are looked up.
+HOT_PLACES = 21
 #: Words whose keys a worker remembers, tokens that it counts before it hands the counts on.
 REMEMBER, FLUSH = 250_000, 2_000_000
 #: Strength of the contexts' restaurants and of the root.
@@ -401,24 +404,40 @@ def _base(c: np.ndarray, n: int, v: int) -> np.ndarray:
 def _asker(codes: dict[bytes, int], counts: np.ndarray, places: Places, hot: tuple[np.ndarray, ...], n: int, v: int):
     """The tokens of texts, to the buckets of their pairs; what codes and hot pairs settle stays in a row of the batch."""
     hot_key, hot_log10, hot_count = hot
+    least = min(max(ROW * places.buckets, BATCH[0]), BATCH[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         keys, out = Keys(codes), Out()
         batch = TaskContext.get().partitionId() << 24
-        for b in pieces(batches, 1 << 20):
-            if not b.num_rows:
-                continue
-            w, u, tokens = keys.tokens(as_bytes(b.column(1)))
-            m = b.num_rows
-            held = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        place = np.full(1 << HOT_PLACES, -1, dtype=np.int32)  # of pairs that meet in a place one is hot, the others travel
+        place[mixed(hot_key) >> np.uint64(64 - HOT_PLACES)] = np.arange(len(hot_key))
+
+        def read() -> Iterator[tuple]:
+            """Keys, keys before, tokens a text, ids and whether held, of some texts with enough tokens for a batch."""
+            held, many = [], 0
+            for b in pieces(batches, 1 << 20):
+                if b.num_rows:
+                    w, u, tokens = keys.tokens(as_bytes(b.column(1)))
+                    held.append((w, u, tokens, ~b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(0)))
+                    many += len(w)
+                    if many >= least:
+                        yield tuple(zip(*held, strict=True))
+                        held, many = [], 0
+            if held:
+                yield tuple(zip(*held, strict=True))
+
+        for *parts, ids in read():
+            w, u, tokens, held = (np.concatenate(x) for x in parts)
+            m = len(tokens)
             doc = np.repeat(np.arange(m), tokens)
             coded = (w >= 0) & (w < CODES)
             c = np.where(coded, counts[np.where(coded, w, 0)], 0)
             key = named(u, w)
-            at = np.minimum(np.searchsorted(hot_key, key), max(len(hot_key) - 1, 0))
-            told = hot_key[at] == key if len(hot_key) else np.zeros(len(key), dtype=bool)
+            at = place[mixed(key) >> np.uint64(64 - HOT_PLACES)]
+            told = at >= 0
+            told[told] = hot_key[at[told]] == key[told]
             score, clear = np.zeros(len(w)), coded | told
             if told.any():
                 score[told], c[told] = hot_log10[at[told]], hot_count[at[told]]
@@ -433,8 +452,8 @@ def _asker(codes: dict[bytes, int], counts: np.ndarray, places: Places, hot: tup
                 else:
                     out.add(src >> 1, TRAIN, src=src, i=batch, p=pack(key[own], 4))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([b.schema.field(0)])) as stream:
-                stream.write_batch(pa.RecordBatch.from_arrays([b.column(0)], schema=pa.schema([b.schema.field(0)])))
+            with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(ids)], ["id"]))
             out.add(batch % places.buckets, OWN, i=batch, p=sink.getvalue().to_pybytes(), q=np.stack([*sums, tokens, held]).astype("<f8").tobytes(), r=doc[rest].astype("<u2" if m < 1 << 16 else "<u4").tobytes(), s=np.packbits(coded[rest]).tobytes())
             yield from out.ready()
             batch += 1
@@ -597,7 +616,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    arrow = to_arrow_type(docs.schema[key].dataType)
     own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     train = own.where(remainder(F.col("__id")) != 1).select("__text")
     sizes = own.agg(F.sum(F.octet_length("__text")).alias("bytes"), F.count("*").alias("n")).first()

@@ -429,8 +429,23 @@ def test_nearest(spark):
     rows += [(2000, None), (2050, [1.0, None, 1, 1, 1, 1]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (None, [1.0] * 6), (2200, [1.0, 2.0]), (2201, [2.0, 1.0]), (2250, [])]
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest.search(d, pivots=8, block=40).collect()
-    assert sorted(map(tuple, got)) == brute_top(rows, 50, 5)
+    for small in ({"pivots": 8, "stripe": 40, "group_bytes": 100}, {"pivots": 40, "stripe": 25}, {}):
+        assert sorted(map(tuple, nearest.search(d, **small).collect())) == brute_top(rows, 50, 5)
     assert nearest.search(d.limit(0)).collect() == []
     huge = spark.createDataFrame([(0, [5e6, 5e6]), (1, [5e6, 3e6]), (2, [-5e6, 1.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, nearest.search(huge).collect())) == brute_top([(r[0], r[1]) for r in huge.collect()], 50, 5)
+
+
+def test_nearest_with_repeated_ids_in_small_cells(spark):
+    rng = random.Random(9)
+    rows = [(100, [50.0 + rng.random(), 1.0]) for _ in range(60)] + [(i, [rng.gauss(0, 30), rng.gauss(0, 30)]) for i in range(101, 400)] + [(50, [40.0, 40.0])] * 7
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, nearest.search(d, pivots=64, stripe=50, group_bytes=64).collect())) == brute_top(rows, 50, 5)
+
+
+def test_nearest_compares_few_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, (40, 16))
+    rows = [(i, (centre[i % 40] * 8 + rng.normal(0, 0.1, 16)).tolist()) for i in range(4000)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest.compared(d) < 0.3 * 80 * 4000

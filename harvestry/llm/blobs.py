@@ -86,6 +86,29 @@ class Out:
             self.rows, self.size = [], 0
 
 
+class Batches:
+    """Finished batches on their way out."""
+
+    def __init__(self):
+        self.rows: list[pa.RecordBatch] = []
+
+    def ready(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        yield from self.rows
+        self.rows = []
+
+
+def stream(*columns: pa.Array) -> bytes:
+    """Columns of any type as bytes."""
+    batch, sink = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def streamed(data: bytes) -> list[pa.Array]:
+    return [c.combine_chunks() for c in pa.ipc.open_stream(data).read_all().columns]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: int, begin: Callable, each: Callable, end: Callable, out) -> Iterator[pa.RecordBatch]:
     """Run begin(key) -> state, each(state, row), end(state) over rows sorted by the key in a column; out.ready() has the results."""
     now, state = None, None

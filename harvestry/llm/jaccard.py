@@ -1,19 +1,23 @@
 """N-gram Jaccard join with a token-group matrix (operator 2).
 
 Documents are sets of word shingles, as 64-bit hashes. Two documents are linked when their sets' Jaccard similarity is at
-least num/100. The class of a document is its connected component, its name the least document id in it.
+least num/100. The class of a document is its connected component, its name the least document id in it. All links are found.
 
-1. Equal sets become one node (128-bit digest) with the number of its rows.
-2. Nodes are partitioned into groups of similar documents: buckets of banded minhashes are unions of candidates, and the
-   connected unions are the groups. rows and bands of the banding are chosen so that two sets at the threshold share no
-   bucket with a probability below MISS, whatever their sizes; every more similar pair misses with less.
+1. Every shingle goes to a bucket that counts the documents it occurs in. Shingles are ordered from the rarest to the most
+   frequent. Two sets that are linked share one of the first n - ceil(num/100 * n) + 1 shingles of each: its prefix. Shingles of
+   one document only are shared by none, so a set with enough of these is linked with nothing, and most sets end here.
+2. Equal sets become one node (128-bit digest) with the number of its rows. Nodes are partitioned into groups of similar
+   documents: those that share a shingle of their prefixes, directly or through others. A link never leaves its group.
 3. Groups over a bound of rows or tokens are cut into blocks. For each pair of blocks of one group, a task holds the two
-   blocks with their token unions. A query set is opened against the other block only if its overlap with that union is at
-   least the overlap that the threshold asks for; the opened sets are compared exactly, through a sparse count of common
-   tokens. A task returns for each set its links, counted by rows, and one neighbour in a spanning forest of the links.
+   blocks, cut into small groups of similar sets with the union of their tokens. The matrix of tokens and these groups gives
+   the overlap of every set with every union; only where it reaches the overlap that the threshold asks for, the group is
+   opened and its sets are compared exactly. A task returns for each set its links, counted by rows, and one neighbour in a
+   spanning forest of the links.
 4. Components of the forest edges give the classes.
 
-Nothing is emitted for pairs; a task's memory is bounded by two blocks; a set larger than a block is a block of its own.
+The most frequent shingles of a sample, FREQUENT of them at most, stand last in the order and are not sent, so that no bucket
+gets one from a large part of all documents; any order finds all links. Nothing is emitted for pairs; a task's memory is
+bounded by a bucket or by two blocks; a set larger than a block is a block of its own.
 
 Cases: a null text, or one without words, has an empty set, no links, and its own id as its class (rows of one id share
 it); with fewer words than a shingle has, the whole sequence is the one shingle. Rows with a null id take part in links;
@@ -23,7 +27,6 @@ the least id. Only ``key`` and ``text`` are read, whatever other columns there a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harvestry.llm.blobs import ROWS, Batches, Out, grouped, pack_counts, split, stream, streamed, unpack_counts
 from harvestry.llm.components import components
 from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
-#: Chance at most that a pair at the threshold meets in no bucket.
-MISS = 1e-10
-#: Minhashes of a bucket.
-ROWS = {90: 8, 80: 6}
-#: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 18
+#: Bytes of text a bucket; tokens about that a batch of documents sends to a bucket, and the least and most tokens of a batch.
+BUCKET, ROW, BATCH = 8 << 20, 1 << 13, (1 << 17, 1 << 20)
+#: Rows about of the sample in which frequent shingles are found, rows of it that such a shingle is in, and most of them.
+SAMPLE, OFTEN, FREQUENT = 2000, 20, 1 << 16
+#: Sets and tokens of a block, and sets of a small group.
+BLOCK_SETS, BLOCK_TOKENS, GROUP_SETS = 256, 1 << 18, 16
 #: Groups' members up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST = 500_000
 #: Words whose hashes a worker remembers.
@@ -88,35 +92,136 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def bands(percent: int) -> tuple[int, int]:
-    """Minhashes of a bucket, and buckets of a set."""
-    rows = ROWS.get(percent) or max(1, round(math.log(0.35) / math.log(percent / 100)))
-    return rows, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+# Kinds of rows between buckets (blobs.py).
+OWN, TOKENS, SHARED = range(3)
 
 
-def _preparer(width: int, percent: int):
-    rows, n_bands = bands(percent)
-    factors = np.random.default_rng(11).integers(1, 1 << 32, rows * n_bands, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    powers = _MIX[0] ** np.arange(1, rows + 1, dtype=np.uint64)
+def prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens of sets of n, the first in any common order, a linked set shares one with."""
+    return n - -(-percent * n // 100) + 1
 
-    def buckets(tokens: np.ndarray) -> np.ndarray:
-        low = (tokens >> np.uint64(32)).astype(np.uint32)
-        least = np.full(len(factors), 0xFFFFFFFF, dtype=np.uint32)
-        for at in range(0, len(low), 256):
-            np.minimum(least, np.multiply.outer(low[at : at + 256], factors).min(axis=0), out=least)
-        mixed = (least.reshape(n_bands, rows).astype(np.uint64) * powers).sum(axis=1) + np.arange(n_bands, dtype=np.uint64) * _MIX[1]
-        mixed ^= mixed >> np.uint64(31)
-        return (mixed * _MIX[2]).view(np.int64)
 
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampler(width: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for b in pieces(batches, 1 << 20):
-            sets = [shingles(t) for t in as_bytes(b.column(1))]
-            names = [digest(s) if len(s) else None for s in sets]
-            rows_ = [buckets(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(rows_, pa.list_(pa.int64()))], ["__id", "n_shingles", "node", "buckets"])
+        for b in pieces(batches):
+            sets = [shingles(t) for t in as_bytes(b.column(0))]
+            token, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    return count
+
+
+def _asker(width: int, frequent: np.ndarray, buckets: int):
+    """The tokens of sets to their buckets; ids, sizes, digests and frequent tokens in a row of the batch."""
+    least = min(max(ROW * buckets, BATCH[0]), BATCH[1])
+    maybe = np.zeros(1 << 20, dtype=bool)
+    maybe[frequent >> np.uint64(44)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shingles, out, batch, held, many = Shingles(width), Out(), TaskContext.get().partitionId() << 24, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal batch, many
+            sets = [s for _, _, some in held for s in some]
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            often = np.flatnonzero(maybe[tokens >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(frequent, tokens[often]), max(len(frequent) - 1, 0))
+            real = frequent[place] == tokens[often] if len(frequent) else np.zeros(0, dtype=bool)
+            often, place = often[real], place[real]
+            ids = stream(*[pa.concat_arrays([h[k] for h in held]) for k in (0, 1)])
+            out.add(batch % buckets, OWN, i=batch, p=ids, q=n.tobytes(), r=b"".join([digest(s) for s in sets]), s=np.stack([doc[often], place]).astype("<u4").tobytes())
+            left = np.ones(len(tokens), dtype=bool)
+            left[often] = False
+            tokens, doc = tokens[left], doc[left].astype("<u2" if len(sets) < 1 << 16 else "<u4")
+            order, parts = split((tokens % np.uint64(buckets)).astype(np.int32))
+            tokens, doc = tokens[order], doc[order]
+            for to, lo, hi in parts:
+                out.add(to, TOKENS, src=to, i=batch, p=tokens[lo:hi].tobytes(), q=doc[lo:hi].tobytes())
+            yield from out.ready()
+            held.clear()
+            batch, many = batch + 1, 0
 
-    return prepare
+        for b in pieces(batches, 1 << 20):
+            if b.num_rows:
+                sets = [shingles(t) for t in as_bytes(b.column(2))]
+                held.append((b.column(0), b.column(1), sets))
+                many += sum(len(s) for s in sets)
+                if many >= least:
+                    yield from flush()
+        if held:
+            yield from flush()
+        yield from out.ready(last=True)
+
+    return run
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents the tokens of a bucket are; those of one only are left out."""
+    out = Out()
+
+    def each(state: list, row: tuple) -> None:
+        if row[1] == OWN:
+            out.add(0, OWN, 0, *row[3:])
+        else:
+            state.append((row[2], row[3], np.frombuffer(row[4], np.uint64), np.frombuffer(row[5], f"<u{len(row[5]) * 8 // len(row[4])}")))
+
+    def end(state: list) -> None:
+        if not state:
+            return
+        _, which, n = np.unique(np.concatenate([t for _, _, t, _ in state]), return_inverse=True, return_counts=True)
+        n = n[which]
+        at = 0
+        for src, batch, tokens, doc in state:
+            here = n[at : at + len(tokens)]
+            at += len(tokens)
+            some = here > 1
+            if some.any():
+                out.add(0, SHARED, src=src, i=batch, p=tokens[some].tobytes(), q=doc[some].astype("<u4").tobytes(), r=pack_counts(here[some]))
+
+    yield from grouped(batches, 0, lambda to: [], each, end, out)
+
+
+def _chooser(percent: int):
+    """Rows with the tokens of their prefixes that other rows have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == OWN:
+                state["own"] = row
+            else:
+                state["shared"].append((np.frombuffer(row[5], "<u4"), unpack_counts(row[6]), np.frombuffer(row[4], np.uint64)))
+
+        def end(state: dict) -> None:
+            _, _, _, _, ids, sizes, digests, often = state["own"]
+            (own, mark), n = streamed(ids), np.frombuffer(sizes, np.int64)
+            doc, place = np.frombuffer(often, "<u4").reshape(2, -1)
+            # frequent tokens come after all others, by their place
+            parts = [*state["shared"], (doc, place.astype(np.int64) + (1 << 40), place.astype(np.uint64))]
+            doc, rarity, token = (np.concatenate(x) for x in zip(*parts, strict=True))
+            here = np.bincount(doc, minlength=len(n))
+            wanted = np.maximum(prefix(n, percent) - (n - here), 0)
+            use = wanted[doc] > 0
+            doc, rarity, token = doc[use], rarity[use], token[use]
+            order = np.lexsort((token, rarity, doc))
+            doc, token = doc[order], token[order]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            keep = rank < wanted[doc]
+            doc, token = doc[keep], token[keep]
+            ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))]
+            keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(token.view(np.int64)))
+            names = [digests[16 * i : 16 * i + 16] if n[i] else None for i in range(len(n))]
+            for at in range(0, len(n), 4096):
+                out.rows.append(pa.RecordBatch.from_arrays([own[at : at + 4096], mark[at : at + 4096], pa.array(n[at : at + 4096]), pa.array(names[at : at + 4096], pa.binary()), keys[at : at + 4096]], ["__id", "__mark", "n_shingles", "node", "buckets"]))
+
+        yield from grouped(batches, 3, lambda batch: {"shared": []}, each, end, out)
+
+    return run
 
 
 def _reader(width: int):
@@ -132,19 +237,6 @@ def _reader(width: int):
     return read
 
 
-def _opened(sets: list[np.ndarray], union: np.ndarray, num: int) -> list[int]:
-    """Which sets have enough tokens in the union to be similar to anything in it (the token-group bound)."""
-    if not sets:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    at = np.searchsorted(union, every)
-    inside = np.r_[0, np.cumsum(union[np.minimum(at, len(union) - 1)] == every)]
-    ends = np.cumsum(sizes)
-    overlap = inside[ends] - inside[ends - sizes]
-    return np.flatnonzero(100 * overlap >= num * sizes).tolist()
-
-
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Numbers of common tokens of each set of a with each of b."""
     out = np.zeros((len(a), len(b)), dtype=np.float32)
@@ -173,18 +265,26 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int) -> np.ndarray:
     """(n, 2) links between a and b, or within a (b None); indices into each side."""
     other = a if b is None else b
-    mine = _opened(a, np.unique(np.concatenate(other)), num) if b is not None else list(range(len(a)))
-    theirs = _opened(other, np.unique(np.concatenate([a[i] for i in mine])), num) if b is not None and mine else list(range(len(other)))
-    if not mine or not theirs:
+    if not a or not other:
         return np.zeros((0, 2), dtype=np.int64)
-    left, right = [a[i] for i in mine], [other[i] for i in theirs]
-    common = _common(left, right).astype(np.int64)
-    union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - common
-    x, y = np.nonzero(100 * common >= num * union)
-    x, y = np.array(mine)[x], np.array(theirs)[y]
-    if b is None:
-        x, y = x[x < y], y[x < y]
-    return np.stack([x, y], axis=1)
+    size, others = np.array([len(s) for s in a]), np.array([len(s) for s in other])
+    # small groups of similar sets: near in their least tokens and in size
+    order = sorted(range(len(other)), key=lambda i: (int(other[i][0]), len(other[i])))
+    groups = [order[i : i + GROUP_SETS] for i in range(0, len(order), GROUP_SETS)]
+    unions = [np.unique(np.concatenate([other[i] for i in g])) for g in groups]
+    # the matrix of tokens and groups: overlaps of every set with every union
+    overlap = _common(a, unions).astype(np.int64)
+    found = []
+    for g, inside in zip(groups, overlap.T, strict=True):
+        g = np.array(g)
+        opened = np.flatnonzero((100 * inside >= num * size) & (100 * others[g].max() >= num * size) & (100 * size >= num * others[g].min()))
+        if not len(opened):
+            continue
+        common = _common([a[i] for i in opened], [other[i] for i in g]).astype(np.int64)
+        x, y = np.nonzero(100 * common >= num * (size[opened][:, None] + others[g][None, :] - common))
+        found.append(np.stack([opened[x], g[y]], axis=1))
+    out = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+    return out[out[:, 0] < out[:, 1]] if b is None else out
 
 
 def _solver(num: int):
@@ -285,9 +385,18 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    rows = scratch.write("jaccard-rows", own.mapInArrow(_preparer(width, percent), f"__id {kind}, n_shingles long, node binary, buckets array<long>"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("__id").alias("__least"), F.count("*").alias("__weight"), F.first("n_shingles").alias("__n"), F.first("buckets").alias("buckets"))
+    own = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__mark"), F.col(text).alias("__text"))
+    sizes = own.agg(F.sum(F.octet_length("__text")).alias("bytes"), F.count("*").alias("n")).first()
+    buckets = max(1, -(-int(sizes["bytes"] or 0) // BUCKET))
+    share = min(1.0, SAMPLE / max(sizes["n"], 1))
+    some = own.where(F.pmod(F.xxhash64("__id", "__mark", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).select("__text")
+    often = some.mapInArrow(_sampler(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    often = [r["token"] for r in often.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]  # 8 bytes each
+    frequent = np.sort(np.array(often, dtype=np.int64).view(np.uint64))
+    asked = own.mapInArrow(_asker(width, frequent, buckets), ROWS).repartition("to").sortWithinPartitions("to", "kind", "i")
+    told = asked.mapInArrow(_counter, ROWS).repartition("i").sortWithinPartitions("i", "kind", "src")
+    rows = scratch.write("jaccard-rows", told.mapInArrow(_chooser(percent), f"__id {kind}, __mark long, n_shingles long, node binary, buckets array<long>"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("__id", "__mark")).alias("__first"), F.min("__id").alias("__least"), F.count("*").alias("__weight"), F.first("n_shingles").alias("__n"), F.first("buckets").alias("buckets"))
     nodes = scratch.write("jaccard-nodes", nodes)
     spread = nodes.select("node", F.explode("buckets").alias("bucket"))
     # buckets with one set are most of them and go before the join
@@ -302,10 +411,10 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     sizes = scratch.write("jaccard-groups", sizes.select(F.col("__group").alias("__g"), blocks.alias("__blocks")))
     placed = members.join(sizes, F.col("__group") == F.col("__g")).drop("__g")
     # texts of the members only: their ids go to the texts while they are few, else both are shuffled
-    picked = placed.select("node", F.col("__least").alias("__id"))
+    picked = placed.select("node", F.col("__first.__id").alias("__id"), F.col("__first.__mark").alias("__mark"))
     count = members.count()
     picked = F.broadcast(picked) if count <= BROADCAST else picked.hint("shuffle_hash")
-    sets = own.join(picked, own["__id"].eqNullSafe(picked["__id"])).select("node", "__text").mapInArrow(_reader(width), "node binary, tokens binary")
+    sets = own.join(picked, own["__id"].eqNullSafe(picked["__id"]) & (own["__mark"] == picked["__mark"])).select("node", "__text").mapInArrow(_reader(width), "node binary, tokens binary")
     sets = scratch.write("jaccard-sets", sets.dropDuplicates(["node"])) if count else sets
     s = sets.select(F.col("node").alias("__s"), "tokens")
     full = placed.join(s, F.col("node") == F.col("__s"))

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-#: Rows that Spark sends to a Python worker at once; texts may be long.
-BATCH_ROWS = 256
+#: Rows, and bytes, that Spark sends to a Python worker at once; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def small_batches(spark) -> None:
     """Send texts to Python a few at a time, so that a worker's memory does not grow with the batch."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -106,10 +106,37 @@ def test_one_document_of_a_class_stays(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in jaccard.deduplicate(docs(spark, odd)).collect()), key=str) == sorted([(1, "a b c d e f g"), (1, "x y z u v w"), (3, None), (3, None), (None, "q r s t u v")], key=str)
 
 
-def test_banding_misses_next_to_nothing():
+def test_linked_sets_share_a_token_of_their_prefixes():
+    rng = np.random.default_rng(4)
     for percent in (50, 80, 90, 95):
-        rows, n = jaccard.bands(percent)
-        assert (1 - (percent / 100) ** rows) ** n <= jaccard.MISS
+        for _ in range(300):
+            n = int(rng.integers(1, 60))
+            a = rng.choice(1000, n, replace=False)
+            b = np.unique(np.r_[a[rng.random(n) > 0.1], 2000 + np.arange(rng.integers(0, 4))])
+            common = len(np.intersect1d(a, b))
+            if len(b) and 100 * common >= percent * (n + len(b) - common):
+                order = rng.permutation(3000)
+                first = [sorted(x, key=lambda t: order[t])[: int(jaccard.prefix(np.array([len(x)]), percent)[0])] for x in (a.tolist(), b.tolist())]  # noqa: B023
+                assert set(first[0]) & set(first[1])
+
+
+def test_no_link_is_lost_among_frequent_passages(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 100)
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
+    monkeypatch.setattr(jaccard, "BUCKET", 4000)
+    rng = random.Random(8)
+    passages = [prose(rng, 40, [f"p{i}" for i in range(300)]) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.sample(passages, 3) + [prose(rng, rng.choice([1, 4, 12, 40]), [f"o{i}x{k}" for k in range(50)])])
+        for k in range(rng.choice([1, 1, 2, 4])):
+            w = text.split()
+            for _ in range(rng.randrange(0, 5)):
+                w[rng.randrange(len(w))] = f"c{k}y{rng.randrange(100)}"
+            rows.append((10 * i + k, " ".join(w), "en", "s"))
+    for percent in (90, 80):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(docs(spark, rows), percent=percent).collect()}
+        assert got == brute_links(rows, 3, percent)
 
 
 def test_language(spark):

@@ -10,8 +10,9 @@ for all pieces of a length at once:
 3. the actual lengths replace the rounded sizes in their slots, the longest in the configurations with the most;
 4. the small lengths, longest first, go where they leave the least room, then into new sequences.
 
-The scheme is tried for a few numbers of groups (one of them keeps every length a group) and the one with the fewest
-sequences is kept. The plan is a list of runs: so many sequences with the same lengths. Its size depends on the sequence
+The scheme is tried with a few limits and numbers of groups (SCHEMES) and the one with the fewest sequences is kept. With
+half a sequence as the limit no two large pieces meet, and the scheme does what best fit decreasing does, so it never needs
+more sequences than that. The plan is a list of runs: so many sequences with the same lengths. Its size depends on the sequence
 length only. Each piece then finds its run by its rank among the pieces of its length; ranks come from counts by (length,
 bucket of the key), so no task gets all pieces of a length.
 
@@ -39,10 +40,8 @@ from harvestry.llm.texts import as_bytes, pieces, small_batches
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Numbers of groups of the large lengths that are tried; the last is a group a length.
-GROUPS = (24, 64)
-#: Lengths above this share of a sequence are large.
-LARGE = 1 / 8
+#: What is tried: lengths above this share of a sequence are large, and form this many groups.
+SCHEMES = ((1 / 8, 24), (1 / 8, 96), (1 / 4, 96), (1 / 2, 24))
 #: Bits of the table of late words, words whose ids a worker keeps, and bytes of text that it takes at once.
 PLACES, KEPT, LONG = 20, 2_500_000, 2 << 20
 #: White space to the tokenizer (fixed values: the characters with the Unicode property White_Space).
@@ -51,6 +50,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 RANK_BUCKETS = 1024
 
 assert sys.byteorder == "little"
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _HELD: dict = {}
 
 
@@ -88,7 +88,10 @@ class WordIds:
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes, words
         self.n, self.start = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.pool = np.zeros(1 << 18, dtype="<u4")
-        self.words = self.used = 0
+        self.size, self.begin = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)  # of the words' own bytes
+        self.bytes = np.zeros(1 << 18, dtype=np.uint8)
+        self.words = self.used = self.spelt = 0
+        self.exact: dict[bytes, int] = {}
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         while len(self.powers) < len(data) + 1:
@@ -128,6 +131,38 @@ class WordIds:
                     last = stop + 1
         return out
 
+    def _learned(self, new: list[bytes]) -> np.ndarray:
+        """Numbers of new words, which are encoded and kept."""
+        found = self._encode(new)
+        n, ids = np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), dtype="<u4")
+        size, own = np.array([len(x) for x in new]), np.frombuffer(b"".join(new), dtype=np.uint8)
+        for name, least in (("n", self.words + len(new)), ("start", self.words + len(new)), ("size", self.words + len(new)), ("begin", self.words + len(new)), ("pool", self.used + len(ids)), ("bytes", self.spelt + len(own) + 8)):
+            x = getattr(self, name)
+            if least > len(x):
+                setattr(self, name, np.concatenate([x, np.zeros(max(least - len(x), len(x)), dtype=x.dtype)]))
+        mine = slice(self.words, self.words + len(new))
+        self.n[mine], self.start[mine] = n, self.used + np.r_[0, np.cumsum(n)[:-1]]
+        self.size[mine], self.begin[mine] = size, self.spelt + np.r_[0, np.cumsum(size)[:-1]]
+        self.pool[self.used : self.used + len(ids)], self.bytes[self.spelt : self.spelt + len(own)] = ids, own
+        self.words, self.used, self.spelt = self.words + len(new), self.used + len(ids), self.spelt + len(own)
+        return np.arange(mine.start, mine.stop)
+
+    def _differ(self, text: bytes, starts: np.ndarray, ends: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where the bytes of the text are not those of the word, compared eight at a time."""
+        held = text + bytes(8)
+        here, there = (np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (held, self.bytes))
+        size, begin = ends - starts, self.begin[word]
+        mask = _MASKS[np.minimum(size, 8)]
+        bad = (self.size[word] != size) | (((here[starts] ^ there[begin]) & mask) != 0)
+        long = np.flatnonzero((size > 8) & ~bad)
+        at = 8
+        while len(long):
+            off = np.minimum(at, size[long] - 8)
+            bad[long[here[starts[long] + off] != there[begin[long] + off]]] = True
+            at += 8
+            long = long[size[long] > at]
+        return np.flatnonzero(bad)
+
     def _find(self, h: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The words of hashes, learned if they are new; h has each hash once."""
         out = np.full(len(h), -1, dtype=np.int64)
@@ -138,17 +173,7 @@ class WordIds:
         new = np.flatnonzero(out < 0)
         if not len(new):
             return out
-        found = self._encode([text[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-        n, ids = np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), dtype="<u4")
-        while self.words + len(new) > len(self.n):
-            self.n, self.start = np.concatenate([self.n, self.n * 0]), np.concatenate([self.start, self.start * 0])
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, self.pool * 0])
-        mine = slice(self.words, self.words + len(new))
-        self.n[mine], self.start[mine] = n, self.used + np.r_[0, np.cumsum(n)[:-1]]
-        self.pool[self.used : self.used + len(ids)] = ids
-        out[new] = np.arange(self.words, self.words + len(new))
-        self.words, self.used = self.words + len(new), self.used + len(ids)
+        out[new] = self._learned([text[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         self.runs.append((h[new], out[new].astype(np.int32)))
         if len(self.runs) > 10:  # the smaller ones become one
             self.runs.sort(key=lambda r: -len(r[0]))
@@ -178,6 +203,11 @@ class WordIds:
             found = self._find(once, text, starts[miss[first]], ends[miss[first]])
             word[miss] = found[which]
             self.place_hash[place[miss]], self.place_word[place[miss]] = h[miss], word[miss]
+        for i in self._differ(text, starts, ends, word).tolist():
+            own = text[starts[i] : ends[i]]
+            if own not in self.exact:
+                self.exact[own] = int(self._learned([own])[0])
+            word[i] = self.exact[own]
         n = self.n[word]
         upto = np.r_[0, np.cumsum(n)]
         ids = self.pool[np.repeat(self.start[word] - upto[:-1], n) + np.arange(upto[-1])]
@@ -257,18 +287,18 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
     return float(value), has
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations and whole numbers of sequences that meet at most the demand: the LP's optimum rounded down.
 
-    A revised simplex method on columns that a knapsack finds; bounded by rounds, any basis on the way is a valid packing.
+    A revised simplex method on columns that a knapsack finds; it is stopped after 12 pivots a size, for any basis on the way
+    is a valid packing.
     """
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    inverse, x = np.linalg.inv(basis), None
-    for _ in range(rounds):
+    inverse = np.linalg.inv(basis)
+    for pivot in range(12 * k):
         x = inverse @ demand
-        worth = np.ones(k) @ inverse
-        value, column = _knapsack(sizes, worth, capacity)
+        value, column = _knapsack(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
         step = inverse @ column
@@ -277,7 +307,12 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             break
         out = int(np.flatnonzero(up)[np.argmin(x[up] / step[up])])
         basis[:, out] = column
-        inverse = np.linalg.inv(basis)
+        if pivot % 64 == 63:
+            inverse = np.linalg.inv(basis)
+        else:
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
     x = inverse @ demand
     left, chosen = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x):
@@ -362,40 +397,36 @@ def _substitute(chosen: list[tuple[np.ndarray, int]], groups: list[list[tuple[in
     return runs, rest
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, large: float = LARGE) -> list[Run]:
-    """Runs that hold every piece of the histogram, by the scheme above."""
-    histogram = {int(k): int(v) for k, v in histogram.items() if v}
+def scheme(histogram: dict[int, int], capacity: int, large: float, groups: int) -> list[Run]:
+    """Runs that hold every piece of the histogram, with this limit of large lengths and this number of groups."""
     big = sorted((k for k in histogram if k > large * capacity), reverse=True)
     small = {k: v for k, v in histogram.items() if k <= large * capacity}
-    best: list[Run] | None = None
-    total = sum(histogram[k] for k in big)
-    for want in dict.fromkeys(min(g, len(big)) for g in groups):
-        found: list[list[tuple[int, int]]] = []
-        if big:
-            each, room = -(-total // want), 0
-            for k in big:
-                left = histogram[k]
-                while left:
-                    if not room:
-                        found.append([])
-                        room = each
-                    take = min(room, left)
-                    found[-1].append((k, take))
-                    room -= take
-                    left -= take
-        # groups of one rounded size are one size
-        merged: dict[int, list[tuple[int, int]]] = {}
-        for g in found:
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = np.array(list(merged), dtype=np.int64)
-        members = list(merged.values())
-        chosen = configurations(sizes, np.array([sum(c for _, c in m) for m in members], dtype=float), capacity) if len(sizes) else []
-        runs, rest = _substitute(chosen, members, capacity)
-        runs = best_fit(runs, {**rest, **small}, capacity)
-        if best is None or sum(r.n for r in runs) < sum(r.n for r in best):
-            best = runs
-    plain = best_fit([], histogram, capacity)
-    return plain if best is None or sum(r.n for r in plain) < sum(r.n for r in best) else best
+    found: list[list[tuple[int, int]]] = []
+    each, room = -(-sum(histogram[k] for k in big) // groups), 0
+    for k in big:
+        left = histogram[k]
+        while left:
+            if not room:
+                found.append([])
+                room = each
+            take = min(room, left)
+            found[-1].append((k, take))
+            room -= take
+            left -= take
+    # groups of one rounded size are one size
+    merged: dict[int, list[tuple[int, int]]] = {}
+    for g in found:
+        merged.setdefault(g[0][0], []).extend(g)
+    sizes, members = np.array(list(merged), dtype=np.int64), list(merged.values())
+    chosen = configurations(sizes, np.array([sum(c for _, c in m) for m in members], dtype=float), capacity) if len(sizes) else []
+    runs, rest = _substitute(chosen, members, capacity)
+    return best_fit(runs, {**rest, **small}, capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, schemes: tuple[tuple[float, int], ...] = SCHEMES) -> list[Run]:
+    """Runs that hold every piece of the histogram, by the best of the schemes."""
+    histogram = {int(k): int(v) for k, v in histogram.items() if v}
+    return min((scheme(histogram, capacity, *x) for x in schemes), key=lambda runs: sum(r.n for r in runs))
 
 
 def slots(runs: list[Run]) -> tuple[np.ndarray, ...]:

@@ -39,15 +39,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm.blobs import ROWS, Out, grouped, mixed, pack, pack_counts, placed, split, unpack, unpack_counts
+from harvestry.llm.blobs import ROWS, Batches, Out, grouped, mixed, pack, pack_counts, placed, split, stream, streamed, unpack, unpack_counts
 from harvestry.llm.seating import draw
 from harvestry.llm.store import Scratch
 from harvestry.llm.texts import as_bytes, pieces, small_batches, words
 
 #: Bytes of text a bucket, parts that documents are scored in.
-BUCKET, ROUNDS = 16 << 20, 2
+BUCKET, ROUNDS = 10 << 20, 2
 #: Tokens about that a batch of documents sends to a bucket, and the least and most tokens of a batch.
-ROW, BATCH = 1 << 14, (1 << 17, 1 << 21)
+ROW, BATCH = 1 << 13, (1 << 17, 1 << 19)
 #: Words at most that have a short code, rows about of the sample that they are found in, and the longest such word.
 CODES, SAMPLE, LONGEST = 1 << 16, 4000, 64
 #: Pairs at most whose scores are broadcast, and the count from which on a histogram does not tell counts apart.
@@ -55,7 +55,7 @@ HOT, CAP = 400_000, 100_000
 #: Bits of the table in which hot pairs are looked up.
 HOT_PLACES = 21
 #: Words whose keys a worker remembers, tokens that it counts before it hands the counts on.
-REMEMBER, FLUSH = 250_000, 2_000_000
+REMEMBER, FLUSH = 200_000, 1_000_000
 #: Strength of the contexts' restaurants and of the root.
 STRENGTH, ROOT = 5.0, 50.0
 BURN, SWEEPS = 2, 3
@@ -337,6 +337,8 @@ def _word_told(roots: list[Root]):
             for to, asked in state["dish"]:
                 at = np.searchsorted(w, asked)
                 out.add(to, TOLD, src=state["to"], p=p[at].astype("<f8").tobytes(), q=pack_counts(c[at]))
+            coded = (w >= 0) & (w < CODES)
+            out.add(0, CODE, p=pack(w[coded]), q=p[coded].astype("<f8").tobytes())
 
         yield from grouped(batches, 0, lambda to: {"to": to, "dish": [], "p": []}, each, end, out)
 
@@ -451,10 +453,7 @@ def _asker(codes: dict[bytes, int], counts: np.ndarray, places: Places, hot: tup
                     out.add(src >> 1, HELD, src=src, i=batch, p=pack(u[own]), q=pack(w[own]))
                 else:
                     out.add(src >> 1, TRAIN, src=src, i=batch, p=pack(key[own], 4))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as stream:
-                stream.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays(ids)], ["id"]))
-            out.add(batch % places.buckets, OWN, i=batch, p=sink.getvalue().to_pybytes(), q=np.stack([*sums, tokens, held]).astype("<f8").tobytes(), r=doc[rest].astype("<u2" if m < 1 << 16 else "<u4").tobytes(), s=np.packbits(coded[rest]).tobytes())
+            out.add(batch % places.buckets, OWN, i=batch, p=stream(pa.concat_arrays(ids)), q=np.stack([*sums, tokens, held]).astype("<f8").tobytes(), r=doc[rest].astype("<u2" if m < 1 << 16 else "<u4").tobytes(), s=np.packbits(coded[rest]).tobytes())
             yield from out.ready()
             batch += 1
         yield from out.ready(last=True)
@@ -462,8 +461,8 @@ def _asker(codes: dict[bytes, int], counts: np.ndarray, places: Places, hot: tup
     return run
 
 
-def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]]):
-    """The scores of the pairs that a bucket is asked for; what it does not know goes to the words' buckets."""
+def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]], by_code: np.ndarray):
+    """The scores of the pairs that a bucket is asked for; of new pairs what the context leaves to the root, and words without a code."""
     left_of = {k: np.log10((STRENGTH + d * t) / (STRENGTH + n)) for k, (n, t) in hot.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,7 +479,7 @@ def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]]):
                 state["model"] = Told(state, places, d, hot) if "pairs" in state else None
                 for k in ("pairs", "tables", "told"):
                     state.pop(k, None)
-            model = state["model"]
+            model, later = state["model"], {}
             if kind == TRAIN:
                 at, _ = model.find(unpack(row[4], 4))
                 score, count = model.log10[at], model.count[at][~model.coded[at]]
@@ -496,13 +495,11 @@ def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]]):
                     score[some] = np.log10(model.left[place[some]])
                 few = np.flatnonzero(~known & places.hot(u))
                 score[few] = [left_of.get(x, 0.0) for x in u[few].tolist()]
-                new = np.flatnonzero(~known)
-                order, parts = split(placed(w[new], places.buckets))
-                for wb, lo, hi in parts:
-                    own = new[order[lo:hi]]
-                    out.add(wb, WANT, src=src, i=batch, p=own.astype("<u4").tobytes(), q=pack(w[own]))
-                count = count[~coded]
-            out.add(to, SCORE, src=src, i=batch, p=score.astype("<f4").tobytes(), q=pack_counts(count))
+                new = np.flatnonzero(~known & coded)
+                score[new] += by_code[w[new]]
+                count, new = count[~coded], np.flatnonzero(~known & ~coded)
+                later = {"r": new.astype("<u4").tobytes(), "s": pack(w[new])}
+            out.add(to, SCORE, src=src, i=batch, p=score.astype("<f4").tobytes(), q=pack_counts(count), **later)
 
         yield from grouped(batches, 0, lambda to: {"to": to, "told": []}, each, lambda state: None, out)
 
@@ -510,7 +507,7 @@ def _pair_scorer(places: Places, d: float, hot: dict[int, tuple[float, float]]):
 
 
 def _word_scorer(unknown: float):
-    """The root's share of the score of pairs that training does not have."""
+    """The root's share of the score of new pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out()
@@ -532,53 +529,68 @@ def _word_scorer(unknown: float):
     return run
 
 
-class _Results(Out):
-    """Finished batches of documents."""
-
-    def ready(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        yield from self.rows
-        self.rows = []
-
-
-def _summer(n: int, v: int):
-    """The documents of a batch with the sums over their tokens."""
+def _summer(n: int, v: int, buckets: int):
+    """Sums over the tokens of a batch's documents, and words to ask the words' buckets for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Results()
+        out = Out()
 
         def each(state: dict, row: tuple) -> None:
             if row[1] == OWN:
-                state["ids"] = pa.ipc.open_stream(row[4]).read_all().column(0).combine_chunks()
-                state["sums"] = np.frombuffer(row[5], "<f8").reshape(5, -1)
+                state["batch"], state["ids"], state["sums"] = row[3], row[4], np.frombuffer(row[5], "<f8").reshape(5, -1)
                 m = state["sums"].shape[1]
                 state["doc"] = np.frombuffer(row[6], "<u2" if m < 1 << 16 else "<u4").astype(np.int64)
                 state["coded"] = np.unpackbits(np.frombuffer(row[7], np.uint8), count=len(state["doc"])).astype(bool)
-            elif row[1] == SCORE:
-                x = np.frombuffer(row[4], "<f4").astype(np.float64)
-                state["at"][row[2]] = state["many"]
-                state["many"] += len(x)
-                state["score"].append(x), state["count"].append(unpack_counts(row[5]))
-            else:
-                state["rest"].append((state["at"][row[2]] + np.frombuffer(row[4], "<u4").astype(np.int64), np.frombuffer(row[5], "<f4"), unpack_counts(row[6])))
+                return
+            x = np.frombuffer(row[4], "<f4")
+            if row[6]:
+                state["later"].append((state["many"] + np.frombuffer(row[6], "<u4").astype(np.int64), unpack(row[7])))
+            state["many"] += len(x)
+            state["score"].append(x), state["count"].append(unpack_counts(row[5]))
 
         def end(state: dict) -> None:
             doc, coded = state["doc"], state["coded"]
             base, score, known, tokens, held = (x.copy() for x in state["sums"])
-            s, c = np.zeros(len(doc)), np.zeros(len(doc), dtype=np.int64)
+            m, c, here = len(base), np.zeros(len(doc), dtype=np.int64), ~coded
             if state["score"]:
-                s[:], c[~coded] = np.concatenate(state["score"]), np.concatenate(state["count"])
-            for at, x, count in state["rest"]:
-                s[at] += x
-                c[at] = count
-            m = len(base)
-            score += np.bincount(doc, s, m)
-            base += np.bincount(doc, np.where(coded, 0.0, _base(c, n, v)), m)
-            known += np.bincount(doc, ~coded & (c > 0), m)
+                c[~coded] = np.concatenate(state["count"])
+                score += np.bincount(doc, np.concatenate(state["score"]).astype(np.float64), m)
+            if state["later"]:
+                at, w = (np.concatenate(x) for x in zip(*state["later"], strict=True))
+                here[at] = False
+                order, parts = split(placed(w, buckets))
+                asked, w = doc[at[order]].astype("<u4"), w[order]
+                for wb, lo, hi in parts:
+                    out.add(wb, WANT, src=wb, i=state["batch"], p=asked[lo:hi].tobytes(), q=pack(w[lo:hi]))
+            base += np.bincount(doc[here], _base(c[here], n, v), m)
+            known += np.bincount(doc[here], c[here] > 0, m)
+            out.add(0, OWN, i=state["batch"], p=state["ids"], q=np.stack([base, score, known, tokens, held]).astype("<f8").tobytes())
+
+        yield from grouped(batches, 3, lambda batch: {"score": [], "count": [], "later": [], "many": 0}, each, end, out)
+
+    return run
+
+
+def _finisher(n: int, v: int):
+    """The documents of a batch, with what the words' buckets add to their sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches()
+
+        def each(state: dict, row: tuple) -> None:
+            if row[1] == OWN:
+                state["ids"], state["sums"] = streamed(row[4])[0], np.frombuffer(row[5], "<f8").reshape(5, -1).copy()
+                return
+            doc, c, sums = np.frombuffer(row[4], "<u4"), unpack_counts(row[6]), state["sums"]
+            for k, x in ((0, _base(c, n, v)), (1, np.frombuffer(row[5], "<f4")), (2, c > 0)):
+                sums[k] += np.bincount(doc, x, sums.shape[1])
+
+        def end(state: dict) -> None:
+            base, score, known, tokens, held = state["sums"]
             whole = lambda x: pa.array(x.astype(np.int64))
-            out.rows.append(pa.RecordBatch.from_arrays([state["ids"], pa.array(held > 0), whole(tokens), whole(known), pa.array(np.full(m, n, dtype=np.int64)), pa.array(base), pa.array(score)], ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            out.rows.append(pa.RecordBatch.from_arrays([state["ids"], pa.array(held > 0), whole(tokens), whole(known), pa.array(np.full(len(base), n, dtype=np.int64)), pa.array(base), pa.array(score)], ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
 
-        begin = lambda batch: {"score": [], "count": [], "rest": [], "at": {}, "many": 0}
-        yield from grouped(batches, 3, begin, each, end, out)
+        yield from grouped(batches, 3, lambda batch: {}, each, end, out)
 
     return run
 
@@ -676,18 +688,25 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     hot = [np.concatenate([f(r[k]) for r in parts] or [np.zeros(0)]) for k, f in (("p", lambda x: unpack(x, 4)), ("q", lambda x: np.frombuffer(x, "<f8")), ("r", unpack_counts))]
     order = np.argsort(hot[0])
     hot = (hot[0][order].astype(np.int64), hot[1][order].astype(np.float32), hot[2][order].astype(np.int64))
+    by_code = np.full(CODES, np.log10(unknown))
+    for r in told.where(F.col("kind") == CODE).select("p", "q").collect():  # CODES words at most
+        by_code[unpack(r["p"])] = np.log10(np.frombuffer(r["q"], "<f8"))
     asker = _asker(codes, counts, places, hot, n_all, v_all)
     asked = own.withColumn("__trained", F.coalesce(remainder(F.col("__id")) != 1, F.lit(False)))
     results = []
     for part in range(ROUNDS):
         mine = asked.where(F.pmod(F.xxhash64("__id", F.octet_length("__text")), F.lit(ROUNDS)) == part)
         rows = model.unionByName(mine.mapInArrow(asker, ROWS))
-        scores = scratch.write("lm-scores", _dealt(rows, PAIRS, TABLES, TOLD, TRAIN, HELD, OWN).mapInArrow(_pair_scorer(places, d, hot_contexts), ROWS))
-        wanted = told.where(F.col("kind") == KNOWN).unionByName(scores.where(F.col("kind") == WANT))
-        rest = _dealt(wanted, KNOWN, WANT).mapInArrow(_word_scorer(unknown), ROWS)
-        batches = scores.where(F.col("kind").isin(OWN, SCORE)).unionByName(rest).repartition("i").sortWithinPartitions("i", "kind", "src")
-        results.append(scratch.write("lm-results", batches.mapInArrow(_summer(n_all, v_all), f"__id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")))
+        scores = _dealt(rows, PAIRS, TABLES, TOLD, TRAIN, HELD, OWN).mapInArrow(_pair_scorer(places, d, hot_contexts, by_code), ROWS)
+        scores = scratch.write("lm-scores", scores)
+        batches = lambda df: df.repartition("i").sortWithinPartitions("i", "kind", "src")
+        sums = scratch.write("lm-sums", batches(scores).mapInArrow(_summer(n_all, v_all, buckets), ROWS))
         scratch.drop(scores)
+        wanted = told.where(F.col("kind") == KNOWN).unionByName(sums.where(F.col("kind") == WANT))
+        rest = _dealt(wanted, KNOWN, WANT).mapInArrow(_word_scorer(unknown), ROWS)
+        done = batches(sums.where(F.col("kind") == OWN).unionByName(rest)).mapInArrow(_finisher(n_all, v_all), f"__id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        results.append(scratch.write("lm-results", done))
+        scratch.drop(sums)
     scratch.drop(pairs, seats, told)
     out = results[0]
     for r in results[1:]:

@@ -17,21 +17,28 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CLOSES = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 UNSAFE = frozenset("script style iframe object embed form input button select textarea base link".split())
+# Attributes that hold a URL, the schemes that a preview keeps, and what browsers leave out of a scheme.
+URL_ATTRIBUTES = frozenset("action background cite data formaction href longdesc ping poster src srcset usemap xlink:href".split())
+SAFE_SCHEMES = frozenset("http https mailto tel ftp".split())
+NOT_IN_SCHEMES = re.compile(r"[\x00-\x20\x7f-\x9f\u200b-\u200f\ufeff]+")
+SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
 STEP = re.compile(r"\s*(>?)\s*([A-Za-z][\w-]*|\*)?((?:[#.][\w-]+|\[[^\]]+\]|:nth-child\(\d+\))*)")
 SIMPLE = re.compile(r"([#.])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]|:nth-child\((\d+)\)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "place")
+    __slots__ = ("tag", "attrs", "parent", "children", "place", "count")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.place = tag, attrs, parent, [], 0
+        self.tag, self.attrs, self.parent, self.children, self.place, self.count = tag, attrs, parent, [], 0, 0
 
     def elements(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.elements()
+        """All elements below, in document order; trees may be deeper than Python's stack."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            x = todo.pop()
+            yield x
+            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
 
     def text(self) -> str:
         out, todo = [], [self]
@@ -44,11 +51,20 @@ class Node:
         return " ".join("".join(out).split())
 
     def html(self, outer: bool = True) -> str:
-        inner = "".join(escape(c, quote=False) if isinstance(c, str) else c.html() for c in self.children)
-        if not outer or not self.tag:
-            return inner
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out: list[str] = []
+        todo: list = [self] if outer and self.tag else list(reversed(self.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):  # an end tag
+                out.append(x[0])
+            elif isinstance(x, str):
+                out.append(escape(x, quote=False))
+            else:
+                out.append("<" + x.tag + "".join(f' {k}="{escape(v or "")}"' for k, v in x.attrs.items()) + ">")
+                if x.tag not in VOID:
+                    todo.append((f"</{x.tag}>",))
+                    todo += reversed(x.children)
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -72,7 +88,8 @@ class _Builder(HTMLParser):
         if tag in CLOSES:
             self._close(CLOSES[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
-        node.place = sum(isinstance(c, Node) for c in self.now.children) + 1
+        self.now.count += 1
+        node.place = self.now.count
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
@@ -155,22 +172,23 @@ def value(node: Node | None, source: str, base: str = "") -> str | None:
     return urljoin(base, got) if kind == "url" and got is not None else got
 
 
+def _runs(name: str, value: str) -> bool:
+    """Whether an attribute's value may run code: white space and control characters do not count in a scheme, and few schemes are safe."""
+    scheme = SCHEME.match(NOT_IN_SCHEMES.sub("", value))
+    return scheme is not None and (name in URL_ATTRIBUTES or scheme[1].lower() in ("javascript", "vbscript", "data")) and scheme[1].lower() not in SAFE_SCHEMES
+
+
 def sanitized(text: str) -> str:
     """HTML for a preview: no scripts, embeds, forms, handlers, refreshes or URLs that run."""
-
-    def clean(node: Node) -> None:
-        kept = []
+    root = parse(text)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.children = [c for c in node.children if not (isinstance(c, Node) and (c.tag in UNSAFE or c.tag == "meta" and "http-equiv" in c.attrs))]
         for c in node.children:
             if isinstance(c, Node):
-                if c.tag in UNSAFE or c.tag == "meta" and "http-equiv" in c.attrs:
-                    continue
-                c.attrs = {k: v for k, v in c.attrs.items() if not k.startswith("on") and not re.match(r"\s*(javascript|data|vbscript):", v or "", re.I)}
-                clean(c)
-            kept.append(c)
-        node.children = kept
-
-    root = parse(text)
-    clean(root)
+                c.attrs = {k: v for k, v in c.attrs.items() if not k.startswith("on") and k not in ("srcdoc", "style") and not _runs(k, v or "")}
+                todo.append(c)
     return root.html()
 
 
@@ -186,16 +204,20 @@ def node_ids(text: str) -> list[tuple[str, str, str]]:
 
 
 def fingerprint(text: str) -> list[str]:
-    """The distinct tag paths of a page, in order."""
-    out = set()
-
-    def walk(node: Node, path: str) -> None:
-        for c in node.children:
-            if isinstance(c, Node):
-                out.add(f"{path}/{c.tag}")
-                walk(c, f"{path}/{c.tag}")
-
-    walk(parse(text), "")
+    """The distinct tag paths of a page, in order; of a very long path the beginning is a digest, so names stay short."""
+    # a path's name follows from its parent's name, so that paths as deep as the page are made once each
+    out, todo = set(), [(parse(text), "")]
+    while todo:
+        node, path = todo.pop()
+        if len(path) > 4000:
+            path = f"#{sha256(path.encode()).hexdigest()[:32]}"
+        below: dict[str, list[Node]] = {}
+        for x in node if isinstance(node, list) else [node]:
+            for c in x.children:
+                if isinstance(c, Node):
+                    below.setdefault(f"{path}/{c.tag}", []).append(c)
+        out.update(below)
+        todo += [(nodes, name) for name, nodes in below.items()]
     return sorted(out)
 
 

@@ -129,20 +129,20 @@ def budget(d: DataFrame) -> DataFrame:
     The total is taken in two steps. Running numbers within a bucket of sources, on top of the buckets' sums before, rank the
     links of a transition without gathering them all in one task.
     """
-    open_ = F.col("__status").isNull()
-    per_page = Window.partitionBy("source_url", F.col("transition.id"), open_).orderBy("position", "original_url")
-    d = d.withColumn("__page", F.when(open_, F.row_number().over(per_page)))
-    fits = open_ & (F.col("__page") <= F.col("transition.links"))
+    # links that another stage has stopped take no part, nor do links beyond their page's share rank with the others
+    per_page = Window.partitionBy("source_url", F.col("transition.id")).orderBy("position", "original_url")
+    d_open = d.where(F.col("__status").isNull()).withColumn("__fits", F.row_number().over(per_page) <= F.col("transition.links"))
     # buckets in the order of sources, by a hash prefix, so that ranks depend on the rows alone
-    d = d.withColumns({"__fits": fits, "__bucket": F.when(fits, F.substring(F.md5("source_url"), 1, 2))})
-    counts = d.where("__fits").groupBy(F.col("transition.id").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
+    d_open = d_open.withColumn("__bucket", F.substring(F.md5("source_url"), 1, 3))
+    counts = d_open.where("__fits").groupBy(F.col("transition.id").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("__t", "__b", before.alias("__base"))
-    within = Window.partitionBy(F.col("transition.id"), "__bucket").orderBy("source_url", "position", "original_url")
-    d = d.withColumn("__rank", F.when(F.col("__fits"), F.row_number().over(within)))
-    d = d.join(bases, (F.col("transition.id") == F.col("__t")) & (F.col("__bucket") == F.col("__b")), "left")
+    within = Window.partitionBy(F.col("transition.id"), "__fits", "__bucket").orderBy("source_url", "position", "original_url")
+    d_open = d_open.withColumn("__rank", F.row_number().over(within))
+    d_open = d_open.join(bases, (F.col("transition.id") == F.col("__t")) & (F.col("__bucket") == F.col("__b")), "left")
     ok = F.col("__fits") & (F.col("__rank") + F.coalesce("__base", F.lit(0)) <= F.col("transition.budget"))
-    return d.withColumn("status", F.coalesce("__status", F.when(ok, ENQUEUED).otherwise(BUDGET)))
+    told = d_open.withColumn("status", F.when(ok, ENQUEUED).otherwise(BUDGET)).select(*d.columns, "status")
+    return told.unionByName(d.where(F.col("__status").isNotNull()).withColumn("status", F.col("__status")))
 
 
 def frontier(seeds: DataFrame, edges: DataFrame, max_depth: int, max_pages: int, save=None) -> DataFrame:

@@ -81,12 +81,11 @@ def pointers(log: DataFrame) -> DataFrame:
     """
     at = F.struct("occurred_at", "id")
     live = F.col("event_type").isin(PUBLISHED, REACTIVATED)
-    out = log.groupBy("crawler_id").agg(
-        F.max_by(F.when(live, F.col("version_id")), F.when(live, at)).alias("published"), F.max_by(F.when(~live, F.col("version_id")), F.when(~live, at)).alias("draft"), F.max(F.when(~live, at)).alias("at"),
-        F.collect_set(F.when(live, F.struct("version_id", at.alias("at")))).alias("lived"),
-    )
-    over = F.exists("lived", lambda x: (x.version_id == F.col("draft")) & (x.at > F.col("at")))
-    return out.select("crawler_id", F.when(~over, F.col("draft")).alias("active_draft_version_id"), F.col("published").alias("active_published_version_id"))
+    # first by version, so that no row holds a crawler's whole history
+    each = log.groupBy("crawler_id", "version_id").agg(F.max(F.when(live, at)).alias("live"), F.max(F.when(~live, at)).alias("drafted"))
+    draft = F.struct("version_id", (F.col("live") > F.col("drafted")).alias("over"))
+    out = each.groupBy("crawler_id").agg(F.max_by("version_id", "live").alias("published"), F.max_by(draft, "drafted").alias("draft"))
+    return out.select("crawler_id", F.when(~F.coalesce("draft.over", F.lit(False)), F.col("draft.version_id")).alias("active_draft_version_id"), F.col("published").alias("active_published_version_id"))
 
 
 def publish(crawlers: DataFrame, version: Column | str) -> DataFrame:

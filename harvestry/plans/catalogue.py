@@ -5,6 +5,7 @@ Rules, scopes and budgets for the synthetic tables are here; the operators know
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from harvestry.functions.matching import Matcher, PageType, classify
 from harvestry.operators import curation, discovery, extraction, provenance, runs, settings, snapshots, versioning
 from harvestry.operators.curation import Field
 from harvestry.session import ship, table
-from harvestry.sources import artifacts, staging, tables
+from harvestry.sources import artifacts, exports, staging, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -165,10 +166,13 @@ def links_resolved(spark, sf_dir):
     return d.select("page_id", "position", urls.resolve(F.col("raw_href"), F.col("source_url")).alias("target_url"))
 
 
-@query(f"with {LINKS} select page_id, position::int as position, raw_href from (select *, row_number() over (partition by source_url order by position) as rn from links) where rn <= 3")
+@query(f"""with {LINKS}, pages_ as (select *, row_number() over (partition by source_url order by position, raw_href) as rn from links), ranked as (select *, row_number() over (partition by rn <= 3 order by substr(md5(source_url), 1, 3), source_url, position, raw_href) as place from pages_)
+  select page_id, position::int as position, raw_href, case when rn <= 3 and place <= 500 then 'ENQUEUED' else 'BUDGET_EXCLUDED' end as status from ranked""")
 def links_budgeted(spark, sf_dir):
-    w = Window.partitionBy("source_url").orderBy("position")
-    return _links(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("page_id", "position", "raw_href")
+    """Links of one transition, three a page and 500 in all."""
+    one = F.struct(F.lit("t").alias("id"), F.lit(3).cast("long").alias("links"), F.lit(500).cast("long").alias("budget"))
+    d = _links(spark, sf_dir).withColumns({"original_url": F.col("raw_href"), "transition": one, "__status": F.lit(None).cast("string")})
+    return discovery.budget(d).select("page_id", "position", "raw_href", "status")
 
 
 SITE = [PageType("page", "Page", 0, (Matcher("Regex", "^https?://[^/]+/[a-z][a-z]/[0-9]+"),)), PageType("term", "Term", 0, (Matcher("Regex", "^https?://[^/]+/[A-Za-z]+$"),))]
@@ -724,21 +728,24 @@ def publish_gate(spark, sf_dir):
     return runs.publish_gate(facts).select("entity_id", "severity")
 
 
-@query(None)
+@query("select user_id::varchar as stream_id, row_number() over (partition by user_id order by ts, event_id::varchar) as seq, event_id::varchar as event_id, event_type as kind from events")
 def progress_stream_dedupe(spark, sf_dir):
-    """A file stream of events, each once and numbered within its user, appended to a log and read back."""
-    import uuid
-
+    """A file stream in which every event comes twice, each taken once and numbered within its user, appended to a log and read back."""
     from harvestry.streaming import progress
 
-    base = f"{staging.folder(spark)}/progress-{uuid.uuid4().hex}"
+    base = _folder(spark, "progress")
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("payload"))
-    e.repartition(4, "stream_id").write.parquet(f"{base}/in")
-    stream = progress.read(spark, f"{base}/in", progress.EVENT, 1)
+    for _ in range(2):
+        e.repartition(2, "stream_id").write.mode("append").parquet(f"{base}/in")
+    stream = progress.once(progress.read(spark, f"{base}/in", progress.EVENT, 1), delay="4000 days")
     progress.log(progress.numbered(stream), f"{base}/log", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/log").select("stream_id", "seq", "event_id", "kind")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{staging.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- more of the model
 
 
@@ -802,10 +809,10 @@ def run_compatibility(spark, sf_dir):
     return d.select("o_orderkey", (F.size(snapshots.violations("run")) == 0).alias("valid"))
 
 
-@query("""with r as (select o_orderkey as run_id, sha256(o_orderstatus || o_orderpriority || o_custkey) as h from orders where o_orderkey < 3000)
+@query("""with r as (select o_orderkey as run_id, sha256(o_orderstatus || o_orderpriority || o_custkey) as h from orders)
   select a.run_id, b.run_id as resumes_run_id from r a join r b on a.h = b.h and a.run_id <> b.run_id""")
 def resume_compatibility(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("run_id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")), 256).alias("checkpoint_compatibility_hash"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")), 256).alias("checkpoint_compatibility_hash"))
     return snapshots.resumable(d, d)
 
 
@@ -878,10 +885,52 @@ def normalized_keys(spark, sf_dir):
     return curation.duplicate_keys(table(spark, sf_dir, "orders").withColumn("key", k).where("key is not null"), "key").select("key", "rows")
 
 
-@query("select 'orders' as dataset, count(*) as records, sum(o_totalprice) as total from orders where o_orderstatus = 'F'")
+@query("select 'orders' as dataset, count(*) as records, sum(o_totalprice::decimal(18, 2))::double as total, 0::bigint as changed_files from orders where o_orderstatus = 'F'")
 def export_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("DRAFT"))
-    return provenance.approved(d).agg(F.lit("orders").alias("dataset"), F.count("*").alias("records"), F.sum("o_totalprice").alias("total")).select("dataset", "records", "total")
+    """Approved records, written as an export, read again, and its files held against the manifest."""
+    d = table(spark, sf_dir, "orders").withColumns({"state": F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("DRAFT"), "key": F.col("o_orderkey").cast("string")})
+    folder = _folder(spark, "export")
+    exports.export(d, folder)
+    told, now = spark.read.json(f"{folder}/{exports.COMMIT}"), exports.manifest(spark, f"{folder}/records")
+    same = told.join(now.select(F.col("content_hash").alias("h"), F.col("byte_size").alias("b")), (F.col("content_hash") == F.col("h")) & (F.col("byte_size") == F.col("b")), "left_anti").count()
+    back = spark.read.schema(d.schema).json(f"{folder}/records").where("state = 'APPROVED'")
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    return back.agg(F.lit("orders").alias("dataset"), F.count("*").alias("records"), total.alias("total"), F.lit(same).cast("long").alias("changed_files"))
+
+
+FORMATS = ("csv", "jsonl", "parquet")
+
+
+@query("select f as format, o_orderkey, o_orderstatus, o_totalprice::decimal(18, 2)::double as o_totalprice, o_orderpriority from orders, (values ('csv'), ('jsonl'), ('parquet')) t(f)")
+def export_formats(spark, sf_dir):
+    """All orders, written and read again in each format that many tasks write."""
+    d = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("o_totalprice"), "o_orderpriority")
+    out = None
+    for kind in FORMATS:
+        folder = _folder(spark, f"format-{kind}")
+        exports.write(d, folder, kind)
+        reader = spark.read.schema(d.schema)
+        back = {"csv": lambda r=reader, f=folder: r.option("header", "true").option("escape", '"').csv(f), "jsonl": lambda r=reader, f=folder: r.json(f), "parquet": lambda r=reader, f=folder: r.parquet(f)}[kind]()
+        back = back.select(F.lit(kind).alias("format"), *d.columns)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("select o_orderkey, '## ' || o_orderkey || chr(10) || '- **o_orderstatus**: ' || o_orderstatus || chr(10) || '- **o_orderpriority**: ' || o_orderpriority || chr(10) as value from orders")
+def export_markdown(spark, sf_dir):
+    """Each order as a piece of Markdown."""
+    d = exports.markdown(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    return d.select(F.regexp_extract("value", "^## ([0-9]+)", 1).cast("long").alias("o_orderkey"), "value")
+
+
+@query("select 'nation' as name, count(*) as rows, sum(n_nationkey)::bigint as keys from nation union all select 'orders', count(*), sum(o_orderkey)::bigint from orders")
+def backup_restore(spark, sf_dir):
+    """Two tables backed up, checked and restored."""
+    folder = _folder(spark, "backup")
+    exports.backup({n: table(spark, sf_dir, n) for n in ("nation", "orders")}, folder)
+    back = exports.restore(spark, folder)
+    parts = [back[n].agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.sum(k).cast("long").alias("keys")) for n, k in (("nation", "n_nationkey"), ("orders", "o_orderkey"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("select o_orderkey::varchar as entity_id, 'DUPLICATE' as problem from orders where o_orderkey % 100 = 0 union all select l_orderkey::varchar, 'ORPHAN' from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 3 <> 0)")

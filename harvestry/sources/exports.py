@@ -115,6 +115,20 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(F.coalesce("file", "__f").alias("file"), problem.alias("problem")).where("problem is not null")
 
 
+def restore(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a backup by name, once its files and rows are those of the manifest."""
+    problems = verify(spark, folder).limit(10).collect()
+    if problems:
+        raise ValueError("the backup is not sound: " + ", ".join(f"{r['file']} {r['problem']}" for r in problems))
+    first = spark.read.json(f"{folder}/{COMMIT}").select("rows_by_table").first()
+    rows = json.loads(first[0]) if first else {}
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in rows}
+    for name, df in tables.items():
+        if df.count() != rows[name]:
+            raise ValueError(f"{name} has not the rows that the backup tells")
+    return tables
+
+
 def probe(folder: str) -> dict[str, bool]:
     """What a local destination can do: be reached, written, renamed in and cleaned."""
     out = {"reachable": os.path.isdir(folder), "write": False, "rename": False, "drop": False}

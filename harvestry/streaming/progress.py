@@ -24,6 +24,7 @@ def once(events: DataFrame, id_: str = "event_id", ts: str = "ts", delay: str =
 def numbered(events: DataFrame) -> DataFrame:
     """events (EVENT) with seq from 1 within each stream, in the order of time and id inside a batch, going on over batches."""
 
+    # the parts of a group are the rows of one micro-batch, which read() bounds by files_per_batch
     def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
         frame = pd.concat(list(parts)).sort_values(["ts", "event_id"])

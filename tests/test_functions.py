@@ -95,3 +95,26 @@ def test_any_text_is_a_page(text):
 
 def test_selector_ranks():
     assert [html.selector_rank(s) for s in ("#a", ".b", "[data-x]", "div > p", "li:nth-child(2)")] == [1, 2, 3, 4, 5]
+
+
+def test_deep_and_wide_pages_are_read():
+    import time
+
+    from harvestry.functions import html
+
+    deep = "<div>" * 6000 + "x" + "</div>" * 6000
+    assert html.sanitized(deep) == deep and len(list(html.parse(deep).elements())) == 6000
+    assert len(html.fingerprint("<div>" * 2000)) == 2000 and html.repeated(deep) == 1
+    before = time.time()
+    wide = html.parse("<ul>" + "<li>a" * 40_000 + "</ul>")
+    assert [n.place for n in html.select(wide, "li:nth-child(40000)")] == [40_000] and time.time() - before < 10
+
+
+def test_no_url_that_runs_is_kept():
+    from harvestry.functions import html
+
+    for bad in ("java&#9;script:x()", " JavaScript:x()", "java\nscript:x()", "&#1;javascript:x()", "vbscript:x", "data:text/html,x", "blob:x", "java​script:x"):
+        assert "href" not in html.sanitized(f'<a href="{bad}">t</a>'), bad
+    for good in ("https://a.example/b:c", "/a?b=c:d", "mailto:x@a.example", "#f", "tel:1", "a/b"):
+        assert f'href="{good}"' in html.sanitized(f'<a href="{good}">t</a>'), good
+    assert html.sanitized('<p onclick="x()" title="a: b" style="x">t</p>') == '<p title="a: b">t</p>'

@@ -2,8 +2,9 @@
 
 A page is read once into blocks of text, each with its place in the element tree. A linear classifier turns a block's
 length, punctuation, links and enclosing elements into the log odds of being content; its two costs become the capacities
-of the block's edges to the terminals. Blocks that follow each other, and blocks of one container, are joined by edges that
-cost something to cut, more the closer they are in the tree. The minimum cut is the labelling of least cost; it separates
+of the block's edges to the terminals. Names of classes are one weak feature of it: no name outweighs a long paragraph. Blocks
+that follow each other, and blocks of one container, are joined by edges that cost something to cut, more the closer they are
+in the tree and the more alike their surroundings and their links. The minimum cut is the labelling of least cost; it separates
 content from boilerplate. Blocks whose own evidence outweighs all their edges are settled first, which never changes the
 minimum; maximum flow (Dinic's method) labels the rest.
 
@@ -54,8 +55,9 @@ LOOSE = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD_BREAK = re.compile(r"[\s_]+|(?<=[a-z])(?=[A-Z])")
 #: Weights of the classifier (log odds) and of the edges.
-WEIGHTS = {"base": -2.0, "words": 1.0, "sentence": 1.0, "links": -5.0, "heading": 1.5, "inside": 4.0, "furniture": -7.0, "rights": -3.0, "named": 2.5, "wrapped": 1.0}
-BESIDE, APART, CONTAINER = 0.8, 0.25, 0.3
+WEIGHTS = {"base": -2.0, "words": 1.0, "sentence": 1.0, "links": -5.0, "heading": 1.5, "inside": 2.0, "furniture": -4.0, "rights": -3.0, "named": 1.5, "wrapped": 0.5}
+#: Edges of blocks that follow each other (in one container, or not) and of the next ones of a container of containers.
+BESIDE, APART, CONTAINER = 3.0, 0.1, 2.0
 
 
 class Element:
@@ -293,27 +295,38 @@ def _flow(rest: list[int], score: list[float], near: list[dict[int, float]], lab
                 tried[a] += 1
 
 
-def main_text(html: str) -> str:
-    """The content blocks of a page in page order, two newlines between them."""
-    if not html:
-        return ""
-    elements, blocks = read(html)
-    if not blocks:
-        return ""
-    judge(elements, blocks)
-    score = [odds(elements[e], text, linked) for e, text, linked in blocks]
+def smoothness(elements: list[Element], blocks: list[tuple[int, str, int]]) -> dict[tuple[int, int], float]:
+    """Edges between blocks near each other, cheaper to cut the less alike their surroundings and their shares of links are."""
+
+    def alike(i: int, j: int) -> float:
+        (a, text, linked), (b, other, also) = blocks[i], blocks[j]
+        return max(0.0, 1 - abs(elements[a].score - elements[b].score) / 2) * (1 - abs(linked / len(text) - also / len(other)))
+
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, (e, _, _) in enumerate(blocks):
         up = elements[e].parent
         if i:
             before = blocks[i - 1][0]
-            edges[i - 1, i] = BESIDE if up == elements[before].parent or up == before or e == elements[before].parent else APART
+            near = up == elements[before].parent or up == before or e == elements[before].parent
+            edges[i - 1, i] = APART + (BESIDE * alike(i - 1, i) if near else 0.0)
         container = elements[up].parent if up > 0 else up
         if container in last and last[container] != i - 1:
-            edges[last[container], i] = CONTAINER
+            edges[last[container], i] = CONTAINER * alike(last[container], i)
         last[container] = i
-    inside = minimum_cut(score, edges)
+    return edges
+
+
+def main_text(html: str) -> str:
+    """The content blocks of a page in page order, two newlines between them."""
+    if not html:
+        return ""
+    elements, blocks = read(html)
+    if not blocks:
+        return ""
+    judge(elements, blocks)
+    score = [odds(elements[e], text, linked) for e, text, linked in blocks]
+    inside = minimum_cut(score, smoothness(elements, blocks))
     return "\n\n".join(text for (_, text, _), keep in zip(blocks, inside, strict=True) if keep)
 
 

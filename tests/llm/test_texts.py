@@ -448,6 +448,26 @@ def test_minimum_cut_is_minimal():
         assert math.isclose(cost(extract.minimum_cut(score, edges)), best, abs_tol=1e-9)
 
 
+def signs(html):
+    elements, blocks = extract.read(html)
+    extract.judge(elements, blocks)
+    return [text for e, text, linked in blocks if extract.odds(elements[e], text, linked) > 0]
+
+
+def test_the_cut_decides_where_the_classifier_is_unsure():
+    story = [f"paragraph {k} tells " + "what happened then and there " * 6 + "." for k in range(4)]
+    # a long comment between short lines of a section of comments: by itself it would be content
+    comment = "as a reader i must say " + "that this is not how it was " * 45 + "."
+    page = "<body><article>" + "".join(f"<p>{p}</p>" for p in story * 5) + f"</article><div class='comments'><p>Ann wrote</p><p>{comment}</p><p>Bob wrote</p></div></body>"
+    assert comment in signs(page) and extract.main_text(page) == "\n\n".join(p.strip() for p in story * 5)
+    # a short line between paragraphs: by itself it would be boilerplate
+    page = "<body><div>" + f"<p>{story[0]}</p><p>So it went</p><p>{story[1]}</p>" + "</div><div><a href='/'>home</a> <a href='/b'>all</a></div></body>"
+    assert "So it went" not in signs(page) and extract.main_text(page) == "\n\n".join([story[0], "So it went", story[1]])
+    # advertising inside the article stays cut off
+    page = "<article>" + f"<p>{story[0]}</p><div class='ad'>Buy the best things now, today only.</div><p>{story[1]}</p>" + "</article>"
+    assert extract.main_text(page) == "\n\n".join(story[:2])
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<article><p>é</p></article>"), (2, "u", "<article><p>é</p></article>")], "page_id long, url string, html string")
     assert sorted(map(str, map(tuple, extract.extract(pages).collect()))) == sorted(map(str, [(1, "u", "", 0), (None, None, "", 0), (2, "u", "é", 1), (2, "u", "é", 1)]))

@@ -1,9 +1,10 @@
 """Toxicity of texts by a bidirectional gated recurrent network with attention pooling (operator 10), trained in numpy.
 
-A text is scored as its worst window; windows of WINDOW words start every STRIDE words and at the end, so every word of the
-whole text is in at least one and most are in two. A word enters by what is known of the word itself and by its character
+A text is scored as its worst window; windows of WINDOW words start every STRIDE words, half a window, and at the end, so
+every word of the whole text is in two, but for the first and last few, and every passage of STRIDE words lies whole in one. A word enters by what is known of the word itself and by its character
 n-grams (3 to 5 bytes with the word's ends marked): learned vectors of both, and how unevenly both are spread over the two
-labels in the training texts. A word that was never seen still has its n-grams. Two gated recurrent layers read the window
+labels in the training texts; and by its characters one after the other, which two small gated recurrent layers read forwards
+and backwards. A word that was never seen still has its n-grams and characters. Two gated recurrent layers read the window
 forwards and backwards, an attention layer weighs the states, and a logistic unit scores their weighted mean.
 
 Training: a bounded sample of the labelled rows that are not held out, at most about SAMPLE of each label, chosen by hashed
@@ -12,7 +13,8 @@ for among the two with the most evidence and one more; the last step and the sco
 taken from the other folds of the sample, so that it looks as it will on unseen texts. The last step fits the scale and
 offset of the score to the sample, weighted to the labels' share among all training rows.
 
-Cases: a null or empty text has the score of a text without evidence. Labels that are null or repeat an id: nulls are left
+Cases: a null or empty text has the score of a text without evidence. Very long texts are scored a thousand windows at a time,
+very long words are read in stretches of LONG bytes. Labels that are null or repeat an id: nulls are left
 out, the largest label of an id counts. Without rows of both labels every score is 0. Repeated rows are scored each; a null
 id is never in training nor held out (held_out false). Other columns are not read, whatever their names. Empty input gives an
 empty result.
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.texts import as_bytes, pieces, small_batches
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 HIDDEN, ATTEND = 8, 8
+#: Units of the layers over characters, dimensions of a character's vector, and bytes that they read at a stretch.
+SPELL, LETTER, LONG = 5, 5, 64
 #: Dimensions of the learned vectors, and hashed n-grams and words that have one.
 VECTOR, GRAMS, WORDS = 6, 1 << 16, 1 << 16
 #: Buckets of the counts by label, so many that hardly any two frequent things meet; their first 16 bits are those above.
@@ -71,6 +75,12 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return grams[order], np.searchsorted(of_[order], np.arange(len(words))), ((whole ^ (whole >> np.uint64(33))) * np.uint64(0x94D049BB133111EB) >> np.uint64(44)).astype(np.int64)
 
 
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the words, where each word's begin, and how many it has."""
+    length = np.array([len(w) for w in words], dtype=np.int64)
+    return np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(length) - length, length
+
+
 def spread(toxic: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
     """How far counts of texts with something are from the label's share, squashed: 0 is as expected."""
     z = (toxic - all_ * share) / np.sqrt(all_ * share * (1 - share) + 1)
@@ -101,7 +111,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters and passes; the two directions are the first axis of the recurrent weights."""
 
-    INPUT = 2 * VECTOR + 4
+    INPUT = 2 * VECTOR + 4 + 2 * SPELL
 
     def __init__(self, seed: int = 0):
         r, f = np.random.default_rng(seed), np.float32
@@ -111,14 +121,68 @@ class Network:
             "w": r.normal(0, 0.3, (2, self.INPUT, 3 * h)).astype(f), "b": np.tile(np.r_[np.zeros(h), np.ones(h), np.zeros(h)], (2, 1, 1)).astype(f),
             "u": r.normal(0, 0.3, (2, h, 3 * h)).astype(f), "a": r.normal(0, 0.3, (2 * h, ATTEND)).astype(f), "v": r.normal(0, 0.3, ATTEND).astype(f),
             "o": r.normal(0, 0.3, 2 * h).astype(f), "c": np.full(1, -2, dtype=f),
+            "letters": r.normal(0, 0.5, (256, LETTER)).astype(f), "lw": r.normal(0, 0.3, (2, LETTER, 3 * SPELL)).astype(f), "lb": np.zeros((2, 3 * SPELL), dtype=f), "lu": r.normal(0, 0.3, (2, SPELL, 3 * SPELL)).astype(f),
         }
 
-    def inputs(self, seen: np.ndarray, words: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The input vectors of distinct words with these features (evidence()), each with its n-grams."""
+    def spell(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """The last states of the layers over the characters of words, which lie in data; of words over LONG bytes the mean over their parts."""
+        h, u = SPELL, self.p["lu"]
+        parts = -(-length // LONG)
+        word = np.repeat(np.arange(len(length)), parts)
+        at = (np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONG
+        first, length = first[word] + at, np.minimum(length[word] - at, LONG)
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        state = np.zeros((2, len(order), h), dtype=np.float32)
+        table = np.stack([self.p["letters"] @ self.p["lw"][d] + self.p["lb"][d] for d in (0, 1)])
+        for t in range(int(length.max(initial=0))):
+            k = int(np.searchsorted(-length, -t, side="left"))  # words with more than t characters
+            here = np.stack([data[first[:k] + t], data[first[:k] + length[:k] - 1 - t]])
+            both = np.stack([table[0][here[0]], table[1][here[1]]])
+            before = state[:, :k].copy()
+            hid = before @ u
+            gates = _sigmoid(both[:, :, : 2 * h] + hid[:, :, : 2 * h])
+            r, z = gates[:, :, :h], gates[:, :, h:]
+            new = np.tanh(both[:, :, 2 * h :] + r * hid[:, :, 2 * h :])
+            state[:, :k] = new + z * (before - new)
+            if keep is not None:
+                keep.append((k, here, before, hid, r, z, new))
+        each = np.empty((len(order), 2 * h), dtype=np.float32)
+        each[order] = np.concatenate([state[0], state[1]], axis=1)
+        if keep is not None:
+            keep.append((order, word, parts))
+        out = np.zeros((len(parts), 2 * h), dtype=np.float32)
+        np.add.at(out, word, each)
+        return out / np.maximum(parts, 1)[:, None].astype(np.float32)
+
+    def spell_back(self, keep: list, grad: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the layers over characters for the gradient of what spell() gave."""
+        h, p = SPELL, self.p
+        order, word, parts = keep[-1]
+        grad = (grad / np.maximum(parts, 1)[:, None])[word]
+        d_state = np.stack([grad[order, :h], grad[order, h:]]).astype(np.float32)
+        g, d_table = {"lu": np.zeros_like(p["lu"])}, np.zeros((2, 256, 3 * h), dtype=np.float32)
+        for k, here, before, hid, r, z, new in reversed(keep[:-1]):
+            d = d_state[:, :k]
+            d_new = d * (1 - z) * (1 - new * new)
+            d_z = d * (before - new) * z * (1 - z)
+            d_r = d_new * hid[:, :, 2 * h :] * r * (1 - r)
+            d_hid = np.concatenate([d_r, d_z, d_new * r], axis=2)
+            for i in (0, 1):
+                np.add.at(d_table[i], here[i], np.concatenate([d_r[i], d_z[i], d_new[i]], axis=1))
+            g["lu"] += before.transpose(0, 2, 1) @ d_hid
+            d_state[:, :k] = d * z + d_hid @ p["lu"].transpose(0, 2, 1)
+        g["lw"] = np.stack([p["letters"].T @ d_table[i] for i in (0, 1)])
+        g["lb"] = d_table.sum(axis=1)
+        g["letters"] = sum(d_table[i] @ p["lw"][i].T for i in (0, 1))
+        return g
+
+    def inputs(self, seen: np.ndarray, words: np.ndarray, grams: np.ndarray, starts: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """The input vectors of distinct words with these features (evidence()), each with its n-grams and what spell() gave."""
         n = np.diff(np.r_[starts, len(grams)])[:, None].astype(np.float32)
         if not len(words):
             return np.zeros((0, self.INPUT), dtype=np.float32)
-        return np.concatenate([seen, self.p["words"][words >> 4], np.add.reduceat(self.p["grams"][grams >> 4], starts, axis=0) / n], axis=1).astype(np.float32)
+        return np.concatenate([seen, self.p["words"][words >> 4], np.add.reduceat(self.p["grams"][grams >> 4], starts, axis=0) / n, spelt], axis=1).astype(np.float32)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Inputs' share of the gates, both directions; row 0 stands for no word and leaves the state as it is."""
@@ -161,7 +225,7 @@ class Network:
         h, p = HIDDEN, self.p
         n, t = ids.shape
         states, inner, weight, pooled = keep[-1]
-        g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("words", "grams")}
+        g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("words", "grams", "letters", "lw", "lb", "lu")}
         g["o"], g["c"] = grad @ pooled, np.array([grad.sum()], dtype=np.float32)
         d_pooled = grad[:, None] * p["o"]
         d_weight = np.einsum("nh,tnh->tn", d_pooled, states)
@@ -226,9 +290,11 @@ class Model:
         if new:
             grams, starts, whole = gram_buckets(new)
             seen = evidence(whole, grams, starts, self.by_word, self.by_gram)
-            rows = self.network.project(self.network.inputs(seen, whole, grams, starts))[1:]
-            known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, rows])
+            rows = self.network.project(self.network.inputs(seen, whole, grams, starts, self.network.spell(*letters(new))))[1:]
+            known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new)), strict=True))
+            if len(self.known) + 1 > len(self.table):  # grown in blocks, not a batch at a time
+                self.table = np.concatenate([self.table, np.zeros((max(len(rows), min(len(self.table), 1 << 15)), self.table.shape[1]), dtype=self.table.dtype)])
+            self.table[len(self.known) + 1 - len(new) : len(self.known) + 1] = rows
         return [np.array([known[w] for w in ws], dtype=np.int32) for ws in split]
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
@@ -269,6 +335,7 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = EPO
     docs = [np.array([place.setdefault(w, len(place)) for w in t.lower().split()], dtype=np.int32) for t in texts]
     vocabulary = list(place) or [b"-"]
     grams, starts, whole = gram_buckets(vocabulary)
+    data, first, size = letters(vocabulary)
     fold = rng.permutation(len(docs)) % FOLDS
     lengths = np.diff(np.r_[starts, len(grams)])
 
@@ -325,7 +392,8 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = EPO
             if not len(used):
                 continue
             g, begin = grams_of(used)
-            x = net.inputs(seen[f][used], whole[used], g, begin)
+            spelling: list = []
+            x = net.inputs(seen[f][used], whole[used], g, begin, net.spell(data, first[used], size[used], spelling))
             logits = net.forward(net.project(x), local)
             order = np.lexsort((-logits, owner))
             worst = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
@@ -333,8 +401,9 @@ def train(texts: list[bytes], labels: list[int], share: float, epochs: int = EPO
             got = net.forward(net.project(x), local[worst], keep)
             grad = ((_sigmoid(got) - y[owner[worst]]) / len(worst)).astype(np.float32)
             grads, d_x = net.backward(x, local[worst], keep, grad)
-            n = lengths[used]
-            for name, at, d in (("words", whole[used] >> 4, d_x[:, 4 : 4 + VECTOR]), ("grams", g >> 4, np.repeat(d_x[:, 4 + VECTOR :] / n[:, None], n, axis=0))):
+            n, ends = lengths[used], 4 + 2 * VECTOR
+            grads |= net.spell_back(spelling, d_x[:, ends:])
+            for name, at, d in (("words", whole[used] >> 4, d_x[:, 4 : 4 + VECTOR]), ("grams", g >> 4, np.repeat(d_x[:, 4 + VECTOR : ends] / n[:, None], n, axis=0))):
                 rows_, inverse = np.unique(at, return_inverse=True)
                 grads[name] = rows_, np.stack([np.bincount(inverse, d[:, k], len(rows_)) for k in range(VECTOR)], axis=1).astype(np.float32)
             adam.step(grads)

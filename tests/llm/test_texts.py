@@ -410,10 +410,43 @@ def test_gradients(monkeypatch):
     assert d_x.shape == x.shape
 
 
+def test_characters_are_read_in_order_and_learned(monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG", 4)
+    net = toxicity.Network(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words_ = [b"a", b"ab", b"ba", "zé".encode(), b"abcdefghij"]
+    wanted = np.random.default_rng(1).normal(size=(5, 2 * toxicity.SPELL))
+    h = toxicity.SPELL
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def plain(word, d):
+        state = [0.0] * h
+        for byte in word if d == 0 else reversed(word):
+            x, hid = net.p["letters"][byte] @ net.p["lw"][d] + net.p["lb"][d], np.array(state) @ net.p["lu"][d]
+            r, z = ([sigmoid(x[i + k * h] + hid[i + k * h]) for i in range(h)] for k in (0, 1))
+            state = [(1 - z[i]) * math.tanh(x[i + 2 * h] + r[i] * hid[i + 2 * h]) + z[i] * state[i] for i in range(h)]
+        return state
+
+    told = [np.mean([plain(w[i : i + 4], 0) + plain(w[i : i + 4], 1) for i in range(0, len(w), 4)], axis=0) for w in words_]
+    assert np.allclose(net.spell(*toxicity.letters(words_)), told, atol=1e-5) and not np.allclose(told[1], told[2], atol=1e-3)
+    keep = []
+    net.spell(*toxicity.letters(words_), keep)
+    grads = net.spell_back(keep, wanted)
+    for name, at in (("lu", (0, 1, 2)), ("lu", (1, 3, 11)), ("lw", (1, 2, 3)), ("lb", (0, 12)), ("letters", (97, 1)), ("letters", (98, 3))):
+        old, sides = net.p[name][at], []
+        for step in (1e-2, -1e-2):
+            net.p[name][at] = old + step
+            sides.append(float((net.spell(*toxicity.letters(words_)) * wanted).sum()))
+        net.p[name][at] = old
+        assert abs((sides[0] - sides[1]) / 2e-2 - grads[name][at]) < 1e-2 * (1 + abs(grads[name][at])), name
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 47, 48, 49, 80, 500, 513):
         at = toxicity.windows(n)
         assert {i for s in at for i in range(s, min(s + toxicity.WINDOW, n))} == set(range(n))
+        for passage in range(max(0, n - toxicity.STRIDE + 1)):  # a passage of a stride lies whole in a window
+            assert any(s <= passage and passage + toxicity.STRIDE <= max(s + toxicity.WINDOW, n if n < toxicity.WINDOW else 0) for s in at)
 
 
 @pytest.mark.parametrize(

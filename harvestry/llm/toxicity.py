@@ -40,7 +40,7 @@ VECTOR, GRAMS, WORDS = 6, 1 << 16, 1 << 16
 #: Buckets of the counts by label, so many that hardly any two frequent things meet; their first 16 bits are those above.
 COUNTED = 1 << 20
 #: Training rows of each label at most, about; folds; passes; texts of a step.
-SAMPLE, FOLDS, EPOCHS, STEP = 2000, 4, 12, 32
+SAMPLE, FOLDS, EPOCHS, STEP = 2000, 4, 8, 32
 #: Words whose inputs a worker remembers.
 REMEMBER = 250_000
 THRESHOLD = 0.7
@@ -191,22 +191,37 @@ class Network:
         none[:, np.r_[HIDDEN : 2 * HIDDEN, 4 * HIDDEN : 5 * HIDDEN]] = 40
         return np.concatenate([none, g])
 
-    def forward(self, table: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Logits of windows (rows of ids into table, 0: no word)."""
+    def forward(self, table: np.ndarray | tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Logits of windows (rows of ids into table, 0: no word); the table may be given as its two directions."""
         h, k = HIDDEN, 3 * HIDDEN
         n, t = ids.shape
         state, u = np.zeros((2, n, h), dtype=np.float32), self.p["u"]
         states = np.empty((t, n, 2 * h), dtype=np.float32)
         both = np.empty((2, n, k), dtype=np.float32)
+        sides = table if isinstance(table, tuple) else (np.ascontiguousarray(table[:, :k]), np.ascontiguousarray(table[:, k:]))
+        hid, gates, new = np.empty_like(both), np.empty((2, n, 2 * h), dtype=np.float32), np.empty_like(state)
         for i in range(t):
-            both[0], both[1] = table[ids[:, i], :k], table[ids[:, t - 1 - i], k:]
-            hid = state @ u
-            gates = _sigmoid(both[:, :, : 2 * h] + hid[:, :, : 2 * h])
+            for side, at in ((0, i), (1, t - 1 - i)):
+                np.take(sides[side], ids[:, at], axis=0, out=both[side], mode="clip")
+            if keep is not None:  # each step keeps arrays of its own
+                state, hid, gates, new = state.copy(), np.empty_like(hid), np.empty_like(gates), np.empty_like(new)
+            np.matmul(state, u, out=hid, casting="same_kind")
+            np.add(both[:, :, : 2 * h], hid[:, :, : 2 * h], out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
             r, z = gates[:, :, :h], gates[:, :, h:]
-            new = np.tanh(both[:, :, 2 * h :] + r * hid[:, :, 2 * h :])
+            np.multiply(r, hid[:, :, 2 * h :], out=new)
+            new += both[:, :, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((state, hid, r, z, new))
-            state = new + z * (state - new)
+                state = new + z * (state - new)
+            else:
+                state -= new
+                state *= z
+                state += new
             states[i, :, :h], states[t - 1 - i, :, h:] = state[0], state[1]
         inner = np.tanh(states @ self.p["a"])
         e = inner @ self.p["v"]
@@ -280,11 +295,15 @@ class Model:
     def __init__(self, network: Network, by_word: np.ndarray, by_gram: np.ndarray, scale: float, offset: float):
         self.network, self.by_word, self.by_gram, self.scale, self.offset = network, by_word, by_gram, scale, offset
         self.known: dict[bytes, int] = {}
-        self.table = network.project(np.zeros((0, Network.INPUT), dtype=np.float32))
+        self.table = self._sides(network.project(np.zeros((0, Network.INPUT), dtype=np.float32)))
+
+    @staticmethod
+    def _sides(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.ascontiguousarray(rows[:, : 3 * HIDDEN]), np.ascontiguousarray(rows[:, 3 * HIDDEN :])
 
     def _ids(self, split: list[list[bytes]]) -> list[np.ndarray]:
         if len(self.known) > REMEMBER:
-            self.known, self.table = {}, self.table[:1]
+            self.known, self.table = {}, tuple(x[:1] for x in self.table)
         known = self.known
         new = list(set().union(*split).difference(known))
         if new:
@@ -292,10 +311,12 @@ class Model:
             seen = evidence(whole, grams, starts, self.by_word, self.by_gram)
             rows = self.network.project(self.network.inputs(seen, whole, grams, starts, self.network.spell(*letters(new))))[1:]
             known.update(zip(new, range(len(known) + 1, len(known) + 1 + len(new)), strict=True))
-            if len(self.known) + 1 > len(self.table):  # grown in blocks, not a batch at a time
-                self.table = np.concatenate([self.table, np.zeros((max(len(rows), min(len(self.table), 1 << 15)), self.table.shape[1]), dtype=self.table.dtype)])
-            self.table[len(self.known) + 1 - len(new) : len(self.known) + 1] = rows
-        return [np.array([known[w] for w in ws], dtype=np.int32) for ws in split]
+            if len(known) + 1 > len(self.table[0]):  # grown in blocks, not a batch at a time
+                more = max(len(rows), min(len(self.table[0]), 1 << 15))
+                self.table = tuple(np.concatenate([x, np.zeros((more, x.shape[1]), dtype=x.dtype)]) for x in self.table)
+            for x, own in zip(self.table, self._sides(rows), strict=True):
+                x[len(known) + 1 - len(new) : len(known) + 1] = own
+        return [np.fromiter(map(known.__getitem__, ws), dtype=np.int32, count=len(ws)) for ws in split]
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """The logit of the worst window of each text."""

@@ -361,7 +361,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     clear = docs.join(picked(shared), docs[key].eqNullSafe(shared["__shared"]), "left_anti")
     clear = clear.join(picked(gone), clear[key].eqNullSafe(gone["__id"]), "left_anti")
     some = docs.join(picked(shared), docs[key].eqNullSafe(shared["__shared"]), "left_semi")
-    row = some.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(key).alias("__id"), F.col(text).alias("__text"))
+    row = some.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__id"), F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema.fields[:-1])
     row = scratch.write("jaccard-shared-rows", row.mapInArrow(_namer(width), f"{fields}, node binary"))
     words_ = row.where("node is not null").join(goes.withColumnsRenamed({"__id": "__g", "node": "__gn"}), F.col("__id").eqNullSafe(F.col("__g")) & (F.col("node") == F.col("__gn")), "left_anti").dropDuplicates(["__id", "node"])

@@ -2,12 +2,12 @@
 
 The posterior of a language is the product of four kinds of evidence, in log space:
 
-- the text: character trigrams of the whole text, whose log likelihoods by language come from a bounded sample of rows
-  with a declared language, each trigram counted once for a repeated line of it and tempered because trigrams overlap;
+- the text: trigrams of the bytes of the whole folded text, in hashed buckets, whose log likelihoods by language come from a
+  bounded sample of rows with a declared language; their sum is tempered because trigrams overlap;
 - the declared markup language, through a table of how often a page of one language declares another, estimated by
   grouped aggregation and smoothed;
-- the address suffix (the last label of the host, read from the host or address): its counts of languages found by text
-  alone, smoothed towards those of the whole corpus;
+- the address suffix (the last label of the host, read from the host or address, or a column of its own): its counts of
+  languages found by text alone, smoothed towards those of the whole corpus;
 - the host: its counts, the same way, smoothed towards those of its suffix.
 
 A suffix counts by how it moves the corpus's shares, a host by how it moves its suffix's, so that no page counts twice; of both
@@ -16,6 +16,8 @@ a document's own count is left out.
 Sample: about SAMPLE rows a declared language, those whose hashed key falls below a share that follows from the counts. All
 other counts cover all rows.
 
+A row's declared language both marks it for the sample and is evidence for it.
+
 Cases: a null or empty text, or one without letters, has no text evidence; the other evidence decides, and the row is not
 kept. A null declared language, suffix or host is no evidence. Ties go to the alphabetically first language. Repeated rows
 count each. With no declared language anywhere the language is null. Input columns may have any names; the result has only
@@ -42,7 +44,7 @@ LANGUAGES = 64
 HELD = 1 << 20
 #: Trigram buckets.
 BUCKETS = 1 << 16
-#: Weight of the text's log likelihood, for trigrams overlap, and the most nats it counts by a trigram on average.
+#: Weight of the text's log likelihood, for trigrams overlap.
 TEMPER = 1 / 3
 #: Pseudo-documents by which a host's counts are drawn to its suffix's, and a suffix's to the corpus's.
 PULL = 10.0

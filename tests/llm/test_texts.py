@@ -179,6 +179,70 @@ def test_the_suffix_decides_on_rare_hosts(spark):
     assert [r[0] for r in hosts.select(language.suffix_of(hosts["h"])).collect()] == [None, None, "fr", None, None, "com", None]
 
 
+def brute_posteriors(rows):
+    """(language, posterior) by the formulas of the module's docstring, row by row."""
+    names = sorted({r[2] for r in rows if r[2] is not None})
+    counts = {x: Counter() for x in names}
+    for _, text, lang, _ in rows:
+        if lang is not None:
+            counts[lang].update(language._trigrams((text or "").encode()).tolist())
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    likely = lambda x, g: math.log((counts[x][g] + 0.1) / (total[x] + 0.1 * language.BUCKETS))
+    texts, found = [], []
+    for _, text, _, _ in rows:
+        grams = language._trigrams((text or "").encode()).tolist()
+        texts.append({x: language.TEMPER * sum(likely(x, g) for g in grams) for x in names})
+        found.append(max(names, key=lambda x: (texts[-1][x], -names.index(x))) if grams else None)
+    suffixes = [s.rsplit(".", 1)[1] if s and "." in s else None for *_, s in rows]
+    corpus = Counter(f for f in found if f)
+    base = {x: (corpus[x] + 1) / (sum(corpus.values()) + len(names)) for x in names}
+    said = Counter((f, r[2]) for f, r in zip(found, rows, strict=True) if f and r[2])
+    out = []
+    for k, (_, _, lang, host) in enumerate(rows):
+        prior = base
+        for at, where in ((suffixes[k], suffixes), (host, [r[3] for r in rows])):
+            if at is not None and any(w == at and f for w, f in zip(where, found, strict=True)):
+                own = {x: sum(w == at and f == x and i != k for i, (w, f) in enumerate(zip(where, found, strict=True))) + language.PULL * prior[x] for x in names}
+                prior = {x: v / sum(own.values()) for x, v in own.items()}
+        score = {x: texts[k][x] + math.log(prior[x]) for x in names}
+        if lang is not None:
+            for x in names:
+                score[x] += math.log((said[x, lang] + 0.5 + 2 * (x == lang)) / (sum(said[x, y] for y in names) + 0.5 * len(names) + 2))
+        best = max(names, key=lambda x: (score[x], -names.index(x)))
+        out.append((best, 1 / sum(math.exp(v - score[best]) for v in score.values())))
+    return out
+
+
+def test_posteriors_are_those_of_a_plain_version(spark):
+    rng = random.Random(4)
+    own = {"en": ["the", "and", "thing", "with"], "de": ["der", "und", "nicht", "schön"], "fr": ["le", "été", "maison", "avec"]}
+    rows = []
+    for i in range(150):
+        x = rng.choice(list(own))
+        shared = [rng.choice(["a", "o", "de", "et"]) for _ in range(rng.randrange(4))]
+        text = " ".join([rng.choice(own[x]) for _ in range(rng.choice([0, 0, 1, 2]))] + shared)
+        rows.append((i, rng.choice([text, text, None]) if i % 9 == 0 else text, rng.choice([x, x, x, rng.choice(list(own)), None]), rng.choice([f"h{rng.randrange(5)}.{x}", f"{x}.example", "plain", None])))
+    got = {r["doc_id"]: r for r in language.identify(docs(spark, rows)).collect()}
+    for (i, *_), (name, posterior) in zip(rows, brute_posteriors(rows), strict=True):
+        assert got[i]["language"] == name and math.isclose(got[i]["posterior"], posterior, rel_tol=1e-3), i
+
+
+def test_operators_take_rows_with_their_own_column_names_and_very_long_texts(spark):
+    long = "word of a very long text " * 60_000
+    names = "doc_id long, text string, lang string, source string, language string, posterior double, piece int, `offset` long, `a.b` string, predicted int, shard string, component_id long, score double, node binary, rank int"
+    rows = [(i, t, "en", "s", "x", 0.5, 1, 2, "z", 0, "0", 5, 1.5, b"n", 3) for i, t in enumerate([long, long + "x", "short text", None, "", "w" * 500_000])]
+    d = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    for f in (language.identify, lmscore.score, packing.pack, jaccard.join, lambda x: toxicity.toxicity(x, labels, model=toxicity.Model(toxicity.Network(0), np.zeros(toxicity.COUNTED, np.float32), np.zeros(toxicity.COUNTED, np.float32), 1.0, 0.0))):
+        got = f(d).collect()
+        assert {r["doc_id"] for r in got} == set(range(6))
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(d).collect()) == [0, 2, 3, 4, 5]
+    pages = spark.createDataFrame([(1, "u", "<article>" + "<p>" + "a long paragraph it is. " * 20_000 + "</p></article>", "t", 4)], "page_id long, url string, html string, text string, n_chars int")
+    assert extract.extract(pages).first()["n_chars"] > 400_000
+    vectors = spark.createDataFrame([(50, [1.0, 0.0], 1, 2.0), (51, [0.5, 0.5], 1, 2.0)], "vec_id long, embedding array<double>, rank int, score double")
+    assert [tuple(r) for r in nearest.search(vectors).collect()] == [(50, 1, 51, 256 * 128)]
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -18,7 +18,12 @@ ROW = "__row"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(ROW), "doc_id", "text", "lang", "source")
+    return docs.select(_row(docs), "doc_id", "text", "lang", "source")
+
+
+def _row(docs: DataFrame):
+    """All columns as one, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out until their sources have their weights, in a random order."""
-    return mixing.mix(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(ROW), "doc_id", "source")).select(f"{ROW}.*")
+    return mixing.mix(docs.select(_row(docs), "doc_id", "source")).select(f"{ROW}.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

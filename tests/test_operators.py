@@ -183,6 +183,16 @@ def test_exports(spark, tmp_path):
         assert db.execute("select n, typeof(n) from r").fetchall() == [(1, "integer")]
 
 
+def test_only_sound_backups_are_restored(spark, tmp_path):
+    folder = tmp_path / "b"
+    exports.backup({"t": spark.range(5).repartition(2), "empty": spark.range(0)}, str(folder))
+    back = exports.restore(spark, str(folder))
+    assert sorted(r[0] for r in back["t"].collect()) == [0, 1, 2, 3, 4] and back["empty"].collect() == []
+    next(folder.glob("t/*.parquet")).unlink()
+    with pytest.raises(ValueError, match="MISSING"):
+        exports.restore(spark, str(folder))
+
+
 def test_backup(spark, tmp_path):
     exports.backup({"t": spark.range(5)}, str(tmp_path / "b"))
     assert exports.verify(spark, str(tmp_path / "b")).count() == 0

@@ -158,3 +158,8 @@ def error(code: str, message: Column, details: Column | None = None, recoverable
 
 def conflict(message: Column) -> Column:
     return error("CONFLICT", message)
+
+
+def broken(**constraints: Column) -> Column:
+    """Names of the constraints that a row breaks, in the order given; one that is unknown for a null is kept, as in SQL."""
+    return F.filter(F.array(*[F.when(~c, F.lit(name)) for name, c in constraints.items()]), lambda x: x.isNotNull())

@@ -36,8 +36,12 @@ def content_duplicates(df: DataFrame, text: str, id_: str) -> DataFrame:
     return df.groupBy(F.sha2(F.col(text), 256).alias("content_hash")).agg(F.count("*").alias("rows"), F.min(id_).alias("first_id")).where("rows > 1 and content_hash is not null")
 
 
-def issues(df: DataFrame, fields: list[Field], key: str) -> DataFrame:
-    """df with ``issues``: an array of struct(severity, code, field); an empty array for a clean row."""
+def issues(df: DataFrame, fields: list[Field], key: str, identity: tuple[str, ...] = (), references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """df with ``issues``: an array of struct(severity, code, field); an empty array for a clean row.
+
+    Rows that share a key are duplicates, and in conflict where they differ in a column of identity. references: for a field
+    the table and column that its values are of; a value that is not there is an unresolved reference.
+    """
     rules: list[tuple[Column, str, str, str]] = [(is_blank(F.col(key).cast("string")), "ERROR", "EMPTY_KEY", key)]
     for f in fields:
         c = F.col(f.name)
@@ -53,10 +57,36 @@ def issues(df: DataFrame, fields: list[Field], key: str) -> DataFrame:
             rules.append((~blank & (F.length(text) < f.min_length), "WARNING", "SHORT_TEXT", f.name))
     found = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"), F.lit(name).alias("field"))) for test, s, code, name in rules])
     out = df.withColumn("issues", F.filter(found, lambda x: x.isNotNull()))
-    twice = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n")).where("__n > 1")
+    note = lambda severity, code, name: F.array(F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(name).alias("field")))
+    who = F.struct(F.lit(0), *identity)
+    twice = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"), (F.min(who) != F.max(who)).alias("__conflict")).where("__n > 1")
     out = out.join(twice, F.col(key) == F.col("__k"), "left")
-    again = F.array(F.struct(F.lit("ERROR").alias("severity"), F.lit("DUPLICATE_KEY").alias("code"), F.lit(key).alias("field")))
-    return out.withColumn("issues", F.when(F.col("__k").isNotNull(), F.concat("issues", again)).otherwise(F.col("issues"))).drop("__k", "__n")
+    more = [(F.col("__k").isNotNull(), note("ERROR", "DUPLICATE_KEY", key)), (F.col("__conflict"), note("ERROR", "IDENTITY_CONFLICT", key))]
+    for i, (name, (target, column)) in enumerate((references or {}).items()):
+        known = target.select(F.col(column).alias(f"__r{i}")).where(F.col(f"__r{i}").isNotNull()).distinct()
+        out = out.join(known, F.col(name) == F.col(f"__r{i}"), "left")
+        more.append((F.col(name).isNotNull() & F.col(f"__r{i}").isNull(), note("WARNING", "UNRESOLVED_REFERENCE", name)))
+    for test, one in more:
+        out = out.withColumn("issues", F.when(test, F.concat("issues", one)).otherwise(F.col("issues")))
+    return out.drop("__k", "__n", "__conflict", *[f"__r{i}" for i in range(len(references or {}))])
+
+
+def dataset_issues(df: DataFrame, fields: tuple[str, ...], least_coverage: float = 0.5, most_share: float = 0.9) -> DataFrame:
+    """(severity, code, field, share): warnings about fields that few rows have, or whose values are nearly all one.
+
+    Values are counted before they are shuffled, so a value that most rows have is a row a task.
+    """
+    filled = [F.when(~is_blank(F.col(f).cast("string")), F.col(f).cast("string")).alias(f) for f in fields]
+    long = df.select(*filled).unpivot([], list(fields), "field", "value")
+    each = long.groupBy("field", "value").agg(F.count("*").alias("n"))
+    there = F.col("value").isNotNull()
+    per = each.groupBy("field").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("filled"), F.max(F.when(there, F.col("n"))).alias("top"))
+    low, one = F.col("filled") / F.col("rows"), F.col("top") / F.col("filled")
+    found = F.array(
+        F.when(low < least_coverage, F.struct(F.lit("LOW_COVERAGE").alias("code"), low.alias("share"))),
+        F.when(F.coalesce((F.col("filled") > 1) & (one > most_share), F.lit(False)), F.struct(F.lit("UNUSUAL_DISTRIBUTION").alias("code"), one.alias("share"))),
+    )
+    return per.select("field", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select(F.lit("WARNING").alias("severity"), "i.code", "field", "i.share")
 
 
 def approve_all_valid(checked: DataFrame) -> DataFrame:

@@ -23,22 +23,37 @@ def compare_classification(left: DataFrame, right: DataFrame, url: str = "url")
     return j.select(F.coalesce(url, "__u").alias(url), "left_type", "right_type", change.alias("change"))
 
 
-def pacing(urls_: DataFrame, delay_ms: Column | int, host: str = "host", order: tuple[str, ...] = ("url",), bucket_rows: int | None = None) -> DataFrame:
+def retry_after_ms(header: Column, now: Column) -> Column:
+    """Milliseconds that a Retry-After header asks to wait, as seconds or as an HTTP date; 0 for a date that is over, null for anything else."""
+    text = F.trim(header)
+    at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, "^[A-Za-z]{3}, ", ""), "GMT$", "+0000"), F.lit("dd MMM yyyy HH:mm:ss xx"))
+    later = F.greatest(F.unix_millis(at) - F.unix_millis(now.cast("timestamp")), F.lit(0).cast("long"))
+    return F.when(text.rlike(r"^[0-9]{1,9}\z"), text.try_cast("long") * 1000).when(text.rlike(r"GMT\z") & at.isNotNull(), later)
+
+
+def backoff_ms(attempt: Column, base: int = 1000, most: int = 300_000) -> Column:
+    """The wait after a failed attempt (from 1) without a Retry-After: doubled each time, up to a most."""
+    return F.least(F.lit(base) * F.pow(F.lit(2), F.least(attempt, F.lit(30)) - 1), F.lit(most)).cast("long")
+
+
+def pacing(urls_: DataFrame, delay_ms: Column | int, host: str = "host", order: tuple[str, ...] = ("url",), bucket_rows: int | None = None, wait_ms: Column | None = None) -> DataFrame:
     """urls_ with earliest_ms: when each request of a host may start, one delay after the one before.
 
-    Ranks within a host are made by buckets of a hash of the order columns with the sums of the buckets before, so a host with a
-    third of all URLs is many tasks. delay_ms may be a column, the same within a host.
+    wait_ms is what the answer to a request asked to wait (retry_after_ms, backoff_ms; null for nothing); the next request of
+    the host comes after the longer of the two. Sums within a host are made by buckets of a hash of the order columns with the
+    sums of the buckets before, so a host with a third of all URLs is many tasks. delay_ms may be a column.
     """
     buckets = bucket_rows or 64
     delay = F.lit(delay_ms) if isinstance(delay_ms, int) else delay_ms
+    gap = delay if wait_ms is None else F.greatest(delay, wait_ms)
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
-    d = urls_.withColumn("__b", F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int") % buckets)
-    counts = d.groupBy(F.col(host).alias("__h"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    d = urls_.withColumns({"__b": F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int") % buckets, "__gap": gap.cast("long")})
+    counts = d.groupBy(F.col(host).alias("__h"), F.col("__b").alias("__c")).agg(F.sum("__gap").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__h").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("__h", "__c", before.alias("__base"))
-    place = F.row_number().over(Window.partitionBy(host, "__b").orderBy(*order)) - 1
+    place = F.coalesce(F.sum("__gap").over(Window.partitionBy(host, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = d.withColumn("__i", place).join(bases, F.col(host).eqNullSafe(F.col("__h")) & (F.col("__b") == F.col("__c")))
-    return out.withColumn("earliest_ms", ((F.col("__i") + F.col("__base")) * delay).cast("long")).drop("__b", "__h", "__c", "__base", "__i")
+    return out.withColumn("earliest_ms", (F.col("__i") + F.col("__base")).cast("long")).drop("__b", "__gap", "__h", "__c", "__base", "__i")
 
 
 def sequence(events: DataFrame, stream: str, order: tuple[str, ...]) -> DataFrame:
@@ -66,6 +81,58 @@ def stale(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("state") == "RUNNING") & (F.col("lease_expires_at") < now))
 
 
+def acquire(jobs: DataFrame, claims: DataFrame, now: Column, seconds: int = 60) -> DataFrame:
+    """jobs after the claims (job_id, worker) on them: a queued job that is due runs with a lease of its first claimant.
+
+    Of several claims on one job the one with the smallest worker counts. Jobs that run, are done or are not due stay as they are.
+    """
+    c = claims.groupBy(F.col("job_id").alias("__j")).agg(F.min("worker").alias("__w"))
+    free = F.col("__w").isNotNull() & (F.col("state") == "QUEUED") & (F.col("scheduled_at") <= now)
+    got = F.coalesce(free, F.lit(False))
+    new = {"state": F.lit("RUNNING"), "lease_owner": F.col("__w"), "heartbeat_at": now, "lease_expires_at": now + F.expr(f"interval {seconds} seconds"), "attempts": F.col("attempts") + 1}
+    return jobs.join(c, F.col("job_id") == F.col("__j"), "left").withColumns({n: F.when(got, v).otherwise(F.col(n)) for n, v in new.items()}).select(*jobs.columns)
+
+
+def heartbeat(jobs: DataFrame, beats: DataFrame, seconds: int = 60) -> DataFrame:
+    """jobs after heartbeats (job_id, worker, at): a lease goes on from the last beat of its owner.
+
+    Beats of other workers and beats after the end of the lease as it was change nothing.
+    """
+    mine = (F.col("job_id") == F.col("__j")) & (F.col("lease_owner") == F.col("__w"))
+    held = jobs.where("state = 'RUNNING'").select("job_id", "lease_owner", "lease_expires_at")
+    ok = beats.select(F.col("job_id").alias("__j"), F.col("worker").alias("__w"), F.col("at").alias("__at"))
+    last = held.join(ok, mine).where("__at <= lease_expires_at").groupBy(F.col("job_id").alias("__k")).agg(F.max("__at").alias("__last"))
+    later = F.col("__last") > F.col("heartbeat_at")
+    new = {"heartbeat_at": F.col("__last"), "lease_expires_at": F.col("__last") + F.expr(f"interval {seconds} seconds")}
+    return jobs.join(last, F.col("job_id") == F.col("__k"), "left").withColumns({n: F.when(later, v).otherwise(F.col(n)) for n, v in new.items()}).select(*jobs.columns)
+
+
+def recover(jobs: DataFrame, checkpoints: DataFrame, now: Column) -> DataFrame:
+    """(job_id, outcome) of stale jobs: RECOVERABLE with a checkpoint (job_id, config_hash) of their configuration, else FAILED."""
+    c = checkpoints.select(F.col("job_id").alias("__j"), F.col("config_hash").alias("__h")).distinct()
+    found = stale(jobs, now).join(c, (F.col("job_id") == F.col("__j")) & (F.col("config_hash") == F.col("__h")), "left")
+    return found.select("job_id", F.when(F.col("__j").isNotNull(), "RECOVERABLE").otherwise("FAILED").alias("outcome"))
+
+
+def cancel(units: DataFrame, runs_: DataFrame) -> DataFrame:
+    """units (run_id, unit_id, state) of runs (run_id, cancelled_at) after these were cancelled.
+
+    Units that wait are never begun; those at work end at their own boundary, of which only their result tells; those that
+    ended stay. Runs without a time were not cancelled.
+    """
+    c = runs_.where(F.col("cancelled_at").isNotNull()).select(F.col("run_id").alias("__r")).distinct()
+    over = F.when(F.col("state") == "PENDING", "NOT_STARTED").when(F.col("state") == "RUNNING", "STOPPING").otherwise(F.col("state"))
+    return units.join(c, F.col("run_id") == F.col("__r"), "left").withColumn("state", F.when(F.col("__r").isNotNull(), over).otherwise(F.col("state"))).drop("__r")
+
+
+def checkpoint(units: DataFrame) -> DataFrame:
+    """(run_id, completed, pending, failed, status): what a run's checkpoint counts; CANCELLED once no unit of a stopped run is at work."""
+    n = lambda *s: F.count_if(F.col("state").isin(*s))
+    left, working = n("NOT_STARTED", "PENDING"), n("STOPPING", "RUNNING")
+    status = F.when(n("STOPPING") > 0, "CANCELLING").when(n("NOT_STARTED") > 0, "CANCELLED").when(left + working > 0, "RUNNING").when(n("FAILED") > 0, "PARTIAL_RESULT").otherwise("COMPLETED")
+    return units.groupBy("run_id").agg(n("COMPLETED").alias("completed"), (left + working).alias("pending"), n("FAILED").alias("failed"), status.alias("status"))
+
+
 def retries(attempts: DataFrame, most: int) -> DataFrame:
     """(job_id, attempts, last_error, may_retry)."""
     out = attempts.groupBy("job_id").agg(F.max("attempt").alias("attempts"), F.max_by("error", "attempt").alias("last_error"))

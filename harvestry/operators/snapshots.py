@@ -75,9 +75,10 @@ def tampered(stored: DataFrame, run: str = "run") -> DataFrame:
 
 
 def resumable(runs: DataFrame, others: DataFrame) -> DataFrame:
-    """(run_id, resumes_run_id): pairs of runs with one compatibility hash."""
-    o = others.select(F.col("run_id").alias("resumes_run_id"), F.col("checkpoint_compatibility_hash").alias("__h"))
-    return runs.join(o, (F.col("checkpoint_compatibility_hash") == F.col("__h")) & (F.col("run_id") != F.col("resumes_run_id"))).select("run_id", "resumes_run_id")
+    """(run_id, resumes_run_id, compatible) for runs that name a run to resume: the two have one compatibility hash; false where that run is not there."""
+    o = others.select(F.col("run_id").alias("__r"), F.col("checkpoint_compatibility_hash").alias("__h"))
+    j = runs.where("resumes_run_id is not null").join(o, F.col("resumes_run_id") == F.col("__r"), "left")
+    return j.select("run_id", "resumes_run_id", F.coalesce(F.col("checkpoint_compatibility_hash") == F.col("__h"), F.lit(False)).alias("compatible"))
 
 
 def changed(before: DataFrame, after: DataFrame, key: str = "run_id", mutable: tuple[str, ...] = ("status",)) -> DataFrame:

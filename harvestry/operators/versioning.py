@@ -99,6 +99,12 @@ def clone(versions: DataFrame, new_id: Column) -> DataFrame:
     return versions.where("state = 'PUBLISHED'").withColumns({"id": new_id, "state": F.lit("DRAFT")})
 
 
+def draft_from_scrape(runs: DataFrame, crawler_id: Column, version_id: Column) -> DataFrame:
+    """Draft versions with the configuration of quick scrapes that ended with a result; other runs give none."""
+    ok = runs.where(F.col("run_type") == "QUICK_SCRAPE").where(F.col("status").isin("COMPLETED", "PARTIAL_RESULT"))
+    return ok.select(version_id.alias("id"), crawler_id.alias("crawler_id"), F.lit("DRAFT").alias("state"), F.col("configuration_json").alias("semantic_configuration_json"), F.col("run_id").alias("from_run_id"))
+
+
 def audit_counts(log: DataFrame, entity: str = "entity_id") -> DataFrame:
     return log.groupBy(entity).agg(F.count("*").alias("events"))
 
@@ -126,6 +132,27 @@ def migration_plan(known: list[tuple[str, str, str]], applied: DataFrame, last:
     return out.unionByName(strange)
 
 
+def lifecycle(rows: DataFrame, actions: DataFrame) -> DataFrame:
+    """rows (id, status, trashed_at) after actions (id, action, at, confirmation), of which the last of each row counts.
+
+    ARCHIVE and TRASH take a row out of view, RESTORE brings it back; DELETE needs the row to be in the trash and its id as
+    confirmation. Deleted rows stay as evidence (status DELETED), and no action changes them.
+    """
+    last = actions.groupBy(F.col("id").alias("__i")).agg(F.max(F.struct("at", "action", "confirmation")).alias("__a"))
+    a, status = F.col("__a.action"), F.col("status")
+    may_delete = (status == "TRASHED") & (F.col("__a.confirmation") == F.col("id").cast("string"))
+    new = F.when(a == "ARCHIVE", "ARCHIVED").when(a == "TRASH", "TRASHED").when(a == "RESTORE", "ACTIVE").when((a == "DELETE") & may_delete, "DELETED").otherwise(status)
+    out = rows.join(last, F.col("id") == F.col("__i"), "left").withColumn("__new", F.when(F.col("__i").isNull() | (status == "DELETED"), status).otherwise(new))
+    since = F.when(F.col("__new").isin("TRASHED", "DELETED"), F.when(status.isin("TRASHED", "DELETED"), F.col("trashed_at")).otherwise(F.col("__a.at")))
+    return out.withColumns({"trashed_at": since, "status": F.col("__new")}).select(*rows.columns)
+
+
+def disabled_jobs(jobs: DataFrame, rows: DataFrame, column: str = "crawler_id") -> DataFrame:
+    """Jobs that are not over and whose owner is in the trash or gone."""
+    gone = rows.where(F.col("status").isin("TRASHED", "DELETED")).select(F.col("id").alias("__i"))
+    return jobs.where(F.col("state").isin("QUEUED", "RUNNING")).join(gone, F.col(column) == F.col("__i"), "left_semi")
+
+
 def trash(rows: DataFrame, now: Column, days: int = 30, status: str = "status", since: str = "trashed_at") -> DataFrame:
     """rows with ``expired``: in the trash for longer than days."""
     return rows.withColumn("expired", (F.col(status) == "TRASHED") & (F.datediff(now, F.col(since)) > days))

@@ -809,10 +809,11 @@ def run_compatibility(spark, sf_dir):
     return d.select("o_orderkey", (F.size(snapshots.violations("run")) == 0).alias("valid"))
 
 
-@query("""with r as (select o_orderkey as run_id, sha256(o_orderstatus || o_orderpriority || o_custkey) as h from orders)
-  select a.run_id, b.run_id as resumes_run_id from r a join r b on a.h = b.h and a.run_id <> b.run_id""")
+@query("""with r as (select o_orderkey as run_id, o_orderkey - 7 as resumes_run_id, o_orderstatus || o_orderpriority as h from orders)
+  select a.run_id, a.resumes_run_id, coalesce(a.h = b.h, false) as compatible from r a left join r b on a.resumes_run_id = b.run_id""")
 def resume_compatibility(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string")), 256).alias("checkpoint_compatibility_hash"))
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(k.alias("run_id"), (k - 7).alias("resumes_run_id"), F.sha2(F.concat("o_orderstatus", "o_orderpriority"), 256).alias("checkpoint_compatibility_hash"))
     return snapshots.resumable(d, d)
 
 
@@ -859,10 +860,11 @@ def review_close(spark, sf_dir):
     return curation.close_review(items)
 
 
-@query("select p_partkey, p_size < 40 and p_retailprice >= 0 and p_type in ('ECONOMY', 'STANDARD') as ok from part")
+@query("select p_partkey, concat_ws(',', case when p_size >= 40 then 'size' end, case when p_retailprice < 0 then 'price' end, case when p_type not in ('ECONOMY', 'STANDARD') then 'type' end, case when (p_type = 'ECONOMY') <> (p_size < 20) then 'coupled' end) as broken from part")
 def check_constraints(spark, sf_dir):
-    d = table(spark, sf_dir, "part")
-    return d.select("p_partkey", ((F.col("p_size") < 40) & (F.col("p_retailprice") >= 0) & F.col("p_type").isin("ECONOMY", "STANDARD")).alias("ok"))
+    size, type_ = F.col("p_size"), F.col("p_type")
+    names = checks.broken(size=size < 40, price=F.col("p_retailprice") >= 0, type=type_.isin("ECONOMY", "STANDARD"), coupled=(type_ == "ECONOMY") == (size < 20))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names, ",").alias("broken"))
 
 
 @query("select page_id, len(regexp_extract_all(html, '<a href=')) as assets from pages where html like '%.pdf\"%'")
@@ -947,3 +949,147 @@ def ordered_sequences(spark, sf_dir):
     """Streams whose numbers have no gap."""
     d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 == F.count_distinct("turn")).alias("ok"))
     return d.agg(F.count("*").alias("conversations"), F.count_if("ok").alias("complete"))
+
+
+# --- leases, cancellation, life cycles, waiting, reserved names
+
+AT = "timestamp '1996-01-01'"
+
+
+def _jobs(spark, sf_dir):
+    """Orders as jobs: those with status O wait, those with P run under a lease of 60 seconds from their date."""
+    none, at, busy = F.lit(None).cast("timestamp"), F.col("o_orderdate").cast("timestamp"), F.col("o_orderstatus") == "P"
+    state = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(busy, "RUNNING").otherwise("DONE")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), state.alias("state"), at.alias("scheduled_at"), F.when(busy, F.col("o_custkey") % 5).alias("lease_owner"), F.when(busy, at).otherwise(none).alias("heartbeat_at"),
+        F.when(busy, at + F.expr("interval 60 seconds")).otherwise(none).alias("lease_expires_at"), F.lit(1).alias("attempts"), (F.col("o_orderkey") % 4).alias("config_hash"),
+    )
+
+
+@query(f"""with c as (select l_orderkey, min(l_suppkey) as w from lineitem where l_linenumber <= 2 group by 1)
+  select o_orderkey as job_id, case when got then 'RUNNING' when o_orderstatus = 'O' then 'QUEUED' when o_orderstatus = 'P' then 'RUNNING' else 'DONE' end as state, case when got then w when o_orderstatus = 'P' then o_custkey % 5 end as lease_owner,
+    case when got then {AT} + interval 60 second when o_orderstatus = 'P' then o_orderdate + interval 60 second end as lease_expires_at, case when got then 2 else 1 end as attempts
+  from (select *, coalesce(w is not null and o_orderstatus = 'O' and o_orderdate <= {AT}, false) as got from orders left join c on o_orderkey = l_orderkey)""")
+def lease_acquire(spark, sf_dir):
+    claims = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("worker"))
+    return runs.acquire(_jobs(spark, sf_dir), claims, F.expr(AT)).select("job_id", "state", "lease_owner", "lease_expires_at", "attempts")
+
+
+@query("""with b as (select l_orderkey, l_suppkey % 5 as w, o_orderdate + to_seconds((l_linenumber * 20)::int) as beat from lineitem join orders on l_orderkey = o_orderkey),
+  g as (select o_orderkey as k, max(beat) as last from orders join b on o_orderkey = l_orderkey and w = o_custkey % 5 where o_orderstatus = 'P' and beat <= o_orderdate + interval 60 second group by 1)
+  select o_orderkey as job_id, coalesce(last, o_orderdate) as heartbeat_at, coalesce(last, o_orderdate) + interval 60 second as lease_expires_at from orders left join g on k = o_orderkey where o_orderstatus = 'P'""")
+def lease_heartbeat(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    begun = jobs.select(F.col("job_id").alias("l_orderkey"), F.col("scheduled_at").alias("from"))
+    beats = table(spark, sf_dir, "lineitem").join(begun, "l_orderkey").select(F.col("l_orderkey").alias("job_id"), (F.col("l_suppkey") % 5).alias("worker"), F.timestamp_millis(F.unix_millis("from") + F.col("l_linenumber") * 20_000).alias("at"))
+    return runs.heartbeat(jobs, beats).where("state = 'RUNNING'").select("job_id", "heartbeat_at", "lease_expires_at")
+
+
+@query(f"select o_orderkey as job_id, case when o_orderkey % 4 = o_orderkey % 3 then 'RECOVERABLE' else 'FAILED' end as outcome from orders where o_orderstatus = 'P' and o_orderdate + interval 60 second < {AT}")
+def lease_recovery(spark, sf_dir):
+    saved = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 3).alias("config_hash"))
+    return runs.recover(_jobs(spark, sf_dir), saved, F.expr(AT))
+
+
+@query("""with u as (select l_orderkey, case when l_linenumber = 1 then 'COMPLETED' when l_linenumber = 2 then 'FAILED' when l_linenumber = 3 and l_orderkey % 4 = 0 then 'RUNNING' else 'PENDING' end as s, l_orderkey % 2 = 0 as stopped from lineitem),
+  c as (select l_orderkey as run_id, any_value(stopped) as stopped, count(*) filter (s = 'COMPLETED') as completed, count(*) filter (s in ('PENDING', 'RUNNING')) as pending, count(*) filter (s = 'FAILED') as failed, count(*) filter (s = 'RUNNING') as working from u group by 1)
+  select run_id, completed, pending, failed, case when stopped and working > 0 then 'CANCELLING' when stopped and pending > 0 then 'CANCELLED' when pending > 0 then 'RUNNING' when failed > 0 then 'PARTIAL_RESULT' else 'COMPLETED' end as status from c""")
+def run_cancellation(spark, sf_dir):
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    state = F.when(n == 1, "COMPLETED").when(n == 2, "FAILED").when((n == 3) & (k % 4 == 0), "RUNNING").otherwise("PENDING")
+    units = table(spark, sf_dir, "lineitem").select(k.alias("run_id"), n.alias("unit_id"), state.alias("state"))
+    stopped = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("cancelled_at"))
+    return runs.checkpoint(runs.cancel(units, stopped))
+
+
+@query("""with a as (select o_custkey as k, max((epoch_us(o_orderdate), o_orderkey)) as m from orders group by 1),
+  l as (select k, m[2] % 5 as what, m[2] % 10 < 5 as sure from a)
+  select c_custkey as id, case when k is null or what = 4 then s when what = 0 then 'ARCHIVED' when what = 1 then 'TRASHED' when what = 2 then 'ACTIVE' when s = 'TRASHED' and sure then 'DELETED' else s end as status
+  from (select c_custkey, case when c_custkey % 2 = 0 then 'TRASHED' else 'ACTIVE' end as s from customer) left join l on k = c_custkey""")
+def lifecycle_states(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "TRASHED").otherwise("ACTIVE").alias("status"), F.lit("1992-01-01").cast("timestamp").alias("trashed_at"))
+    k, last = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").withColumn("__n", F.row_number().over(last)).withColumn("at", F.col("o_orderdate") - F.make_dt_interval(hours=F.col("__n")))
+    action = F.element_at(F.array(*[F.lit(a) for a in ("ARCHIVE", "TRASH", "RESTORE", "DELETE", "NOTE")]), (k % 5 + 1).cast("int"))
+    actions = orders.select(F.col("o_custkey").alias("id"), action.alias("action"), "at", F.when(k % 10 < 5, F.col("o_custkey").cast("string")).otherwise("yes").alias("confirmation"))
+    return versioning.lifecycle(rows, actions).select("id", "status")
+
+
+@query("select o_orderkey as job_id from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O' and c_custkey % 3 = 0")
+def trash_disables_jobs(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("crawler_id"), F.when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("DONE").alias("state"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "TRASHED").otherwise("ACTIVE").alias("status"))
+    return versioning.disabled_jobs(jobs, rows).select("job_id")
+
+
+@query("""select 'v' || o_orderkey as id, 'c' || o_custkey as crawler_id, 'DRAFT' as state, '{"status":"' || o_orderstatus || '"}' as semantic_configuration_json, o_orderkey as from_run_id from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0""")
+def scrape_drafts(spark, sf_dir):
+    done = F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED")
+    scrapes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "QUICK_SCRAPE").otherwise("TEST_RUN").alias("run_type"), done.alias("status"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("configuration_json"))
+    return versioning.draft_from_scrape(scrapes, F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("v"), F.col("run_id").cast("string")))
+
+
+@query("""with p as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host, ('0x' || substr(md5(page_id::varchar), 1, 4))::int % 64 as b,
+    case page_id % 7 when 0 then 3000 when 1 then 86400000 when 2 then 250 when 3 then 0 else 250 end as wait from pages)
+  select page_id, host, coalesce(sum(greatest(250, wait)) over (partition by host order by b, page_id rows between unbounded preceding and 1 preceding), 0)::bigint as earliest_ms from p""")
+def pacing_retry_after(spark, sf_dir):
+    k = F.col("page_id") % 7
+    header = F.when(k == 0, "3").when(k == 1, "Tue, 02 Jan 1996 00:00:00 GMT").when(k == 2, "soon").when(k == 3, "Sun, 31 Dec 1995 00:00:00 GMT")
+    d = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return runs.pacing(d, 250, order=("page_id",), wait_ms=runs.retry_after_ms(header, F.expr(AT)))
+
+
+@query("select l_orderkey as job_id, l_linenumber, least(1000 * (1 << (l_linenumber - 1)), 20000)::bigint as wait_ms from lineitem")
+def retry_backoff(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_linenumber", runs.backoff_ms(F.col("l_linenumber"), most=20_000).alias("wait_ms"))
+
+
+@query("""with p as (select p_partkey, p_partkey % 150 as k, count(*) over (partition by p_partkey % 150) as n from part)
+  select count(*) as artifacts, count(*) as paths, (count(distinct k) filter (k <> 3))::bigint as kept_their_id, count(*) - (count(distinct k) filter (k <> 3)) as moved from p""")
+def artifact_reservations(spark, sf_dir):
+    """Artifacts of which some share an id, and one path is taken by an older one: every path is free, one of each id keeps it."""
+    k = F.concat(F.lit("a"), (F.col("p_partkey") % 150).cast("string"))
+    placed = artifacts.place(table(spark, sf_dir, "part").select(k.alias("id"), k.alias("was"), "p_partkey", F.lit("parts/x").alias("folder"), F.lit("page one.html").alias("name")), "id", "folder", "name")
+    taken = spark.range(1).select(F.lit("parts/x/a3-page_one.html").alias("safe_relative_path"))
+    d = artifacts.reserve(placed, "id", taken)
+    same = (F.col("id") == F.col("was")) & (F.col("safe_relative_path") == F.concat(F.lit("parts/x/"), "id", F.lit("-page_one.html")))
+    ends = F.col("safe_relative_path") == F.concat(F.lit("parts/x/"), "id", F.lit("-page_one.html"))
+    return d.agg(F.count("*").alias("artifacts"), F.count_distinct(F.when(ends, F.col("safe_relative_path"))).alias("paths"), F.count_if(same).alias("kept_their_id"), F.count_if(~same).alias("moved"))
+
+
+@query("select o_orderkey::varchar as file, case o_orderkey % 3 when 0 then 'FILE_REMOVED' when 1 then 'FILE_CHANGED' else 'AVAILABLE' end as status, o_custkey as records from orders")
+def export_history(spark, sf_dir):
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders")
+    told = d.select(k.cast("string").alias("file"), F.sha2(k.cast("string"), 256).alias("content_hash"), F.col("o_custkey").alias("records"))
+    there = d.where(k % 3 != 0).select(k.cast("string").alias("file"), F.sha2(F.when(k % 3 == 1, F.lit("x")).otherwise(k.cast("string")), 256).alias("content_hash"))
+    return exports.history(told, there).select("file", "status", "records")
+
+
+@query("""with p as (select p_partkey % 90 as key, p_brand as brand, p_partkey % 30 as nation from part), c as (select *, count(*) over (partition by key) as n, min(brand) over (partition by key) <> max(brand) over (partition by key) as differs from p)
+  select code, severity, count(*) as rows from (select 'DUPLICATE_KEY' as code, 'ERROR' as severity from c where n > 1 union all select 'IDENTITY_CONFLICT', 'ERROR' from c where n > 1 and differs
+    union all select 'UNRESOLVED_REFERENCE', 'WARNING' from c where nation not in (select n_nationkey from nation)) group by all""")
+def validation_identity(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = table(spark, sf_dir, "part").select((k % 90).alias("key"), F.col("p_brand").alias("brand"), (k % 30).alias("nation"))
+    d = curation.issues(d, [Field("brand")], "key", ("brand",), {"nation": (table(spark, sf_dir, "nation"), "n_nationkey")})
+    return d.select(F.explode("issues").alias("i")).groupBy("i.code", "i.severity").agg(F.count("*").alias("rows"))
+
+
+@query("""select 'WARNING' as severity, 'LOW_COVERAGE' as code, 'note' as field, round(count(*) filter (o_orderkey % 5 = 0) / count(*), 9) as share from orders
+  union all select 'WARNING', 'UNUSUAL_DISTRIBUTION', 'grade', round(count(*) filter (o_orderkey % 20 <> 0) / count(*), 9) from orders""")
+def dataset_warnings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(F.when(k % 5 == 0, F.concat(F.lit("n"), k.cast("string"))).alias("note"), F.when(k % 20 == 0, "B").otherwise("A").alias("grade"), "o_orderstatus")
+    d = curation.dataset_issues(d, ("note", "grade", "o_orderstatus"))
+    return d.withColumn("share", F.round("share", 9))
+
+
+@query("""select o_orderkey, 'CONFLICT' as code, 'order ' || o_orderkey || ' has changed' as message, true as recoverable, 0 as actions from orders where o_orderstatus = 'F'
+  union all select o_orderkey, 'NOT_FOUND', 'no order ' || o_orderkey, false, 2 from orders where o_orderstatus = 'P'""")
+def error_envelopes(spark, sf_dir):
+    k, d = F.col("o_orderkey").cast("string"), table(spark, sf_dir, "orders")
+    changed = checks.conflict(F.concat(F.lit("order "), k, F.lit(" has changed")))
+    gone = checks.error("NOT_FOUND", F.concat(F.lit("no order "), k), recoverable=False, actions=("reload", "search"))
+    rows = d.where("o_orderstatus = 'F'").select("o_orderkey", changed.alias("e")).unionByName(d.where("o_orderstatus = 'P'").select("o_orderkey", gone.alias("e")))
+    return rows.select("o_orderkey", "e.code", "e.message", "e.recoverable", F.size("e.suggested_actions").alias("actions"))

@@ -83,6 +83,13 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\z", 1).alias("file"), "byte_size", "content_hash")
 
 
+def history(told: DataFrame, there: DataFrame) -> DataFrame:
+    """told (manifests, whatever else they hold) with ``status``: AVAILABLE, FILE_CHANGED, or FILE_REMOVED for a file that is gone; no row goes."""
+    now = there.select(F.col("file").alias("__f"), F.col("content_hash").alias("__h"))
+    status = F.when(F.col("__f").isNull(), "FILE_REMOVED").when(F.col("__h") != F.col("content_hash"), "FILE_CHANGED").otherwise("AVAILABLE")
+    return told.join(now, F.col("file") == F.col("__f"), "left").withColumn("status", status).drop("__f", "__h")
+
+
 def export(records: DataFrame, folder: str, format_: str = "jsonl", provenance: DataFrame | None = None) -> dict:
     """Approved records, with their provenance if it is given, and a manifest; returns the manifest's totals."""
     spark, chosen = records.sparkSession, approved(records)

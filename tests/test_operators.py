@@ -234,3 +234,67 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     progress.log(progress.numbered(progress.once(progress.read(spark, str(tmp_path / "in/*"), progress.EVENT))), *args)
     got = sorted((r["stream_id"], r["seq"], r["event_id"]) for r in spark.read.parquet(args[0]).collect())
     assert got == [("r", 1, "c"), ("s", 1, "a"), ("s", 2, "b"), ("s", 3, "d")]
+
+
+def test_leases_and_cancellation_with_nulls_and_ties(spark):
+    now = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    jobs = spark.createDataFrame(
+        [("a", "QUEUED", "2019-12-31", None, None, None, 0), ("b", "QUEUED", "2020-01-02", None, None, None, 0), (None, "QUEUED", None, None, None, None, 0), ("d", "RUNNING", "2019-01-01", "w", "2019-12-31 23:59:30", "2020-01-01 00:00:30", 1)],
+        "job_id string, state string, scheduled_at string, lease_owner string, heartbeat_at string, lease_expires_at string, attempts int",
+    ).withColumns({c: F.col(c).cast("timestamp") for c in ("scheduled_at", "heartbeat_at", "lease_expires_at")})
+    claims = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("b", "x"), ("d", "x"), (None, "x"), ("zz", "x")], "job_id string, worker string")
+    got = {r["job_id"]: r for r in runs.acquire(jobs, claims, now, 60).collect()}
+    assert len(got) == 4 and (got["a"]["lease_owner"], got["a"]["attempts"], got["b"]["state"], got["d"]["lease_owner"], got[None]["state"]) == ("x", 1, "QUEUED", "w", "QUEUED")
+    beats = spark.createDataFrame([("d", "w", "2020-01-01 00:00:10"), ("d", "w", "2020-01-01 00:00:31"), ("d", "x", "2020-01-01 00:00:20"), (None, "w", None)], "job_id string, worker string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    after = {r["job_id"]: r for r in runs.heartbeat(jobs, beats, 60).collect()}
+    assert len(after) == 4 and after["d"]["heartbeat_at"].second == 10 and after["d"]["lease_expires_at"].minute == 1 and after["a"]["heartbeat_at"] is None
+    units = spark.createDataFrame([("r", 1, "COMPLETED"), ("r", 2, "RUNNING"), ("r", 3, "PENDING"), ("s", 1, "PENDING"), (None, 1, "PENDING")], "run_id string, unit_id int, state string")
+    stop = spark.createDataFrame([("r", "now"), ("r", "again"), ("s", None), (None, "now")], "run_id string, cancelled_at string")
+    units = runs.cancel(units, stop)
+    assert sorted(r["state"] for r in units.collect()) == ["COMPLETED", "NOT_STARTED", "PENDING", "PENDING", "STOPPING"]
+    assert {r["run_id"]: r["status"] for r in runs.checkpoint(units).collect()} == {"r": "CANCELLING", "s": "RUNNING", None: "RUNNING"}
+    assert runs.acquire(jobs.limit(0), claims, now).count() == 0 and runs.checkpoint(units.limit(0)).count() == 0
+
+
+def test_waits_that_servers_ask_for(spark):
+    now = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    d = spark.createDataFrame([(" 7 ",), ("Wed, 01 Jan 2020 00:00:05 GMT",), ("Tue, 31 Dec 2019 23:00:00 GMT",), ("-3",), ("x GMT",), ("",), (None,)], "h string")
+    assert [r[0] for r in d.select(runs.retry_after_ms(F.col("h"), now)).collect()] == [7000, 5000, 0, None, None, None, None]
+    waits = spark.range(1, 41).select(runs.backoff_ms(F.col("id"))).collect()
+    assert [w[0] for w in waits[:4]] == [1000, 2000, 4000, 8000] and waits[-1][0] == 300_000
+
+
+def test_life_cycle_keeps_evidence(spark):
+    rows = spark.createDataFrame([("a", "ACTIVE", None), ("b", "TRASHED", "2020-01-01"), ("c", "TRASHED", "2020-01-01"), ("d", "DELETED", "2020-01-01"), ("e", "ACTIVE", None)], "id string, status string, trashed_at string")
+    actions = spark.createDataFrame([("a", "TRASH", "2020-02-01", None), ("b", "DELETE", "2020-02-01", "b"), ("c", "DELETE", "2020-02-01", "C"), ("d", "RESTORE", "2020-02-01", None), ("e", "DELETE", "2020-02-01", "e")], "id string, action string, at string, confirmation string")
+    out = {r["id"]: (r["status"], r["trashed_at"]) for r in versioning.lifecycle(rows, actions).collect()}
+    assert out == {"a": ("TRASHED", "2020-02-01"), "b": ("DELETED", "2020-01-01"), "c": ("TRASHED", "2020-01-01"), "d": ("DELETED", "2020-01-01"), "e": ("ACTIVE", None)}
+
+
+def test_reserved_names(spark):
+    from harvestry.sources import artifacts
+
+    d = spark.createDataFrame([("1", 1, "f", "n.html"), ("1", 2, "f", "n.html"), ("1", 2, "f", "n.html"), ("2", 3, "f/g", "m"), ("3", 4, "/", "m"), ("4", 5, None, None)], "id string, row int, folder string, name string")
+    placed = artifacts.place(d, "id", "folder", "name")
+    taken = spark.createDataFrame([("f/g/2-m",), (None,)], "safe_relative_path string")
+    out = artifacts.reserve(placed, "id", taken).collect()
+    paths = [r["safe_relative_path"] for r in out]
+    assert len(out) == 5 and paths.count(None) == 2 and len(set(paths)) == 4 and "f/1-n.html" in paths and "f/g/2-m" not in paths
+    assert all(r["safe_relative_path"] is None or r["safe_relative_path"].split("/")[-1].startswith(r["id"] + "-") for r in out)
+    assert paths == [r["safe_relative_path"] for r in artifacts.reserve(placed, "id", taken).collect()] or sorted(map(str, paths)) == sorted(str(r["safe_relative_path"]) for r in artifacts.reserve(placed, "id", taken).collect())
+    with pytest.raises(FileExistsError):
+        artifacts.reserve(placed, "id", taken, tries=1)
+    assert artifacts.reserve(placed.limit(0), "id").count() == 0
+
+
+def test_issues_of_identity_references_and_data_sets(spark):
+    d = spark.createDataFrame([(1, "x", 5), (1, "y", 5), (2, "z", 6), (2, "z", None), (None, "q", 7)], "key int, name string, ref int")
+    target = spark.createDataFrame([(5,), (5,), (None,)], "id int")
+    out = curation.issues(d, [], "key", ("name",), {"ref": (target, "id")}).collect()
+    assert sorted((str(r["key"]), r["name"], tuple(sorted(i["code"] for i in r["issues"]))) for r in out) == [
+        ("1", "x", ("DUPLICATE_KEY", "IDENTITY_CONFLICT")), ("1", "y", ("DUPLICATE_KEY", "IDENTITY_CONFLICT")), ("2", "z", ("DUPLICATE_KEY",)), ("2", "z", ("DUPLICATE_KEY", "UNRESOLVED_REFERENCE")),
+        ("None", "q", ("EMPTY_KEY", "UNRESOLVED_REFERENCE")),
+    ]
+    assert curation.dataset_issues(d.limit(0), ("name", "ref")).count() == 0
+    empty = spark.createDataFrame([(None, " ")] * 3, "a string, b string")
+    assert sorted((r["code"], r["field"], r["share"]) for r in curation.dataset_issues(empty, ("a", "b")).collect()) == [("LOW_COVERAGE", "a", 0.0), ("LOW_COVERAGE", "b", 0.0)]

@@ -149,8 +149,9 @@ def _rate_sql(rule: str) -> str:
     return f"(f_{rule} + {mean} * ({strength})) / (n + ({strength}))"
 
 
-#: What quality() gives on documents, in DuckDB.
-ORACLE = rf"""
+def oracle(limit: float = HOST_LIMIT) -> str:
+    """What quality() gives on documents, in DuckDB."""
+    return rf"""
 with d as (
   select row_number() over () as rid, doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents
@@ -168,7 +169,7 @@ with d as (
   select source, count(*)::double as n, {", ".join(f"count(*) filter ({x})::double as f_{x}" for x in RULES)} from r where source is not null group by source
 ), one as (
   select sum(n) as total, count(*) as k, sum(n * n) as n2, {", ".join(f"sum(f_{x}) as s_{x}, sum(f_{x} * f_{x} / n) as q_{x}" for x in RULES)} from by_host
-), bad as (select source from by_host, one where greatest({", ".join(_rate_sql(x) for x in RULES)}) > {HOST_LIMIT})
+), bad as (select source from by_host, one where greatest({", ".join(_rate_sql(x) for x in RULES)}) > {limit})
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, short or repetitive as base_failed, source is not null and source in (from bad) as host_rejected,
   not (short or repetitive) and not (source is not null and source in (from bad)) as kept from r
 """

@@ -93,14 +93,15 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-#: What shard() gives on documents, in DuckDB; the row bits matter only for rows that share a doc_id.
-ORACLE = f"""
+def oracle(limit: int = LIMIT) -> str:
+    """What shard() gives on documents, in DuckDB; the row bits matter only for rows that share a doc_id."""
+    return f"""
 with recursive keys as (
   select doc_id, octet_length(encode(coalesce(text, '')))::bigint as n_bytes, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h from documents
 ), sums as (
   select d, h >> ({HALF} - d) as p, sum(n_bytes)::bigint as n, count(*) as r from keys, generate_series(0, {HALF}) as g(d) group by all
 ), leaves as (
-  select * from sums where n <= {LIMIT} or r = 1
+  select * from sums where n <= {limit} or r = 1
 )
 select doc_id, n_bytes, first(case when d = 0 then '' else lpad(bin(p), d::int, '0') end order by d) as shard, min(d)::int as depth,
   first(n order by d) as shard_bytes, first(r order by d) as shard_rows

@@ -25,6 +25,14 @@ def test_sql(spark, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(told.fetchall(), columns)
 
 
+@needs_tables
+def test_small_limits_split_and_reject(spark):
+    shards = registry.queries()["shards_of_small_limit"](spark, SF)
+    assert shards.select("depth").distinct().count() > 2 and shards.where(f"shard_bytes > {registry.SMALL_SHARD} and shard_rows > 1").isEmpty()
+    judged = registry.queries()["hosts_judged_strictly"](spark, SF)
+    assert 0 < judged.where("host_rejected and not base_failed").count() < judged.count() / 2 and judged.where("host_rejected and kept").isEmpty()
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query(spark, name):

@@ -288,10 +288,11 @@ FIELDS = [extraction.FieldRule("heading", ("article h1", "h1")), extraction.Fiel
 
 
 @query("""select url, 0 as record_no, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '\\s+', ' ', 'g')) as heading,
-  false as has_form from pages""")
+  regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_extract(html, '<nav><ul><li><a href="([^"]*)"', 1) as first_link, trim(regexp_replace(regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's'), '\\s+', ' ', 'g')) as ad,
+  regexp_matches(html, '<form[ >]') as has_form from pages""")
 def fields_extract(spark, sf_dir):
     d = extraction.typed(extraction.extract(table(spark, sf_dir, "pages"), FIELDS), FIELDS)
-    return d.select("url", "record_no", "heading", "has_form")
+    return d.select("url", "record_no", "heading", "first_link", "ad", "has_form")
 
 
 @query(f"with {LINKS} select source_url as url, (row_number() over (partition by source_url order by position) - 1)::int as record_no, raw_href as href from links")
@@ -310,13 +311,23 @@ def mode_suggestion(spark, sf_dir):
     return extraction.mode(table(spark, sf_dir, "pages")).groupBy("mode").agg(F.count("*").alias("pages"))
 
 
-@query("select page_id, false as has_script, html like '%<article>%' as has_article from pages")
+@query("""select page_id, false as has_script, html like '%<article>%' as has_article, len(regexp_extract_all(html, '<li><a href="/'))::int as n_links, len(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<p>'))::int as n_paragraphs,
+  regexp_extract(html, '<h1>(.*?)</h1>', 1) as heading from pages""")
 def preview_sanitized(spark, sf_dir):
     d = extraction.preview(table(spark, sf_dir, "pages"))
-    return d.select("page_id", F.col("preview_html").rlike("(?i)<script|<style|javascript:| on[a-z]+=").alias("has_script"), F.col("preview_html").contains("<article>").alias("has_article"))
+    return d.select("page_id", F.col("preview_html").rlike("(?i)<script|<style|javascript:| on[a-z]+=").alias("has_script"), F.col("preview_html").contains("<article>").alias("has_article"), F.regexp_count("preview_html", F.lit('<li><a href="/')).alias("n_links"), F.regexp_count("preview_html", F.lit("<p>")).alias("n_paragraphs"), F.regexp_extract("preview_html", "<h1>(.*?)</h1>", 1).alias("heading"))
 
 
-@query(None)
+#: A path of tags and what shows it in the pages of the test tables.
+SHAPES = {
+    "/html": "<html", "/html/head": "<head>", "/html/head/meta": "<head>.*<meta ", "/html/head/title": "<title>", "/html/head/style": "<style>", "/html/head/script": "<script>", "/html/body": "<body>",
+    "/html/body/nav": "<nav>", "/html/body/nav/ul": "<nav><ul>", "/html/body/nav/ul/li": "<ul><li>", "/html/body/nav/ul/li/a": "<li><a ", "/html/body/div": '</nav>.*<div class="ad">', "/html/body/article": "<article>",
+    "/html/body/article/h1": "<article><h1>", "/html/body/article/p": "</h1><p>", "/html/body/article/p/b": "<p><b>", "/html/body/article/p/b/br": "<p><b>[^<]*<br>", "/html/body/footer": "<footer>",
+}
+
+
+@query(f"""with shapes(path, shown) as (values {", ".join(f"('{path}', '{shown}')" for path, shown in SHAPES.items())}),
+  prints as (select page_id, sha256(string_agg(path, chr(10) order by path)) as fingerprint from pages, shapes where regexp_matches(html, shown, 's') group by 1) select fingerprint, count(*) as pages from prints group by 1""")
 def structure_fingerprints(spark, sf_dir):
     return extraction.structure(table(spark, sf_dir, "pages")).groupBy("fingerprint").agg(F.count("*").alias("pages"))
 

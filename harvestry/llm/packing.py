@@ -43,7 +43,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: What is tried: lengths above this share of a sequence are large, and form this many groups.
 SCHEMES = ((1 / 8, 24), (1 / 8, 96), (1 / 4, 96), (1 / 2, 24))
 #: Bits of the table of late words, words whose ids a worker keeps, and bytes of text that it takes at once.
-PLACES, KEPT, LONG = 20, 2_500_000, 2 << 20
+PLACES, KEPT, LONG = 20, 2_500_000, 1 << 19
 #: White space to the tokenizer (fixed values: the characters with the Unicode property White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Buckets that the pieces of one length are ranked in, independent of each other.

@@ -2,7 +2,8 @@
 
 The directory is indexed by the leading bits of a hash of the key. A bucket over the byte limit is split on the next bit,
 and only that bucket, until every bucket fits. Sizes are summed per cell of equal leading bits before they are shuffled,
-and all depths are rolled up from the cells, so the documents are read once whatever the depth.
+and all depths are rolled up from the cells in one aggregate, so the documents are read once and plans are equally small
+whatever the depth. Only tables of few rows are broadcast.
 
 The hash has 120 bits: 60 of the MD5 of the key, then 60 that differ from row to row, so that rows with one key can still be
 split (rows with a null key hash as the empty key). A single row beyond the limit stays alone in its shard. A null text has
@@ -25,6 +26,8 @@ HALF = 60
 LIMIT = 64 << 20
 #: Bits that a round looks ahead beyond the bits that equal buckets would need.
 AHEAD = 3
+#: Rows of a table that may be broadcast; joins with more shuffle both sides, whatever the files' size.
+FEW = 10_000
 
 
 def _bits60(text: Column) -> Column:
@@ -38,11 +41,40 @@ def _cell(depth: int) -> list[Column]:
     return [F.col("__h").alias("__a"), F.shiftright("__t", 2 * HALF - depth).alias("__b")]
 
 
-def _name(depth: int) -> Column:
-    """The bits of a prefix of depth bits as text."""
-    if depth <= HALF:
-        return F.lpad(F.bin("__a"), depth, "0") if depth else F.lit("")
-    return F.concat(F.lpad(F.bin("__a"), HALF, "0"), F.lpad(F.bin("__b"), depth - HALF, "0"))
+def _name(half: str) -> Column:
+    """The bits of a prefix of ``depth`` bits, 1 at least, as text; half is the number that its last bit is in."""
+    if half == "__a":
+        return F.lpad(F.bin("__pa"), F.col("depth"), "0")
+    return F.concat(F.lpad(F.bin("__pa"), HALF, "0"), F.lpad(F.bin("__pb"), F.col("depth") - HALF, "0"))
+
+
+def _prefix(half: str, depth: int) -> dict[str, Column]:
+    """The prefix of ``__d`` bits of a cell of depth bits, as two numbers."""
+    up = F.expr(f"shiftright({half}, {depth} - __d)")
+    return {"__pa": up, "__pb": F.lit(0).cast("long")} if half == "__a" else {"__pa": F.col("__a"), "__pb": up}
+
+
+def _buckets(cells: DataFrame, low: int, depth: int, limit: int) -> DataFrame:
+    """depth, __pa, __pb, shard, shard_bytes, shard_rows, __open for the shallowest prefixes that cover the cells and fit.
+
+    Of prefixes that do not fit at the last depth, ``__open`` is true. What fits, fits at all greater depths, so these are the
+    prefixes whose parent does not fit. The two children of a parent meet in one row of the aggregate.
+    """
+    half = "__a" if depth <= HALF else "__b"
+    number = "__pa" if half == "__a" else "__pb"
+    each = cells.select("__a", "__b", "__n", "__r", F.explode(F.sequence(F.lit(low + 1), F.lit(depth))).alias("__d")).withColumns(_prefix(half, depth))
+    each = each.withColumns({"__bit": F.col(number).bitwiseAND(1), number: F.shiftright(number, 1)})
+    sums = [F.coalesce(F.sum(F.when(F.col("__bit") == bit, F.col(c))), F.lit(0)).alias(f"{c}{bit}") for bit in (0, 1) for c in ("__n", "__r")]
+    pairs = each.groupBy("__d", "__pa", "__pb").agg(*sums).where((F.col("__n0") + F.col("__n1") > limit) & (F.col("__r0") + F.col("__r1") > 1))
+    child = [F.struct((F.col(number) * 2 + bit).alias("own"), F.col(f"__n{bit}").alias("n"), F.col(f"__r{bit}").alias("r")) for bit in (0, 1)]
+    found = pairs.select("__d", "__pa", "__pb", F.explode(F.array(*child)).alias("__c")).where("__c.r > 0").withColumn(number, F.col("__c.own"))
+    fits = (F.col("__c.n") <= limit) | (F.col("__c.r") == 1) | (F.col("__d") == 2 * HALF)
+    found = found.where(fits | (F.col("__d") == depth)).select(F.col("__d").alias("depth"), "__pa", "__pb", F.col("__c.n").alias("shard_bytes"), F.col("__c.r").alias("shard_rows"), (~fits).alias("__open"))
+    return found.withColumn("shard", _name(half))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
@@ -52,34 +84,29 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[
     keys = docs.select(*[F.col(k).alias(k) for k in keep], F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), _bits60(own).alias("__h"), F.monotonically_increasing_id().alias("__row"))
     keys = keys.withColumn("__t", _bits60(F.concat_ws("|", F.col("__h").cast("string"), F.col("__row").cast("string")))).drop("__row")
     keys = scratch.write("shard-keys", keys)
-    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
-    done, low, left = [], -1, keys
-    depth = min(HALF, max(0, math.ceil(math.log2(max(total, 1) / limit))) + AHEAD)
+    total, rows = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
+    if total <= limit or rows <= 1:
+        return keys.select(*keep, "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"), F.lit(rows).cast("long").alias("shard_rows"))
+    done, low, left = [], 0, keys
+    depth = min(HALF, max(0, math.ceil(math.log2(max(total, 1) / max(limit, 1)))) + AHEAD)
     while True:
         cells = left.select(*_cell(depth), "n_bytes").groupBy("__a", "__b").agg(F.sum("n_bytes").alias("__n"), F.count("*").alias("__r"))
         cells = scratch.write("shard-cells", cells)
-        # a cell belongs to one prefix of each depth that this round looks at
-        half = "__a" if depth <= HALF else "__b"
-        up = lambda d: [F.shiftright(half, depth - d).alias(half) if c == half else F.col(c) for c in ("__a", "__b")]
-        sums = None
-        for d in range(low + 1, depth + 1):
-            one = cells.select(*up(d), "__n", "__r").groupBy("__a", "__b").agg(F.sum("__n").alias("__n"), F.sum("__r").alias("__r"))
-            one = one.where((F.col("__n") <= limit) | (F.col("__r") == 1) | F.lit(depth == 2 * HALF and d == depth))
-            one = one.select(F.col("__a").alias("__pa"), F.col("__b").alias("__pb"), F.lit(d).alias("depth"), _name(d).alias("shard"), F.col("__n").alias("shard_bytes"), F.col("__r").alias("shard_rows"))
-            sums = one if sums is None else sums.unionByName(one)
-        # each cell may look up its prefix of every depth; the shallowest that fits is its shard
-        wide = cells.select("__a", "__b", F.explode(F.sequence(F.lit(low + 1), F.lit(depth))).alias("__d"))
-        wide = wide.withColumns({"__pa": F.expr(f"shiftright(__a, {depth} - __d)") if half == "__a" else F.col("__a"), "__pb": F.expr(f"shiftright(__b, {depth} - __d)") if half == "__b" else F.col("__b")})
-        found = wide.join(sums, (wide["__d"] == sums["depth"]) & (wide["__pa"] == sums["__pa"]) & (wide["__pb"] == sums["__pb"]))
-        leaf = found.groupBy("__a", "__b").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_rows")).alias("__s"))
-        leaf = scratch.write("shard-leaves", leaf.select(F.col("__a").alias("__la"), F.col("__b").alias("__lb"), "__s.*"))
+        buckets = scratch.write("shard-buckets", _buckets(cells, low, depth, limit))
+        n_buckets, n_open, least = buckets.agg(F.count("*"), F.count_if("__open"), F.min("depth")).first()
+        # each cell may look up its prefix of every depth that a bucket has; it has one bucket
+        wide = cells.select("__a", "__b", F.explode(F.sequence(F.lit(least), F.lit(depth))).alias("__d")).withColumns(_prefix("__a" if depth <= HALF else "__b", depth))
+        buckets_ = buckets.withColumnsRenamed({"__pa": "__qa", "__pb": "__qb"})
+        found = wide.join(_small(buckets_, n_buckets), (F.col("__d") == F.col("depth")) & (F.col("__pa") == F.col("__qa")) & (F.col("__pb") == F.col("__qb")))
+        leaf = scratch.write("shard-leaves", found.select(F.col("__a").alias("__la"), F.col("__b").alias("__lb"), "depth", "shard", "shard_bytes", "shard_rows", "__open"))
+        scratch.drop(cells, buckets)
+        n_cells = leaf.count()
         placed = left.withColumns(dict(zip(("__a", "__b"), _cell(depth), strict=True)))
         on = (F.col("__a") == F.col("__la")) & (F.col("__b") == F.col("__lb"))
-        done.append(placed.join(leaf, on).select(*keep, "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"))
-        open_ = cells.join(leaf, on, "left_anti")
-        if depth == 2 * HALF or open_.isEmpty():
+        done.append(placed.join(_small(leaf.where("not __open"), n_cells), on).select(*keep, "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"))
+        if not n_open:
             break
-        left = scratch.write("shard-open", placed.join(leaf, on, "left_anti").select(*left.columns))
+        left = scratch.write("shard-open", placed.join(_small(leaf.where("__open"), n_cells), on, "left_semi").select(*left.columns))
         low, depth = depth, min(HALF if depth < HALF else 2 * HALF, depth + 8)
     out = done[0]
     for more in done[1:]:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from harvestry.llm import mixing, quality, sharding
+from harvestry.llm.store import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, rate double, copy int, n_words string, kept string"
 
@@ -104,3 +105,28 @@ def test_null_sources_without_weights(spark):
     got = mixing.mix(docs(spark, [(i, None, None if i % 2 else "a") for i in range(2000)]), power=1.0).collect()
     n = Counter(r["source"] for r in got)
     assert abs(n[None] - 1000) < 160 and abs(n["a"] - 1000) < 160
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_of_shards_do_not_grow_with_depth(spark, monkeypatch):
+    written, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, name, df: (written.append(plan_of(df)), write(self, name, df))[1])
+    rows = [(i, "x" * (1 + i % 3), "s") for i in range(3000)]
+    got = sharding.shard(docs(spark, rows), limit=20)
+    # one aggregate rolls up all depths of a round
+    assert max(r["depth"] for r in got.collect()) > 8 and max(p.count("Aggregate [") for p in written) <= 2
+    # tables with more than a few rows are never broadcast, whatever Spark takes for small
+    few = sorted(map(str, got.collect()))
+    monkeypatch.setattr(sharding, "FEW", 0)
+    many = sharding.shard(docs(spark, rows), limit=20)
+    assert sorted(map(str, many.collect())) == few and "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_key_are_split_by_their_own_bits(spark):
+    rows = [(7, "x" * 10, "s")] * 40 + [(None, "y" * 30, "s")] * 3 + [(1, "z" * 200, "s"), (1, "", "s")]
+    got = sharding.shard(docs(spark, rows), limit=25).collect()
+    assert len(got) == len(rows) and min(r["depth"] for r in got if r["doc_id"] == 7) > sharding.HALF
+    assert all(r["shard_bytes"] <= 25 or r["shard_rows"] == 1 for r in got)

@@ -80,13 +80,16 @@ def classify_links(
     """Every link with resolved and canonical URL, page types, transition, depth and one status; no row is dropped.
 
     found: source_url, position, raw_href, optionally depth. completed: canonical_url of pages done before. robots: path
-    prefixes that may not be crawled. Budgets take links in the order of priority, source and position.
+    prefixes that may not be crawled. Budgets take links in the order of priority, source and position. Links that agree in
+    both (a page that was fetched twice) are told apart by the other columns of found, so one of them is first, and only one.
     """
     depth = F.col("depth") if "depth" in found.columns else F.lit(0)
+    own = [f.name for f in found.schema if f.name not in ("depth", "source_url", "position", "raw_href") and "map<" not in f.dataType.simpleString()]
+    ties = ("original_url", *own, "__row")
     href = F.col("raw_href")
     d = found.withColumn("original_url", urls.resolve(href, F.col("source_url")))
     d = d.withColumns({"canonical_url": urls.canonical(F.col("original_url"), policy), "__from": urls.canonical(F.col("source_url"), policy)})
-    d = staged(d, "links")  # read for the source's and the target's type, and short from here on
+    d = staged(d.withColumn("__row", F.monotonically_increasing_id()), "links")  # read for the source's and the target's type, and short from here on
     d = d.withColumns({"target": resolve_page_type(F.col("canonical_url"), page_types), "source": resolve_page_type(F.col("__from"), page_types)})
     usable = [t for t in transitions if t.enabled]
     best = F.lit(None).cast("struct<id:string,priority:int,depth:int,links:long,budget:long,unique:boolean>")
@@ -94,8 +97,8 @@ def classify_links(
         fits = (F.col("source.page_type_id") == t.source) & (F.col("target.page_type_id") == t.target)
         if t.pattern:
             fits = fits & F.col("canonical_url").rlike(t.pattern)
-        own = F.struct(F.lit(t.transition_id).alias("id"), F.lit(t.priority).alias("priority"), F.lit(t.depth).alias("depth"), F.lit(t.max_links_per_page).cast("long").alias("links"), F.lit(t.total_budget).cast("long").alias("budget"), F.lit(t.deduplicate).alias("unique"))
-        best = F.when(fits, own).otherwise(best)
+        this = F.struct(F.lit(t.transition_id).alias("id"), F.lit(t.priority).alias("priority"), F.lit(t.depth).alias("depth"), F.lit(t.max_links_per_page).cast("long").alias("links"), F.lit(t.total_budget).cast("long").alias("budget"), F.lit(t.deduplicate).alias("unique"))
+        best = F.when(fits, this).otherwise(best)
     d = d.withColumn("transition", best)
     valid = ~urls.is_dangerous(href) & F.col("canonical_url").isNotNull()
     shut = F.lit(False)
@@ -105,7 +108,7 @@ def classify_links(
     barred = urls.in_scope(urls.host(F.col("canonical_url")), "allowlist", scope.blocked) if scope.blocked else F.lit(False)
     early = F.when(urls.is_dangerous(href), BLOCKED).when(~valid, INVALID).when(shut | barred, BLOCKED).when(~inside, EXTERNAL)
     d = staged(d.withColumn("__early", early).withColumn("depth", depth), "typed").withColumn("__key", F.when(F.col("__early").isNull() & F.coalesce(F.col("transition.unique"), F.lit(True)), F.col("canonical_url")))
-    d = first_seen(d, "__key", ["depth", "source_url", "position", "original_url"])
+    d = first_seen(d, "__key", ["depth", "source_url", "position", *ties])
     if completed is not None:
         done = completed.select(F.col("canonical_url").alias("__done")).distinct()
         d = d.join(done, F.col("canonical_url") == F.col("__done"), "left")
@@ -116,28 +119,29 @@ def classify_links(
         .when(F.col("target.decision") == "Unmatched", UNMATCHED).when(F.col("target.decision") == "Ambiguous", AMBIGUOUS).when(F.col("transition").isNull(), NO_TRANSITION)
     )
     d = staged(d.withColumn("__status", late), "statuses")  # ranked and counted by the budget
-    d = budget(d)
+    d = budget(d, ties, digits=2)
     return d.select(
         *[c for c in found.columns if c != "depth"], "original_url", "canonical_url", F.col("source.page_type_id").alias("source_page_type"), F.col("target.page_type_id").alias("target_page_type"),
         F.col("target.decision").alias("decision"), F.col("transition.id").alias("transition_id"), (F.col("depth") + F.coalesce("transition.depth", F.lit(0))).cast("int").alias("depth"), "status",
     )
 
 
-def budget(d: DataFrame) -> DataFrame:
+def budget(d: DataFrame, ties: tuple[str, ...] = ("original_url",), digits: int = 3) -> DataFrame:
     """Status of links that nothing else stopped: within the links of a page and the total of the transition, or not.
 
     The total is taken in two steps. Running numbers within a bucket of sources, on top of the buckets' sums before, rank the
-    links of a transition without gathering them all in one task.
+    links of a transition without gathering them all in one task. Buckets are the first hex digits of the source's MD5: sources
+    are in the order of these, then of their URLs. ties: columns that order links of one source and position.
     """
     # links that another stage has stopped take no part, nor do links beyond their page's share rank with the others
-    per_page = Window.partitionBy("source_url", F.col("transition.id")).orderBy("position", "original_url")
+    per_page = Window.partitionBy("source_url", F.col("transition.id")).orderBy("position", *ties)
     d_open = d.where(F.col("__status").isNull()).withColumn("__fits", F.row_number().over(per_page) <= F.col("transition.links"))
     # buckets in the order of sources, by a hash prefix, so that ranks depend on the rows alone
-    d_open = d_open.withColumn("__bucket", F.substring(F.md5("source_url"), 1, 3))
+    d_open = d_open.withColumn("__bucket", F.substring(F.md5("source_url"), 1, digits))
     counts = d_open.where("__fits").groupBy(F.col("transition.id").alias("__t"), F.col("__bucket").alias("__b")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("__t", "__b", before.alias("__base"))
-    within = Window.partitionBy(F.col("transition.id"), "__fits", "__bucket").orderBy("source_url", "position", "original_url")
+    within = Window.partitionBy(F.col("transition.id"), "__fits", "__bucket").orderBy("source_url", "position", *ties)
     d_open = d_open.withColumn("__rank", F.row_number().over(within))
     d_open = d_open.join(bases, (F.col("transition.id") == F.col("__t")) & (F.col("__bucket") == F.col("__b")), "left")
     ok = F.col("__fits") & (F.col("__rank") + F.coalesce("__base", F.lit(0)) <= F.col("transition.budget"))

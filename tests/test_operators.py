@@ -31,6 +31,21 @@ def test_total_budget(spark):
         discovery.Transition("t", "a", "b", max_links_per_page=0)
 
 
+def test_the_total_budget_takes_sources_by_two_digits_of_their_hash(spark):
+    pages = [f"http://a.test/list{i}" for i in range(1200)]
+    found = spark.createDataFrame([(u, 0, f"/item/{i}") for i, u in enumerate(pages)], "source_url string, position int, raw_href string")
+    steps = [discovery.Transition("t", "list", "item", max_links_per_page=2, total_budget=601)]
+    got = {r["source_url"] for r in discovery.classify_links(found, SITE, steps, SCOPE).where("status = 'ENQUEUED'").collect()}
+    assert got == set(sorted(pages, key=lambda u: (hashlib.md5(u.encode()).hexdigest()[:2], u))[:601])
+
+
+def test_of_a_page_that_was_fetched_twice_one_link_is_first(spark):
+    rows = [("http://a.test/list", 0, "/item/1", k) for k in (4, 3, 3, 8)]
+    found = spark.createDataFrame(rows, "source_url string, position int, raw_href string, page_id int")
+    got = [(r["page_id"], r["status"]) for r in discovery.classify_links(found, SITE, STEPS, SCOPE).collect()]
+    assert sorted(got) == [(3, "DUPLICATE"), (3, "ENQUEUED"), (4, "DUPLICATE"), (8, "DUPLICATE")]
+
+
 def test_links_of_a_page(spark):
     page = "<a href='/a'>One <b>x</b></a><!-- <a href=/no> --><script>'<a href=/no>'</script><a name=q>no</a><A HREF=\"/b?x=1&amp;y=2\" rel='nofollow next'>Next</A><a href=/c>3"
     got = discovery.links(spark.createDataFrame([("u", page), ("v", None)], "url string, html string")).collect()

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def uuid7(at: Column, entropy: Column) -> Column:
-    """A version 7 UUID: the milliseconds of a time, then bits of a hash. The same time and entropy give the same id."""
-    ms = F.lpad(F.lower(F.hex(F.unix_millis(at))), 12, "0")
+    """A version 7 UUID: the nearest millisecond of a time, then bits of a hash. The same time and entropy give the same id."""
+    us = F.unix_micros(at)
+    # halves go away from zero; the quotient is cut towards zero
+    nearest = F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+    ms = F.lpad(F.lower(F.hex(nearest)), 12, "0")
     h = F.sha2(entropy.cast("string"), 256)
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 4, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-"), variant, F.substring(h, 5, 3), F.lit("-"), F.substring(h, 8, 12))

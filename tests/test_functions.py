@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from harvestry.functions import checks, html, urls
+from harvestry.functions import checks, html, ids, urls
 
 
 def one(spark, column):
@@ -118,3 +118,13 @@ def test_no_url_that_runs_is_kept():
     for good in ("https://a.example/b:c", "/a?b=c:d", "mailto:x@a.example", "#f", "tel:1", "a/b"):
         assert f'href="{good}"' in html.sanitized(f'<a href="{good}">t</a>'), good
     assert html.sanitized('<p onclick="x()" title="a: b" style="x">t</p>') == '<p title="a: b">t</p>'
+
+
+def test_ids_have_the_nearest_millisecond(spark):
+    times = {0: 0, 499: 0, 500: 1, 1499: 1, 1705740730367920: 1705740730368, 1705740730367499: 1705740730367}
+    d = spark.createDataFrame([(us,) for us in times], "us long").select("us", ids.uuid7(F.timestamp_micros("us"), F.col("us")).alias("id"))
+    got = {r["us"]: r["id"] for r in d.collect()}
+    assert {us: int(i[:8] + i[9:13], 16) for us, i in got.items()} == times
+    assert all(r["ok"] for r in d.select(ids.is_uuid7(F.col("id")).alias("ok")).collect())
+    old = spark.sql("select timestamp_micros(-500) as a, timestamp_micros(-1499) as b, timestamp_micros(-499) as c").select(*[ids.uuid7(F.col(c), F.lit(1)) for c in "abc"]).first()
+    assert [i[:13] for i in old] == ["ffffffff-ffff", "ffffffff-ffff", "00000000-0000"]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.functions import checks, html
@@ -28,26 +28,37 @@ class FieldRule:
     format: str = ""
 
 
-def extract(pages: DataFrame, fields: list[FieldRule], container: str | None = None, url: str = "url", source: str = "html") -> DataFrame:
-    """One row a record: url, record_no, and for each field <name>_raw and <name>_selector; a page is one record without a container."""
+def extract(pages: DataFrame, fields: list[FieldRule], container: str | None = None, url: str = "url", source: str = "html", page: str | None = None) -> DataFrame:
+    """One row a record: url, record_no, and for each field <name>_raw and <name>_selector; a page is one record without a container.
+
+    record_no counts within a page. With ``page``, a column that orders the pages of one URL (which may be fetched more than
+    once), it counts within the URL, by place on the page and then by page, so that url and record_no are a key.
+    """
     rules = [(f.name, f.selectors, f.source) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(2 + 2 * len(rules))]
-            for page_url, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            rows: list[int] = []
+            for row, (page_url, text) in enumerate(zip(*[c.to_pylist() for c in b.columns[:2]], strict=True)):
                 root = html.parse(text)
                 for i, node in enumerate(html.select(root, container) if container else [root]):
-                    out[0].append(page_url), out[1].append(i)
+                    out[0].append(page_url), out[1].append(i), rows.append(row)
                     for k, (_, selectors, kind) in enumerate(rules):
                         found = next(((n[0], s) for s in selectors if (n := html.select(node, s))), (None, None))
                         out[2 + 2 * k].append(html.value(found[0], kind, page_url or "")), out[3 + 2 * k].append(found[1])
             types = [pa.string(), pa.int32()] + [pa.string()] * (2 * len(rules))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            own = [c.take(pa.array(rows, pa.int32())) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(out, types, strict=True)], *own], [*names, *b.schema.names[2:]])
 
     names = ["url", "record_no"] + [f"{f.name}_{x}" for f in fields for x in ("raw", "selector")]
     schema = "url string, record_no int, " + ", ".join(f"`{n}` string" for n in names[2:])
-    return pages.select(F.col(url).alias("url"), F.col(source).alias("html")).mapInArrow(run, schema)
+    read = [F.col(url).alias("url"), F.col(source).alias("html")]
+    if page is None:
+        return pages.select(*read).mapInArrow(run, schema)
+    found = pages.select(*read, F.col(page).alias("__page")).mapInArrow(run, f"{schema}, __page {dict(pages.dtypes)[page]}")
+    within = Window.partitionBy("url").orderBy("record_no", "__page", *names[2:])
+    return found.withColumn("record_no", F.row_number().over(within) - 1).drop("__page")
 
 
 def typed(records: DataFrame, fields: list[FieldRule]) -> DataFrame:

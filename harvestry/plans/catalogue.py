@@ -297,7 +297,7 @@ def fields_extract(spark, sf_dir):
 
 @query(f"with {LINKS} select source_url as url, (row_number() over (partition by source_url order by position) - 1)::int as record_no, raw_href as href from links")
 def records_extract(spark, sf_dir):
-    d = extraction.extract(table(spark, sf_dir, "pages"), [extraction.FieldRule("href", ("a",), "attr:href")], "nav li")
+    d = extraction.extract(table(spark, sf_dir, "pages"), [extraction.FieldRule("href", ("a",), "attr:href")], "nav li", page="page_id")
     return d.select("url", "record_no", F.col("href_raw").alias("href"))
 
 

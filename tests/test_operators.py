@@ -170,6 +170,16 @@ def test_extraction(spark):
     assert got == [("http://h/a", 0, "A", "h2", "http://h/x", 1.5), ("http://h/a", 1, "B b", "h2", None, None)]
 
 
+def test_records_of_a_url_are_numbered_over_its_pages(spark):
+    pages = [("u", 9, "<i>a</i><i>b</i>"), ("u", 3, "<i>c</i>"), ("v", 4, "<i>d</i>"), ("v", 5, None), (None, 6, "<i>e</i>")]
+    found = extraction.extract(spark.createDataFrame(pages, "url string, page_id long, html string"), [extraction.FieldRule("t", ("b",), "presence")], "i", page="page_id")
+    assert found.columns == ["url", "record_no", "t_raw", "t_selector"]
+    assert sorted((r["url"] or "", r["record_no"]) for r in found.collect()) == [("", 0), ("u", 0), ("u", 1), ("u", 2), ("v", 0)]
+    html = [("u", k, "".join(f"<li><a href={k}-{i}>" for i in range(3))) for k in (2, 1)]
+    found = extraction.extract(spark.createDataFrame(html, "url string, page_id long, html string"), [extraction.FieldRule("h", ("a",), "attr:href")], "li", page="page_id")
+    assert [r["h_raw"] for r in found.orderBy("record_no").collect()] == ["1-0", "2-0", "1-1", "2-1", "1-2", "2-2"]
+
+
 def test_artifacts(spark, tmp_path):
     got = artifacts.measure(spark.createDataFrame([("hello",)], "c string"), "c").first()
     assert got["content_hash"] == hashlib.sha256(b"hello").hexdigest() and got["byte_size"] == 5

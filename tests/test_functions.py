@@ -128,3 +128,30 @@ def test_ids_have_the_nearest_millisecond(spark):
     assert all(r["ok"] for r in d.select(ids.is_uuid7(F.col("id")).alias("ok")).collect())
     old = spark.sql("select timestamp_micros(-500) as a, timestamp_micros(-1499) as b, timestamp_micros(-499) as c").select(*[ids.uuid7(F.col(c), F.lit(1)) for c in "abc"]).first()
     assert [i[:13] for i in old] == ["ffffffff-ffff", "ffffffff-ffff", "00000000-0000"]
+
+
+@pytest.mark.parametrize("text", ["<h1>a&amp;&amp;&</h1>", "<h1>a&am</h1>", "<p>&quot;x&quot; &eacute; &#233; &#xe9 &nosuch; & &copy</p>", "<p>a &lt;b&gt; c</p>", "a&amp", "<title>&quot;t&</title>", "<p>1\n&amp;\r\n2</p>"])
+def test_previews_keep_text_as_it_is_written(text):
+    assert html.sanitized(text) == text
+
+
+@pytest.mark.parametrize(
+    ("text", "safe"),
+    [
+        ("a < b > c <3 &lt;i&gt;<", "a &lt; b &gt; c &lt;3 &lt;i&gt;&lt;"), ("<p>x<a href", "<p>x&lt;a href</p>"),
+        ("&l<script>1</script>t;b", "&amp;lt;b"), ("&#6<!-- -->0;script", "0;script"), ("&lt<!--", "&lt;&lt;!--"), ("a &amp;<style>p</style>lt;", "a &amp;lt;"), ("&<embed>&<embed>amp;", "&amp;&amp;amp;"),
+        ('<a title="&quot;&lt;" href="java&#115;cript:1">&quot;</a>', '<a title="&quot;&lt;">&quot;</a>'),
+    ],
+)
+def test_texts_of_previews_begin_no_tag_and_become_no_reference(text, safe):
+    assert html.sanitized(text) == safe
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<script>", "</script>", "<!--", "-->", "&", "&amp;", "&#60;", "&lt", ";", "<", ">", "a", "<i>", "<input>", " x="]), max_size=14).map("".join))
+def test_previews_show_the_same_text_and_no_script(text):
+    got = html.sanitized(text)
+    assert not any(x.tag in html.UNSAFE for x in html.parse(got).elements()) and html.sanitized(got) == got
+    root = html.parse(text)
+    for node in [root, *root.elements()]:
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in html.UNSAFE]
+    assert html.parse(got).text() == root.text()
